@@ -41,18 +41,16 @@ class _Node:
         self.node, self.first, self.shards = node, first, shards
 
 
-def _quantiles(rows: DataFrame, value: str, want: dict[int, tuple[float, float]], span: dict[int, tuple[float, float, float]]):
+def _quantiles(rows: DataFrame, value: str, want: dict[int, tuple[float, float]], span: dict[int, tuple[float, float]]):
     """For each node the boundary of ``value`` nearest to its wanted weight.
 
     ``rows``: node, size and ``value``; want: node -> (weight that goes left, tolerance);
-    span: node -> (low, high, weight).  Returns node -> (cut, left, tied): rows up to
-    ``cut`` weigh ``left`` without those at ``tied`` (the one value that the quantile falls in, or None).
+    span: node -> (low, high).  Returns node -> (cut, left, tied, more): rows up to ``cut`` weigh ``left``;
+    ``tied`` is the one value that the quantile falls in (or None), whose rows weigh ``more``.
     """
     spark = rows.sparkSession
-    active = {n: (lo, hi, 0.0) for n, (lo, hi, _) in span.items()}
-    out: dict[int, tuple[float, float, float | None]] = {}
-    for n in [n for n, (lo, hi, _) in active.items() if lo == hi]:
-        out[n] = (-math.inf, 0.0, active.pop(n)[0])
+    active = {n: (lo, hi, 0.0) for n, (lo, hi) in span.items()}
+    out: dict[int, tuple[float, float, float | None, float]] = {}
     while active:
         params = spark.createDataFrame(
             [(n, float(lo), float(hi)) for n, (lo, hi, _) in active.items()], "node long, lo double, hi double"
@@ -61,7 +59,8 @@ def _quantiles(rows: DataFrame, value: str, want: dict[int, tuple[float, float]]
         found = (
             rows.join(F.broadcast(params), "node")
             .filter((v >= F.col("lo")) & (v <= F.col("hi")))
-            .withColumn("bin", F.least(F.lit(BINS - 1), F.floor((v / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)))
+            .withColumn("part", (v / 2 - F.col("lo") / 2) / F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0)))
+            .withColumn("bin", F.coalesce(F.least(F.lit(BINS - 1), F.floor(F.col("part") * BINS)), F.lit(0)))
             .groupBy("node", "bin")
             .agg(F.sum("size").alias("w"), F.min(value).alias("a"), F.max(value).alias("b"))
             .orderBy("node", "bin")
@@ -73,19 +72,17 @@ def _quantiles(rows: DataFrame, value: str, want: dict[int, tuple[float, float]]
         for n, bins in at.items():
             lo, _, base = active.pop(n)
             goal, slack = want[n]
-            cut = -math.inf
             for r in bins:
                 if base + r["w"] >= goal or r is bins[-1]:
                     if r["a"] == r["b"]:
-                        out[n] = (cut, base, r["a"])
+                        out[n] = (math.nextafter(r["a"], -math.inf), base, r["a"], r["w"])
                     elif r["w"] <= slack:
                         up = base + r["w"] - goal < goal - base
-                        out[n] = (r["b"], base + r["w"], None) if up else (cut if cut > -math.inf else math.nextafter(r["a"], -math.inf), base, None)
+                        out[n] = (r["b"], base + r["w"], None, 0.0) if up else (math.nextafter(r["a"], -math.inf), base, None, 0.0)
                     else:
                         active[n] = (r["a"], r["b"], base)
                     break
                 base += r["w"]
-                cut = r["b"]
     return out
 
 
@@ -140,7 +137,7 @@ def shard_rows(
             r = by[x.node]
             dim[x.node] = max(k, key=lambda i: ((r[f"hi{i}"] / 2 - r[f"lo{i}"] / 2) / whole[i], -i))
             want[x.node] = (r["w"] * (x.shards // 2) / x.shards, r["w"] * TOLERANCE)
-            span[x.node] = (r[f"lo{dim[x.node]}"], r[f"hi{dim[x.node]}"], r["w"])
+            span[x.node] = (r[f"lo{dim[x.node]}"], r[f"hi{dim[x.node]}"])
         dims_at = F.broadcast(spark.createDataFrame([(n, d + 1) for n, d in dim.items()], "node long, dim int"))
         valued = rows.join(dims_at, "node").select("node", "size", "tie", F.element_at("at", F.col("dim")).alias("v"))
         cuts = _quantiles(valued, "v", want, span)
@@ -150,11 +147,12 @@ def shard_rows(
             at = F.broadcast(spark.createDataFrame([(n, c[2]) for n, c in tied.items()], "node long, tied double"))
             within = valued.join(at, "node").filter(F.col("v") == F.col("tied"))
             found = _quantiles(
-                within, "tie", {n: (want[n][0] - c[1], want[n][1]) for n, c in tied.items()}, {n: (-1.0, 1.0, 0.0) for n in tied}
+                within, "tie", {n: (want[n][0] - c[1], want[n][1]) for n, c in tied.items()}, {n: (-1.0, 1.0) for n in tied}
             )
-            # A tie that one row (or its repeats) fills goes left when that is nearer.
-            for n, (cut, left, one) in found.items():
-                ties[n] = cut if one is None else cut
+            for n, (cut, left, one, more) in found.items():
+                # The one row (or its repeats) in which the quantile falls goes left when that is nearer.
+                goal = want[n][0] - tied[n][1]
+                ties[n] = one if one is not None and left + more - goal < goal - left else cut
         params = spark.createDataFrame(
             [(x.node, dim[x.node] + 1, float(cuts[x.node][0]), cuts[x.node][2], ties.get(x.node)) for x in level],
             "node long, dim int, cut double, tied double, tie_cut double",
