@@ -14,6 +14,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the model learns from ids whose CRC-32 mod 7 is not 2 and holds out remainder 3."""
+    from quillstone.llm.lm_scoring import HELD, TEST, TRAIN, score_texts
+
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    kind = F.when(remainder == 2, TEST).when(remainder == 3, HELD).otherwise(TRAIN)
+    out, model = score_texts(_table(spark, sf_dir, "documents"), kind)
+    return out.select(
+        "doc_id",
+        (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
+    )
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     from quillstone.llm.sharding import shard_rows
@@ -48,5 +66,5 @@ def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_kd_sharding, op3_block_naming, op4_url_filter, op10_fair_mixing)
+    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op10_fair_mixing)
 }
