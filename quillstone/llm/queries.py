@@ -57,6 +57,42 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def _vocabulary(spark: SparkSession):
+    import public_tokenizers
+
+    from quillstone.llm.bpe import Vocabulary
+
+    return Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts that they decode to, as digests."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from quillstone.llm.bpe import decode_lists, encode_texts, sliced
+
+    vocabulary = _vocabulary(spark)
+
+    def digests(batches):
+        for whole in batches:
+            for batch in sliced(whole, "tokens"):
+                ids, tokens, data = batch.column("doc_id"), batch.column("tokens"), decode_lists(batch.column("tokens"), vocabulary)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids,
+                        tokens.value_lengths().cast(pa.int64()),
+                        pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in tokens]),
+                        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in data]),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), vocabulary)
+    return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150 % of all words takes of each document."""
     from quillstone.llm.mixing import mix_sources
@@ -66,5 +102,5 @@ def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op10_fair_mixing)
+    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op9_byte_bpe, op10_fair_mixing)
 }
