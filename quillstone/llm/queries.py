@@ -57,6 +57,28 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their texts edited with the next document's beginning."""
+    from quillstone.llm.fingerprints import add_fingerprint, likeness, to_hex, with_next
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(add_fingerprint(docs, "text", "fp"), "doc_id", ["text", "fp"], "text")
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    rows = add_fingerprint(rows, "edited", "edited_fp")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        to_hex(F.col("fp")).alias("fingerprint"),
+        to_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def _vocabulary(spark: SparkSession):
     import public_tokenizers
 
@@ -102,5 +124,5 @@ def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op9_byte_bpe, op10_fair_mixing)
+    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op8_minhash, op9_byte_bpe, op10_fair_mixing)
 }
