@@ -26,6 +26,18 @@ WITH parts AS (
 SELECT page_id, url, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE k = 1
 """
 
+OP6 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), k AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keep FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keep = page_id THEN NULL ELSE keep END AS refers_to
+FROM k
+"""
+
 OP10 = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -56,4 +68,4 @@ SELECT q.doc_id, q.size, q.source, q.source_size, q.target, coalesce(k.taken, 0)
 FROM q LEFT JOIN k ON q.doc_id IS NOT DISTINCT FROM k.doc_id
 """
 
-ORACLES = {"op3_block_naming": OP3, "op4_url_filter": OP4, "op10_fair_mixing": OP10}
+ORACLES = {"op3_block_naming": OP3, "op4_url_filter": OP4, "op6_warc": OP6, "op10_fair_mixing": OP10}

@@ -57,6 +57,26 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on all documents; a document's source is its host, the language there its path."""
+    from quillstone.llm.quality import classify
+
+    out = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return out.select("doc_id", "host", "path", "p_doc", "host_rate", "path_rate", "posterior", "good")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back."""
+    from quillstone.llm.warc import read_archives, write_archives
+
+    pages = _table(spark, sf_dir, "pages")
+    records = read_archives(write_archives(pages), payloads=False)
+    page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS bigint)")
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their texts edited with the next document's beginning."""
     from quillstone.llm.fingerprints import add_fingerprint, likeness, to_hex, with_next
@@ -124,5 +144,5 @@ def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op8_minhash, op9_byte_bpe, op10_fair_mixing)
+    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op5_quality, op6_warc, op8_minhash, op9_byte_bpe, op10_fair_mixing)
 }
