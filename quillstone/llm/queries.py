@@ -77,6 +77,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of all documents at a Jaccard similarity of 0.8 on five-word shingles."""
+    from quillstone.llm.chosen_path import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their texts edited with the next document's beginning."""
     from quillstone.llm.fingerprints import add_fingerprint, likeness, to_hex, with_next
@@ -144,5 +151,5 @@ def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op5_quality, op6_warc, op8_minhash, op9_byte_bpe, op10_fair_mixing)
+    for f in (op1_deleted_interpolation, op2_kd_sharding, op3_block_naming, op4_url_filter, op5_quality, op6_warc, op7_chosen_path, op8_minhash, op9_byte_bpe, op10_fair_mixing)
 }
