@@ -31,7 +31,7 @@ from quillstone.llm.packed import (
     unpack_words,
     word_hashes,
 )
-from quillstone.llm.workspace import write_table
+from quillstone.llm.workspace import write_bucketed
 
 #: Distinct pre-tokens that one group of the exchange gets on average, and the fewest groups.
 GROUP_WORDS, LEAST_GROUPS = 300_000, 24
@@ -78,6 +78,11 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - lengths), lengths)
 
 
+def by_use(uses: np.ndarray) -> np.ndarray:
+    """Words in order of falling use; sequences of such ranks pack well."""
+    return np.argsort(-uses, kind="stable")
+
+
 def _blocks(pattern: str):
     def cut(batches):
         import regex
@@ -93,17 +98,18 @@ def _blocks(pattern: str):
             del pieces
             words, place = by_hash(encoded.dictionary)
             sequence = place[encoded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            uses = np.bincount(sequence, minlength=len(words))
             names, content = pack_words(words)
             yield pa.RecordBatch.from_pylist(
                 [
                     {
                         "block": block_number(seq), "ids": table["id"].to_pylist(), "lengths": pack(np.array(lengths, np.int64)),
-                        "sequence": pack(sequence), "names": names, "content": content, "n_words": len(words),
+                        "sequence": pack(np.argsort(by_use(uses))[sequence]), "uses": pack(uses), "names": names, "content": content, "n_words": len(words),
                     }
                 ],
                 schema=pa.schema(
                     [("block", pa.int64()), ("ids", pa.list_(table.schema.field("id").type)),
-                     *[(c, pa.binary()) for c in ("lengths", "sequence", "names", "content")], ("n_words", pa.int64())]
+                     *[(c, pa.binary()) for c in ("lengths", "sequence", "uses", "names", "content")], ("n_words", pa.int64())]
                 ),
             )
 
@@ -158,7 +164,7 @@ def _assemble(id_type: pa.DataType):
             join = lambda c: np.concatenate([np.zeros(0, np.int64), *[unpack(r[c]) for r in parts]])
             counts, flat = join("counts"), join("tokens")
             starts = np.cumsum(counts) - counts
-            sequence, lengths = unpack(row["sequence"]), unpack(row["lengths"])
+            sequence, lengths = by_use(unpack(row["uses"]))[unpack(row["sequence"])], unpack(row["lengths"])
             sizes = counts[sequence]
             values = flat[gather(starts[sequence], sizes)]
             upto = np.concatenate(([0], np.cumsum(sizes)))
@@ -179,12 +185,13 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     ddl = kind.simpleString()
-    blocks = write_table(
+    blocks = write_bucketed(
         rows.mapInArrow(
             _blocks(vocabulary.pattern),
-            f"block long, ids array<{ddl}>, lengths binary, sequence binary, names binary, content binary, n_words long",
+            f"block long, ids array<{ddl}>, lengths binary, sequence binary, uses binary, names binary, content binary, n_words long",
         ),
         "bpe-blocks",
+        "block",
     )
     n_words = blocks.df.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     parts = max(LEAST_GROUPS, math.ceil(n_words / GROUP_WORDS))
@@ -195,7 +202,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         .applyInArrow(_encode_words(vocabulary), "p int, block long, counts binary, tokens binary")
     )
     return (
-        blocks.df.select("block", "ids", "lengths", "sequence")
+        blocks.df.select("block", "ids", "lengths", "sequence", "uses")
         .groupBy("block")
         .cogroup(returned.groupBy("block"))
         .applyInArrow(_assemble(to_arrow_type(kind)), f"id {ddl}, tokens array<int>")
@@ -238,3 +245,31 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, tokens_col: str = "to
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "data"]
     return encoded.mapInArrow(decode, ", ".join([*columns, "data binary"]))
+
+
+def digest_tokens(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tokens: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded texts, with the ids themselves if ``tokens``.
+
+    The first digest is of the ids as little-endian unsigned 32-bit integers, the second of the decoded bytes.
+    """
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["tokens"] if tokens else [])]
+
+    def digests(batches):
+        for whole in batches:
+            for batch in sliced(whole, "tokens"):
+                lists = batch.column("tokens")
+                flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+                offsets = offsets - offsets[0]
+                data = decode_lists(lists, vocabulary)
+                columns = [
+                    batch.column(id_col),
+                    lists.value_lengths().cast(pa.int64()),
+                    pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in data], pa.string()),
+                    *([lists] if tokens else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = encoded.schema[id_col].dataType.simpleString()
+    ddl = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
+    return encoded.select(id_col, "tokens").mapInArrow(digests, ddl)

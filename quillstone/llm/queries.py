@@ -106,7 +106,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _vocabulary(spark: SparkSession):
+def vocabulary_of(spark: SparkSession):
+    """The public multilingual vocabulary."""
     import public_tokenizers
 
     from quillstone.llm.bpe import Vocabulary
@@ -116,30 +117,10 @@ def _vocabulary(spark: SparkSession):
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts that they decode to, as digests."""
-    import hashlib
-
-    import pyarrow as pa
-
-    from quillstone.llm.bpe import decode_lists, encode_texts, sliced
-
-    vocabulary = _vocabulary(spark)
-
-    def digests(batches):
-        for whole in batches:
-            for batch in sliced(whole, "tokens"):
-                ids, tokens, data = batch.column("doc_id"), batch.column("tokens"), decode_lists(batch.column("tokens"), vocabulary)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        tokens.value_lengths().cast(pa.int64()),
-                        pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in tokens]),
-                        pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in data]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    encoded = encode_texts(_table(spark, sf_dir, "documents"), vocabulary)
-    return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    from quillstone.llm.bpe import digest_tokens, encode_texts
+
+    vocabulary = vocabulary_of(spark)
+    return digest_tokens(encode_texts(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
 
 
 def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,32 @@ def write_table(df: DataFrame, tag: str) -> Table:
     return Table(spark, path, df.schema)
 
 
+class BucketedTable(Table):
+    """A table whose files are dealt by a key, so that grouping by the key needs no shuffle."""
+
+    def __init__(self, spark: SparkSession, path: str, schema, name: str) -> None:
+        super().__init__(spark, path, schema)
+        self.name = name
+
+    @property
+    def df(self) -> DataFrame:
+        return self._spark.table(self.name)
+
+    def drop(self) -> None:
+        self._spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        super().drop()
+
+
+def write_bucketed(df: DataFrame, tag: str, key: str) -> BucketedTable:
+    """Write ``df`` to the shared folder in as many buckets by ``key`` as there are shuffle partitions."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return BucketedTable(spark, path, df.schema, name)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back without its lineage."""
     return write_table(df, tag).df
