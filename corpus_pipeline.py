@@ -1,15 +1,87 @@
-"""The corpus pipeline: stages over ``documents``; see ``quillstone.llm``."""
+"""The corpus pipeline: five stages over ``documents``.
+
+Bad documents go, exact copies go, of each group of near copies one stays, sources are mixed to target
+weights, and what is left is encoded.  Every stage takes (spark, docs, sf_dir) and returns a
+DataFrame; all but the last return the columns of ``docs`` with their values untouched.  Stages
+tell rows apart by their place in ``docs``, which is a stored table, so null and repeated ids are
+handled: repeated rows are copies of which one stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm.bpe import digest_tokens, encode_texts
+from quillstone.llm.chosen_path import jaccard_join
+from quillstone.llm.exact_dedup import exact_groups
+from quillstone.llm.mixing import mix_sources
+from quillstone.llm.quality import classify
+from quillstone.llm.queries import vocabulary_of
+from quillstone.llm.workspace import write_table
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_place", F.monotonically_increasing_id())
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, text): keys order by id, null last, then by place."""
+    place = F.monotonically_increasing_id()
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), place.alias("place")).alias("key"), "text")
+
+
+def _only(docs: DataFrame, places: DataFrame) -> DataFrame:
+    return _placed(docs).join(places, "_place", "left_semi").drop("_place").select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior of being good reaches one half; the source is the host, the language the path."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    whole = docs.select("doc_id", "text", "source", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return classify(whole, labels, F.col("source"), F.col("lang")).filter("good").select("_row.*")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id."""
+    kept = exact_groups(_keyed(docs), "key").filter("kept")
+    return _only(docs, kept.select(F.col("key.place").alias("_place")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by a Jaccard similarity of 0.8 or more on five-word shingles the row with the smallest id."""
+    groups = jaccard_join(_keyed(docs), id_col="key")
+    return _only(docs, groups.filter(F.col("key") == F.col("class_id")).select(F.col("key.place").alias("_place")))
+
+
+def fair_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    taken = mix_sources(_placed(docs).select("_place", "text", "source"), id_col="_place").filter("taken > 0")
+    times = taken.select("_place", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("_turn"))
+    return _placed(docs).join(times, "_place").select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids of every text."""
+    vocabulary = vocabulary_of(spark)
+    return digest_tokens(encode_texts(docs, vocabulary), vocabulary, tokens=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("fair_mixing", fair_mixing),
+    ("byte_bpe", byte_bpe),
+]
 
+#: A logistic fit, a similarity join and byte-pair merges are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
+    """All stages in turn over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}").df
     return docs
