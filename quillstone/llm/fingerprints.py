@@ -55,12 +55,14 @@ def add_fingerprint(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     ).getField("x")
     probed = F.transform(v, lambda x, j: F.coalesce(x, *[F.get(v, here(j, a)) for a in range(PROBES)], rest(j)))
     d = F.col(dense)
-    packed = F.transform(
+    # Bound by an outer function, so that the optimizer cannot inline the bins into the loop over the words.
+    pack = lambda e: F.transform(
         F.sequence(F.lit(0), F.lit(BINS // 8 - 1)),
         lambda g: F.aggregate(
-            F.slice(d, g * 8 + 1, F.lit(8)), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 8).bitwiseOR(x.bitwiseAND(F.lit(255)))
+            F.slice(e, g * 8 + 1, F.lit(8)), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 8).bitwiseOR(x.bitwiseAND(F.lit(255)))
         ),
     )
+    packed = F.get(F.transform(F.array(d), pack), 0)
     texts = F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+")
     return (
         df.withColumn(words, F.transform(F.filter(texts, lambda x: x != ""), lambda x: F.xxhash64(x)))
