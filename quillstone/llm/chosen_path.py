@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quillstone.functions.unions import union
 from quillstone.llm.components import connected_components
 from quillstone.llm.packed import cut_blocks, mix64
 from quillstone.llm.shingles import shingle_sets
@@ -309,7 +310,7 @@ def jaccard_join(
         stats = write_table(stats_of(level), f"paths-{depth}")
         stuck = F.lit(depth >= DEPTH) | ((F.col("above") > 0) & (F.col("m") > STUCK * F.col("above")))
         done = stats.df.filter((F.col("m") <= LEAF) | stuck).select("path", "m", "s1", "s2")
-        leaves = done if leaves is None else leaves.unionByName(done)
+        leaves = done if leaves is None else union(leaves, done)
         levels.append(level.select("rid", "path"))
         big = stats.df.filter((F.col("m") > LEAF) & ~stuck).select("path", F.col("m").alias("above"))
         if not big.limit(1).count():
@@ -320,10 +321,7 @@ def jaccard_join(
         level = write_table(here.select("rid", "above", F.explode(below).alias("path")), f"level-{depth}").df
         depth += 1
     kept = write_table(leaves.groupBy("m", "s1", "s2").agg(F.min("path").alias("path")).select("path", "m"), "join-leaves")
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    members = write_table(every.join(kept.df, "path"), "join-members")
+    members = write_table(union(*levels).join(kept.df, "path"), "join-members")
     lists = members.df.groupBy("rid").agg(F.collect_set(F.struct("path", "m")).alias("at"))
     lists = write_table(
         lists.select("rid", "at", F.sort_array("at.path").alias("paths")).join(reps.df.select("rid", "n", "copies", "low"), "rid"), "join-lists"

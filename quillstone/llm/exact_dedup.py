@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.unions import union
 from quillstone.llm.workspace import Table, write_table
 
 BLOCK_BYTES = 4096
@@ -68,7 +69,7 @@ def name_texts(
             .join(dictionary.df.select("block", "name"), "block")
             .select("_uid", "j", "name")
         )
-        first = first.filter("n = 1").select("_uid", "j", "name").unionByName(by_content)
+        first = union(first.filter("n = 1").select("_uid", "j", "name"), by_content)
     level = write_table(first.select("_uid", "j", "name"), "level-0")
     done = [level.df.groupBy("_uid").agg(F.max("j").alias("last"), F.max("name").alias("name")).filter("last = 0").select(
         "_uid", F.lit(0).alias("levels"), "name"
@@ -98,10 +99,7 @@ def name_texts(
                 "_uid", F.lit(depth).alias("levels"), "name"
             )
         )
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out.join(occurrences.df.filter("j = 0").select("_uid", "text_sha256"), "_uid")
+    return union(*done).join(occurrences.df.filter("j = 0").select("_uid", "text_sha256"), "_uid")
 
 
 def exact_groups(

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quillstone.functions.unions import union
 from quillstone.llm.packed import (
     block_number,
     by_hash,
@@ -380,7 +381,7 @@ def score_texts(
     id_type = to_arrow_type(rows.schema["id"].dataType)
     scored = (
         plain.groupBy("block")
-        .cogroup(back.unionByName(pairs.df.filter("block >= 0")).groupBy("block"))
+        .cogroup(union(back, pairs.df.filter("block >= 0")).groupBy("block"))
         .applyInArrow(_score(told, id_type), f"id {id_ddl}, n_tokens long, n_known long, base double, score double")
     )
     return scored.withColumnRenamed("id", id_col), model
