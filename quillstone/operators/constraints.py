@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.unions import union
+
 REQUIRED = ("mimetype", "META-INF/container.xml", "EPUB/content.opf", "EPUB/nav.xhtml", "EPUB/toc.ncx")
 
 
@@ -26,12 +28,12 @@ def package_issues(entries: DataFrame, required: tuple[str, ...] = REQUIRED) ->
     mime = F.col("path") == "mimetype"
     books = entries.select("book").distinct()
     want = books.withColumn("path", F.explode(F.array(*map(F.lit, required))))
-    return (
-        row(entries.filter("NOT crc_ok"), "error", "corrupt member", F.coalesce("path", F.lit("")))
-        .unionByName(row(first.filter(~F.coalesce(mime, F.lit(False))), "error", "mimetype is not the first entry", F.coalesce("path", F.lit(""))))
-        .unionByName(row(first.filter(mime & (F.col("compress_type") != 0)), "error", "mimetype is compressed", F.lit("mimetype")))
-        .unionByName(row(first.filter(mime & (F.decode("payload", "UTF-8") != "application/epub+zip")), "error", "mimetype has other content", F.lit("mimetype")))
-        .unionByName(row(want.join(entries.select("book", "path"), ["book", "path"], "left_anti"), "error", "missing member", F.col("path")))
+    return union(
+        row(entries.filter("NOT crc_ok"), "error", "corrupt member", F.coalesce("path", F.lit(""))),
+        row(first.filter(~F.coalesce(mime, F.lit(False))), "error", "mimetype is not the first entry", F.coalesce("path", F.lit(""))),
+        row(first.filter(mime & (F.col("compress_type") != 0)), "error", "mimetype is compressed", F.lit("mimetype")),
+        row(first.filter(mime & (F.decode("payload", "UTF-8") != "application/epub+zip")), "error", "mimetype has other content", F.lit("mimetype")),
+        row(want.join(entries.select("book", "path"), ["book", "path"], "left_anti"), "error", "missing member", F.col("path")),
     )
 
 
@@ -47,16 +49,16 @@ def structure_issues(structure: DataFrame, entries: DataFrame, elements: DataFra
     counts = entries.select("book").distinct().join(count(kind("nav"), "nav"), "book", "left").join(count(kind("ncx"), "ncx"), "book", "left").join(count(content, "spine"), "book", "left").na.fill(0)
     h1 = elements.filter("tag = 'h1'").groupBy("book", F.col("path").alias("member")).agg(F.count("*").alias("n"))
     tops = content.select("book", "member").join(h1, ["book", "member"], "left").na.fill(0, ["n"]).filter("n <> 1")
-    return (
-        row(kind("spine").filter("member IS NULL"), "spine idref missing from manifest", F.col("label"))
-        .unionByName(row(nav.join(members, ["book", "member"], "left_anti"), "nav target file missing", F.col("href")))
-        .unionByName(row(nav.filter("fragment IS NULL"), "nav entry has no fragment", F.col("href")))
-        .unionByName(row(nav.filter("fragment IS NOT NULL").join(members, ["book", "member"], "left_semi").join(ids, ["book", "member", "fragment"], "left_anti"), "nav target id missing", F.col("href")))
-        .unionByName(row(kind("nav").filter("depth <> 1"), "nested nav entry", F.col("label")))
-        .unionByName(row(kind("spine").filter("member IS NOT NULL").join(members, ["book", "member"], "left_anti"), "spine file missing", F.col("member")))
-        .unionByName(row(counts.filter("nav <> ncx"), "ncx and nav counts differ", F.concat_ws("/", F.col("ncx").cast("string"), F.col("nav").cast("string"))))
-        .unionByName(row(counts.filter("nav <> spine"), "spine and nav counts differ", F.concat_ws("/", F.col("spine").cast("string"), F.col("nav").cast("string"))))
-        .unionByName(row(tops, "not exactly one h1", F.concat_ws(": ", "member", F.col("n").cast("string"))))
+    return union(
+        row(kind("spine").filter("member IS NULL"), "spine idref missing from manifest", F.col("label")),
+        row(nav.join(members, ["book", "member"], "left_anti"), "nav target file missing", F.col("href")),
+        row(nav.filter("fragment IS NULL"), "nav entry has no fragment", F.col("href")),
+        row(nav.filter("fragment IS NOT NULL").join(members, ["book", "member"], "left_semi").join(ids, ["book", "member", "fragment"], "left_anti"), "nav target id missing", F.col("href")),
+        row(kind("nav").filter("depth <> 1"), "nested nav entry", F.col("label")),
+        row(kind("spine").filter("member IS NOT NULL").join(members, ["book", "member"], "left_anti"), "spine file missing", F.col("member")),
+        row(counts.filter("nav <> ncx"), "ncx and nav counts differ", F.concat_ws("/", F.col("ncx").cast("string"), F.col("nav").cast("string"))),
+        row(counts.filter("nav <> spine"), "spine and nav counts differ", F.concat_ws("/", F.col("spine").cast("string"), F.col("nav").cast("string"))),
+        row(tops, "not exactly one h1", F.concat_ws(": ", "member", F.col("n").cast("string"))),
     )
 
 

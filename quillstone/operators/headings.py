@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import NUMERALS, chapter_number, no_space, visible_text
+from quillstone.functions.unions import union
 
 PLAIN_CHAPTER = f"^(第[{NUMERALS}]+[章編编篇部卷])(\\s+(.+))?$"
 BARE_CHAPTER = f"^第[{NUMERALS}]+[章編编篇部卷]$"
@@ -46,7 +47,7 @@ def heading_candidates(pages: DataFrame, book_col: str = "book", page_col: str =
     plain = plain.withColumn("_n", F.count_if(hit).over(whole)).withColumn("_i", F.row_number().over(order)).withColumn("_next", F.lead("line").over(order))
     plain = plain.filter(hit & (F.col("_n") <= 3) & (F.col("_i") <= 3)).withColumn("_k", F.row_number().over(order)).filter("_k = 1")
     taken = F.when(F.col("line").rlike(BARE_CHAPTER) & F.col("_next").isNotNull(), F.concat_ws(" ", "line", "_next")).otherwise(F.col("line"))
-    found = marked.unionByName(plain.select(book_col, page_col, "line_no", F.lit(1).alias("pass"), F.lit(1).alias("level"), taken.alias("title"), F.col("line").alias("md_line")))
+    found = union(marked, plain.select(book_col, page_col, "line_no", F.lit(1).alias("pass"), F.lit(1).alias("level"), taken.alias("title"), F.col("line").alias("md_line")))
     seq = Window.partitionBy(book_col).orderBy("pass", page_col, "line_no")
     nxt = lambda c: F.lead(c).over(seq)
     merges = (F.col("level") == 2) & F.col("title").rlike(NUMBER_ONLY) & (nxt("level") == 1) & (nxt(page_col) - F.col(page_col)).between(0, 1)
@@ -79,7 +80,7 @@ def filter_headings(candidates: DataFrame, book_col: str = "book", page_col: str
     t = candidates.withColumn("_h1", (F.col("level") == 1) & (F.col(page_col) > 2)).withColumn("_kw", keyword)
     t = t.withColumn("_way", F.when(F.count_if("_h1").over(whole) >= 4, 1).when(F.count_if("_kw").over(whole) >= 3, 2).otherwise(3))
     chosen = t.filter(((F.col("_way") == 1) & F.col("_h1")) | ((F.col("_way") == 2) & F.col("_kw"))).select(candidates.columns)
-    return prune_inline(chosen, book_col, page_col, order_col).unionByName(t.filter("_way = 3").select(candidates.columns))
+    return union(prune_inline(chosen, book_col, page_col, order_col), t.filter("_way = 3").select(candidates.columns))
 
 
 def heading_key(title: Column) -> Column:

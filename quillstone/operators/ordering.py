@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.unions import union
+
 
 def printed_number(text: Column, patterns: tuple[str, ...], head: int = 300, most: int = 500) -> Column:
     """The first number from 1 to ``most`` that a pattern's first group gives in the head of a page, patterns in order."""
@@ -40,7 +42,7 @@ def swaps(pages: DataFrame, by: str, index_col: str, number_col: str, systematic
     """(by, index) of pages to swap with the next: of each run of consecutive candidates every second, from its first."""
     found = inversions(pages, by, index_col, number_col).select(by, F.col(index_col).cast("long").alias(index_col))
     if systematic:
-        found = found.unionByName(systematic_swaps(pages, by, index_col, number_col).select(by, F.col(index_col).cast("long").alias(index_col))).distinct()
+        found = union(found, systematic_swaps(pages, by, index_col, number_col).select(by, F.col(index_col).cast("long").alias(index_col))).distinct()
     w = Window.partitionBy(by).orderBy(index_col)
     island = found.withColumn("_island", F.col(index_col) - F.row_number().over(w))
     first = Window.partitionBy(by, "_island")
@@ -51,5 +53,6 @@ def swaps(pages: DataFrame, by: str, index_col: str, number_col: str, systematic
 def apply_swaps(pages: DataFrame, chosen: DataFrame, by: str, index_col: str) -> DataFrame:
     """``pages`` with ``new_index``: swapped pages trade places."""
     here = chosen.select(by, F.col(index_col).alias("_i"))
-    moves = here.select(by, F.col("_i").alias(index_col), (F.col("_i") + 1).alias("_to")).unionByName(here.select(by, (F.col("_i") + 1).alias(index_col), F.col("_i").alias("_to")))
+    moves = here.select(by, F.col("_i").alias(index_col), (F.col("_i") + 1).alias("_to"))
+    moves = union(moves, here.select(by, (F.col("_i") + 1).alias(index_col), F.col("_i").alias("_to")))
     return pages.join(moves, [by, index_col], "left").withColumn("new_index", F.coalesce("_to", index_col)).drop("_to")

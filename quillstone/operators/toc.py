@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import NUMERALS
+from quillstone.functions.unions import union
 
 #: A numbered marker with its kind, and the variant forms that are folded.
 MARKER = f"^(第[{NUMERALS}〇兩]+([章節编編篇卷部]))"
@@ -132,4 +133,4 @@ def boundary_errors(children: DataFrame, boundaries: DataFrame) -> DataFrame:
     per = hit.groupBy(F.col("b.book").alias("book"), F.col("b.path").alias("path"), F.col("b.fragment").alias("fragment")).agg(F.min("c.child_no").alias("child_no"))
     missing = per.filter("child_no IS NULL").select("book", F.lit("boundary id not found").alias("issue"), F.concat_ws("#", "path", "fragment").alias("detail"))
     twice = per.filter("child_no IS NOT NULL").groupBy("book", "path", "child_no").count().filter("count > 1")
-    return missing.unionByName(twice.select("book", F.lit("several boundaries in one element").alias("issue"), F.concat_ws("#", "path", F.col("child_no").cast("string")).alias("detail")))
+    return union(missing, twice.select("book", F.lit("several boundaries in one element").alias("issue"), F.concat_ws("#", "path", F.col("child_no").cast("string")).alias("detail")))

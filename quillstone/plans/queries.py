@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.operators import boundaries, constraints, footnotes, headings, images, lines, mapping, ngrams, noise, ordering, patching, toc
 from quillstone.sources import epub
+from quillstone.functions.unions import union
 
 LATIN_MARKS = ".!?;"
 
@@ -203,7 +204,7 @@ def constraint_violations(spark, sf_dir):
     b = constraints.duplicates(d, "doc_id", "document id repeated").withColumnRenamed("doc_id", "id")
     c = p.filter(~F.col("url").rlike("^https?://") | F.col("url").contains("#top")).select(F.col("page_id").alias("id"), F.lit("url with fragment").alias("issue"))
     copies = d.groupBy(F.md5("text").alias("_t")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).filter("n > 1").select("id", F.lit("text repeated").alias("issue"))
-    return a.unionByName(b).unionByName(c).unionByName(copies)
+    return union(a, b, c, copies)
 
 
 CJK_BOOK = [(1, "三三三三三三三三，甲乙丙丁。"), (2, "天地玄黃宇宙洪荒天地玄黃宇宙洪荒。"), (3, "plain words only")]
@@ -258,8 +259,8 @@ def _book(spark, broken: bool = False) -> DataFrame:
 
 
 def epub_issues(spark, sf_dir):
-    e = _book(spark).unionByName(_book(spark, True))
-    found = constraints.package_issues(e).unionByName(constraints.structure_issues(epub.structure(e), e, epub.text_elements(e)))
+    e = union(_book(spark), _book(spark, True))
+    found = union(constraints.package_issues(e), constraints.structure_issues(epub.structure(e), e, epub.text_elements(e)))
     return found.select("book", "issue", "detail")
 
 
