@@ -6,7 +6,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE = (
@@ -42,8 +42,6 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
 
 def number_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with ``seq_page``: chunks are counted first, so that only one row a chunk is put in order."""
-    from pyspark.sql import Window
-
     sizes = pages.groupBy("book", "chunk_start").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("book").orderBy("chunk_start").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -64,7 +62,8 @@ def read_toc(spark: SparkSession, path: str) -> DataFrame:
     ``source`` has a heading's title and every text it may be found by.
     """
     text = spark.read.option("wholetext", True).text(path)
-    both = F.coalesce(F.from_json("value", TOC), F.from_json("value", f"struct<headings: {TOC}>").getField("headings"))
+    listed = F.ltrim("value").startswith("[")
+    both = F.when(listed, F.from_json("value", TOC)).otherwise(F.from_json("value", f"struct<headings: {TOC}>").getField("headings"))
     rows = text.select(F.posexplode(both).alias("ord", "h"))
     sources = F.array_distinct(F.array_compact(F.concat(F.array("h.title", "h.match"), F.coalesce("h.matches", F.array().cast("array<string>")), F.coalesce("h.aliases", F.array().cast("array<string>")))))
     return rows.select("ord", "h.title", "h.page", "h.level", sources.alias("source"), (F.coalesce("h.page_start", F.lit(False)) | F.coalesce(F.col("h.at") == "page_start", F.lit(False))).alias("page_start"))
