@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import compact
 from quillstone.functions.unions import union
+from quillstone.operators.mapping import grams
+from quillstone.operators.toc import BOUNDARY
 
 REQUIRED = ("mimetype", "META-INF/container.xml", "EPUB/content.opf", "EPUB/nav.xhtml", "EPUB/toc.ncx")
 
@@ -70,3 +73,44 @@ def report(issues: DataFrame, entries: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     out = n.join(found, "book", "left").withColumn("errors", F.coalesce("errors", none)).withColumn("warnings", F.coalesce("warnings", none))
     return out.select("book", (F.size("errors") == 0).alias("ok"), "entry_count", "errors", "warnings")
+
+
+#: First words of structural headings and marks that end a sentence.
+STRUCTURAL_HEADING = (
+    "^(?:Chapter|Part|Lecture|Preface|Intro|Appendix|Prologue|Epilogue|Conclusion|Book|Acknowledgements|Contents|Abstract|序|前言|导论|目錄|目录|第[零一二三四五六七八九十百千0-9]+[篇章講讲節节編编部卷])"
+)
+SENTENCE_ENDS = (".", "!", "?", ":", ";", "。", "！", "？", "：", "；", "）", "】", "〉", "》", "」", "』")
+
+
+def suspicious_headings(elements: DataFrame, spans: DataFrame, least: int = 10, overlap: int = 8) -> DataFrame:
+    """(book, path, elem_no, text, reason) of headings that look like body text.
+
+    Headings of ``least`` class characters that are not structural and end like a sentence, or share ``overlap`` characters in a row
+    with a corrupted span of their member (``spans``: book, path, span); the shared stretches are joined as k-grams.
+    """
+    h = elements.filter(F.col("tag").rlike("^h[1-6]$") & ~F.col("text").rlike(STRUCTURAL_HEADING)).withColumn("_c", compact(F.col("text"))).filter(F.length("_c") >= least)
+    ended = h.filter(F.right("text", F.lit(1)).isin(*SENTENCE_ENDS)).select("book", "path", "elem_no", "text", F.lit("ends like a sentence").alias("reason"))
+    a = h.select("book", "path", "elem_no", "text", F.explode(grams(F.col("_c"), overlap)).alias("_g"))
+    b = spans.select("book", "path", F.explode(grams(compact(F.col("span")), overlap)).alias("_g")).distinct()
+    shared = a.join(b, ["book", "path", "_g"], "left_semi").select("book", "path", "elem_no", "text", F.lit("overlaps a corrupted span").alias("reason")).distinct()
+    return union(ended, shared)
+
+
+def reading_issues(structure: DataFrame, elements: DataFrame, front_matter: tuple[str, ...] = (), unwanted: tuple[str, ...] = ()) -> DataFrame:
+    """(book, issue, detail): nav and ncx labels and first-level headings that are no reading boundary, or that are unwanted.
+
+    Front matter and unwanted texts are lists of the book at hand.
+    """
+    labels = structure.filter(F.col("kind").isin("nav", "ncx")).select("book", F.col("kind").alias("where"), "label")
+    tops = elements.filter("tag = 'h1'").select("book", F.col("path").alias("where"), F.col("text").alias("label"))
+    rows = union(labels, tops)
+    fold = lambda c: F.regexp_replace(F.translate(F.translate(c, "，–—闕内", ",--閥內"), "「」\u3000", ""), "\\s+", "")
+    known = F.col("label").isin(*front_matter) if front_matter else F.lit(False)
+    bad = F.lit(False)
+    for text in unwanted:
+        bad = bad | (fold(F.col("label")) == fold(F.lit(text)))
+    detail = F.concat_ws(": ", "where", "label")
+    return union(
+        rows.filter(~known & ~F.col("label").rlike(BOUNDARY)).select("book", F.lit("not a reading boundary").alias("issue"), detail.alias("detail")),
+        rows.filter(bad).select("book", F.lit("unwanted text remains").alias("issue"), detail.alias("detail")),
+    )

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from quillstone.functions.unions import union
 
 
-def printed_number(text: Column, patterns: tuple[str, ...], head: int = 300, most: int = 500) -> Column:
+#: A number of up to three digits between, before or after dots.
+PRINTED = ("[•.·]\\s*([0-9]{1,3})\\s*[•.·]", "\\b([0-9]{1,3})\\b\\s*[•.·]", "[•.·]\\s*([0-9]{1,3})\\b")
+
+
+def printed_number(text: Column, patterns: tuple[str, ...] = PRINTED, head: int = 300, most: int = 500) -> Column:
     """The first number from 1 to ``most`` that a pattern's first group gives in the head of a page, patterns in order."""
     t = F.regexp_replace(F.substring(F.coalesce(text, F.lit("")), 1, head), "\\s+", " ")
     found = [F.filter(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda x: x.cast("int")), lambda n: n.between(1, most)) for p in patterns]

@@ -139,15 +139,15 @@ WITH letters AS (SELECT doc_id, {LETTERS} AS t FROM documents), w AS (
 SELECT doc_id, size, count(*) AS n, count(DISTINCT x) AS n_distinct, max(start)::INTEGER AS last_start FROM w GROUP BY 1, 2""",
     "sentence_round_robin": """
 WITH s AS (
-  SELECT source, doc_id, i, trim(regexp_replace(p[i], '\\n', ' ', 'g'), ' ') AS sentence
-  FROM (SELECT source, doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?\\n]*[」』”’）》]*') AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i)
+  SELECT source, doc_id, i, trim(p[i], ' ') AS sentence
+  FROM (SELECT source, doc_id, string_split_regex(coalesce(text, ''), '[.!?\\n][」』）)]*') AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i)
 ), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS sentence_no FROM s WHERE sentence <> ''),
 f AS (
   SELECT *, len(regexp_extract_all(sentence, '\\p{L}')) AS letters FROM n
 ), k AS (
   SELECT *, row_number() OVER (PARTITION BY source, substr(sentence, 1, 60) ORDER BY doc_id, sentence_no) AS dup FROM f
-  WHERE letters >= 10 AND len(regexp_extract_all(sentence, '[()（）\\[\\]【】《》〈〉]')) / letters <= 0.3 AND length(sentence) >= 6
-    AND NOT regexp_matches(sentence, '譯者|參見|頁|出版|ISBN')
+  WHERE letters >= 10 AND len(regexp_extract_all(sentence, '[《》「」（）〝〞]')) / letters <= 0.3 AND length(sentence) >= 6
+    AND NOT regexp_matches(sentence, 'University Press|http://|https://|ISBN|譯者')
 )
 SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id, sentence_no)::INTEGER AS turn, source, doc_id, sentence_no, sentence FROM k WHERE dup = 1 ORDER BY turn, source LIMIT 200""",
     "span_to_doc": """

@@ -252,3 +252,105 @@ def test_toc(spark):
     nxt = [("b", "y", 0, 0, 0, "h1", "第二章", None, None), ("b", "y", 1, 0, 0, "p", "乙 文", None, None)]
     spine = spark.createDataFrame([("b", "x", 1), ("b", "y", 2)], "book string, path string, spine_no int")
     assert toc.trailing_previews(e.union(spark.createDataFrame(nxt, epub.ELEMENTS)), spine).first().first_elem == 2
+
+
+def test_reviewer(spark):
+    from quillstone.operators import review
+
+    calls = []
+    answers = iter([None, {"error": "HTTP error: 503"}, {"is_garbled": True, "confidence": 0.5}])
+    assert review.ask(lambda c: next(answers), {}, sleep=calls.append) == ({"is_garbled": True, "confidence": 0.5}, None) and calls == [1, 2]
+    assert review.ask(lambda c: {"error": "invalid JSON: x"}, {}, sleep=calls.append) == (None, "invalid JSON: x")
+    calls.clear()
+    assert review.ask(lambda c: None, {}, sleep=calls.append) == (None, "no response") and calls == [1, 2, 4, 8, 8, 8, 8]
+    assert review.parse_answer('```json\n{"a": 1}\n```') == {"a": 1} and "error" in review.parse_answer("no")
+    c = spark.createDataFrame([("good",), ("bad",)], "excerpt string")
+    client = lambda r: {"is_garbled": True} if r["excerpt"] == "good" else {"error": "unexpected response shape"}
+    got = {r.excerpt: (r.review and r.review.is_garbled, r.error) for r in review.review(c, client).collect()}
+    assert got == {"good": (True, None), "bad": (None, "unexpected response shape")}
+    with pytest.raises(Exception, match="review failed"):
+        review.review(c, client, strict=True).collect()
+
+
+def test_recognition_backend():
+    from quillstone.operators import review
+
+    class Fake:
+        def __init__(self, states, failures=0):
+            self.states, self.failures = iter(states), failures
+
+        def submit(self, chunk):
+            return "job"
+
+        def poll(self, job):
+            return next(self.states)
+
+        def fetch(self, place):
+            self.failures -= 1
+            if self.failures >= 0:
+                raise OSError("reset")
+            return {"place": place}
+
+    quiet = lambda s: None
+    assert review.wait_for(Fake([("running", None), ("done", "x")], 2), b"", sleep=quiet) == {"place": "x"}
+    with pytest.raises(RuntimeError):
+        review.wait_for(Fake([("failed", None)]), b"", sleep=quiet)
+    with pytest.raises(RuntimeError):
+        review.wait_for(Fake([("done", "x")], 9), b"", sleep=quiet)
+    clock = iter(range(0, 9000, 1000))
+    with pytest.raises(TimeoutError):
+        review.wait_for(Fake([("running", None)] * 9), b"", sleep=quiet, clock=lambda: next(clock))
+
+
+def test_rewriting():
+    from quillstone.operators import rewrite
+
+    text = '<p id="a-start">x</p><h2 class="t" name="b">y</h2>'
+    assert rewrite.unique_id(text, "a", "start") == "a-start-2" and rewrite.unique_id(text, "c", "start") == "c-start"
+    assert rewrite.add_id("<p>x</p>", 0, "n") == '<p id="n">x</p>'
+    marked = rewrite.mark_page_starts(text, ["b", "a-start"])
+    assert marked == '<p id="a-start" class="toc-page-start">x</p><h2 class="t toc-page-start" name="b">y</h2>'
+    assert rewrite.unmark_page_starts(marked) == text and rewrite.mark_page_starts(marked, ["b"]) == marked
+    assert rewrite.append_css(rewrite.append_css("p {}")) == rewrite.append_css("p {}")
+    assert rewrite.insert_marker("<p>x</p>", 0, "h2", "n", "第一章") == '<h2 id="n">第一章</h2><p>x</p>'
+    assert rewrite.replace_fragment("a.xhtml#x", "y") == "a.xhtml#y"
+
+
+def test_chapterize_and_page_starts(spark):
+    from quillstone.operators import rewrite
+
+    rows = [("b", k, p, c, bytearray(d), True) for k, p, c, d in epub.build_book("書", [("第一章 甲", "<p>前</p>"), ("附", "<p>後</p>"), ("第二章 乙", "<p>末</p>")])]
+    e = spark.createDataFrame(rows, epub.ENTRY)
+    s = epub.structure(e)
+    spine = s.filter("kind = 'spine'").select("book", F.col("member").alias("path"), F.col("ord").alias("spine_no"))
+    marks = toc.reading_boundaries(s.filter("kind = 'nav'"))
+    children = epub.body_children(e)
+    assert toc.boundary_errors(children, marks).count() == 0
+    new = rewrite.chapterize(toc.reading_segments(children, marks, spine), marks)
+    made = epub.structure(new)
+    assert constraints.structure_issues(made, new, epub.text_elements(new)).count() == 0
+    assert constraints.reading_issues(made, epub.text_elements(new)).count() == 0
+    assert [r.text for r in epub.content_texts(new).orderBy("ord").select("text").collect()] == ["第一章 甲 第一章 甲 前 附 後", "第二章 乙 第二章 乙 末"]
+    assert {r.detail for r in constraints.reading_issues(s, epub.text_elements(e), unwanted=("附",)).collect()} == {"nav: 附", "ncx: 附", "EPUB/chapter_002.xhtml: 附"}
+    started = rewrite.start_pages(e, s).filter("path = 'EPUB/chapter_001.xhtml'").first().payload.decode()
+    assert 'class="toc-page-start"' in started
+
+
+def test_suspicious_headings(spark):
+    e = spark.createDataFrame([("b", "x", 0, 0, 0, "h1", "第一章 這是一個很長的標題沒有問題。", None, None), ("b", "x", 1, 0, 0, "h2", "這是一個被誤認為標題的句子。", None, None), ("b", "x", 2, 0, 0, "h2", "居之者忽音但一通乃祔筆八", None, None)], epub.ELEMENTS)
+    spans = spark.createDataFrame([("b", "x", "甲居之者忽音但一通乙")], "book string, path string, span string")
+    got = {r.elem_no: r.reason for r in constraints.suspicious_headings(e, spans).collect()}
+    assert got == {1: "ends like a sentence", 2: "overlaps a corrupted span"}
+
+
+def test_context(spark):
+    t = spark.createDataFrame([("abcXYdef", "XY"), ("abc", "zz")], "text string, excerpt string")
+    got = [(r.context_before, r.context_after) for r in ngrams.with_context(t, "text", "excerpt", 2, 2).collect()]
+    assert got == [("bc", "de"), (None, None)]
+
+
+def test_rebuild(spark):
+    from quillstone.operators import rewrite
+
+    p = spark.createDataFrame([("b", 1, "第二章", 2, "y"), ("b", 0, "第一章", 1, "x<"), ("b", 1, "第二章", 3, "z")], "book string, chapter_no int, chapter_title string, ord int, paragraph string")
+    assert [r.text for r in epub.content_texts(rewrite.rebuild(p, "書")).orderBy("ord").collect()] == ["第一章 第一章 x<", "第二章 第二章 y z"]
