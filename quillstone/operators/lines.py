@@ -164,14 +164,16 @@ def join_pages(pages: DataFrame, book_col: str, order_col: str, paragraphs_col:
 
 
 def join_pdf_lines(lines: Column) -> Column:
-    """Lines of a block as one text: a hyphen at a line's end before a lower-case letter goes, other seams get a space."""
-    return F.aggregate(
+    """Lines of a block as one text: a hyphen at a line's end goes, closing marks follow without a space, other seams get one."""
+    joined = F.aggregate(
         lines,
-        F.lit(""),
-        lambda acc, x: F.when(acc == "", x)
-        .when(acc.rlike("\\p{L}-$") & x.rlike("^\\p{Ll}"), F.concat(F.substring(acc, F.lit(1), F.length(acc) - 1), x))
+        F.lit(None).cast("string"),
+        lambda acc, x: F.when(acc.isNull(), x)
+        .when(acc.endswith("-"), F.concat(F.substring(acc, F.lit(1), F.length(acc) - 1), x))
+        .when(x.rlike("^[,.;:?!)]"), F.concat(acc, x))
         .otherwise(F.concat(acc, F.lit(" "), x)),
     )
+    return F.trim(F.regexp_replace(F.coalesce(joined, F.lit("")), "\\s+", " "))
 
 
 def clean_lines(text: Column) -> Column:
