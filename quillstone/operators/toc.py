@@ -134,3 +134,50 @@ def boundary_errors(children: DataFrame, boundaries: DataFrame) -> DataFrame:
     missing = per.filter("child_no IS NULL").select("book", F.lit("boundary id not found").alias("issue"), F.concat_ws("#", "path", "fragment").alias("detail"))
     twice = per.filter("child_no IS NOT NULL").groupBy("book", "path", "child_no").count().filter("count > 1")
     return union(missing, twice.select("book", F.lit("several boundaries in one element").alias("issue"), F.concat_ws("#", "path", F.col("child_no").cast("string")).alias("detail")))
+
+
+def is_chapter_number(text: Column) -> Column:
+    """Exactly 第X章."""
+    return F.coalesce((kind(text) == "章") & (F.trim(text) == marker(text)), F.lit(False))
+
+
+def known_headings(elements: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """(book, path, elem_no, label): first elements that are one of the ``known`` corrupted headings, and the chapter label that takes their place.
+
+    The label is the marker of the next element and the text of the one after it, unless that begins with a marker too.
+    Labels of a table of contents that are among the known ones are replaced by their member's.
+    """
+    w = Window.partitionBy("book", "path").orderBy("elem_no")
+    nxt, after = F.lead("text", 1).over(w), F.lead("text", 2).over(w)
+    rest = F.when((F.trim("_after") != "") & marker(F.col("_after")).isNull(), F.trim("_after"))
+    t = elements.withColumn("_next", nxt).withColumn("_after", after).filter((F.col("elem_no") == 0) & F.trim("text").isin(*known))
+    return t.filter(kind(F.col("_next")) == "章").select("book", "path", "elem_no", F.concat_ws(" ", marker(F.col("_next")), rest).alias("label"))
+
+
+def stale_bibliography_titles(elements: DataFrame, note_class: str = "footnote") -> DataFrame:
+    """(book, path, elem_no): chapter headings left over from the chapter before: they follow notes, and a bare 第X章 comes within seven elements.
+
+    A note is recognised by its id or name among the eight elements before.
+    """
+    w = Window.partitionBy("book", "path").orderBy("elem_no")
+    bare = F.max(is_chapter_number(F.col("text")).cast("int")).over(w.rowsBetween(1, 7))
+    noted = F.coalesce("id", F.lit("")).contains(note_class) | F.coalesce("name", F.lit("")).contains(note_class) | F.coalesce("id", F.lit("")).startswith("fn-")
+    before = F.max(noted.cast("int")).over(w.rowsBetween(-BACK, -1))
+    t = elements.withColumn("_bare", bare).withColumn("_noted", before)
+    heading = F.col("tag").rlike("^h[1-6]$") & (kind(F.col("text")) == "章") & (F.trim("text") != marker(F.col("text")))
+    return t.filter(heading & (F.col("_bare") == 1) & (F.col("_noted") == 1)).select("book", "path", "elem_no")
+
+
+def part_moves(elements: DataFrame, targets: DataFrame) -> DataFrame:
+    """(book, path, elem_no, last_elem): part blocks that stand after the bare marker of their first chapter and are to go before it.
+
+    ``targets`` has (book, path, elem_no) of parts.  The block takes along up to three plain paragraphs without id or marker.
+    """
+    w = Window.partitionBy("book", "path").orderBy("elem_no")
+    plain = (F.col("tag") == "p") & F.col("id").isNull() & F.col("name").isNull() & marker(F.col("text")).isNull()
+    t = elements.withColumn("_plain", plain.cast("int")).withColumn("_prev", F.lag("text").over(w))
+    along = [F.coalesce(F.lead("_plain", k).over(w), F.lit(0)) for k in (1, 2, 3)]
+    t = t.withColumn("_n", along[0] + along[0] * along[1] + along[0] * along[1] * along[2])
+    return t.join(targets.select("book", "path", "elem_no"), ["book", "path", "elem_no"]).filter(is_chapter_number(F.col("_prev"))).select(
+        "book", "path", "elem_no", (F.col("elem_no") + F.col("_n")).alias("last_elem")
+    )

@@ -354,3 +354,27 @@ def test_rebuild(spark):
 
     p = spark.createDataFrame([("b", 1, "第二章", 2, "y"), ("b", 0, "第一章", 1, "x<"), ("b", 1, "第二章", 3, "z")], "book string, chapter_no int, chapter_title string, ord int, paragraph string")
     assert [r.text for r in epub.content_texts(rewrite.rebuild(p, "書")).orderBy("ord").collect()] == ["第一章 第一章 x<", "第二章 第二章 y z"]
+
+
+def test_heading_cleanup(spark):
+    def elements(rows):
+        return spark.createDataFrame([("b", "x", i, 0, 0, t, s, d, None) for i, (t, s, d) in enumerate(rows)], epub.ELEMENTS)
+
+    e = elements([("h1", "扙艶", None), ("p", "第一章", None), ("p", "開始", None)])
+    assert [(r.elem_no, r.label) for r in toc.known_headings(e, ("扙艶",)).collect()] == [(0, "第一章 開始")]
+    assert toc.known_headings(elements([("h1", "扙艶", None), ("p", "第一章", None), ("p", "第二章", None)]), ("扙艶",)).first().label == "第一章"
+    assert toc.known_headings(elements([("h1", "好", None), ("p", "第一章", None)]), ("扙艶",)).count() == 0
+    stale = [("p", "註", "fn-p1-1"), ("h2", "第一章 舊題", None), ("p", "第二章", None), ("h2", "第二章 新題", None)]
+    assert [r.elem_no for r in toc.stale_bibliography_titles(elements(stale)).collect()] == [1]
+    assert toc.stale_bibliography_titles(elements(stale[1:])).count() == 0
+    parts = [("p", "第一章", None), ("h1", "第一編", "part"), ("p", "總論", None), ("p", "題", "id"), ("p", "x", None)]
+    t = spark.createDataFrame([("b", "x", 1)], "book string, path string, elem_no int")
+    assert [(r.elem_no, r.last_elem) for r in toc.part_moves(elements(parts), t).collect()] == [(1, 2)]
+
+
+def test_semantic_windows(spark):
+    good = "天地玄黃宇宙洪荒。" * 30
+    d = spark.createDataFrame([("b", 1, good + "居之者忽音但一通乃祔筆八甲乙丙丁戊己庚辛壬癸。" + good)], "book string, doc_id int, text string")
+    found = ngrams.semantic_windows(d, ["book"]).collect()
+    assert found and all(any(c in r.excerpt for c in "居之者忽甲乙丙丁") for r in found)
+    assert [r.score for r in found] == sorted((r.score for r in found), reverse=True)
