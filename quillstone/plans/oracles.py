@@ -150,6 +150,19 @@ f AS (
     AND NOT regexp_matches(sentence, 'University Press|http://|https://|ISBN|譯者')
 )
 SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id, sentence_no)::INTEGER AS turn, source, doc_id, sentence_no, sentence FROM k WHERE dup = 1 ORDER BY turn, source LIMIT 200""",
+    "adjacent_boundaries": f"""
+WITH letters AS (SELECT {LETTERS} AS t FROM conversations),
+model AS (SELECT substr(t, i, 2) AS bigram, count(*) AS n FROM letters, unnest(range(1, length(t))) AS u(i) GROUP BY 1),
+c AS (
+  SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g'), '[」』”’）》】〕〉"0-9０-９¹²³⁴⁵⁶⁷⁸⁹⁰]+$', '') AS tail,
+         lead(turn) OVER w AS nxt, substr(lead({LETTERS}) OVER w, 1, 1) AS a
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), t AS (
+  SELECT *, right(array_to_string(regexp_extract_all(tail, '\\p{{L}}'), ''), 1) AS z FROM c WHERE nxt = turn + 1 AND tail <> '' AND NOT regexp_matches(tail, '[!?;]$')
+)
+SELECT conv_id, turn, nxt AS next_order, CASE WHEN coalesce(n, 0) <= 1 THEN 55 ELSE 40 END AS score,
+       CASE WHEN coalesce(n, 0) <= 1 THEN 'open_tail rare_seam' ELSE 'open_tail' END AS reasons
+FROM t LEFT JOIN model ON z || a = bigram WHERE z <> '' AND a <> '' AND a IS NOT NULL""",
     "span_to_doc": """
 WITH r AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[^\\n]{40}')) AS run FROM benchmark),
 h AS (SELECT run, count(DISTINCT doc_id) AS n, min(doc_id) AS doc_id FROM (SELECT DISTINCT run FROM r) JOIN documents ON contains(text, run) GROUP BY run HAVING count(DISTINCT doc_id) = 1)
@@ -184,6 +197,25 @@ UNION ALL SELECT min(doc_id), 'text repeated' FROM documents GROUP BY text HAVIN
 WITH t AS (SELECT '三三三三三三三三甲乙丙丁天地玄黃宇宙洪荒天地玄黃宇宙洪荒' AS t)
 SELECT substr(t, i, 2) AS bigram, count(*) AS n FROM t, unnest(range(1, length(t))) AS u(i) GROUP BY 1""",
     "cjk_repeats": "SELECT 1 AS doc_id, 0 AS run_no, '三' AS ch, 8 AS run_length",
+    "stripped_headers": f"""
+WITH {LINES}, marks AS (
+  SELECT DISTINCT doc_id, regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS fp FROM (SELECT doc_id, {TRIMMED} AS line FROM lines WHERE {TRIMMED} <> '' GROUP BY 1, 2 HAVING count(*) >= 3)
+), t AS (
+  SELECT l.*, {TRIMMED} AS s, count(*) OVER (PARTITION BY l.doc_id) AS n, row_number() OVER w AS k, marks.fp IS NOT NULL AS printed,
+         regexp_matches({TRIMMED}, '^([0-9]+|[零一二三四五六七八九十百千]{{1,3}})$') AS num
+  FROM lines l LEFT JOIN marks ON l.doc_id = marks.doc_id AND regexp_replace(l.line, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') = marks.fp WINDOW w AS (PARTITION BY l.doc_id ORDER BY line_no)
+), h AS (
+  SELECT *, s <> '' AND NOT num AND (printed OR (regexp_matches(s, '^第[零一二三四五六七八九十百千0-9]+[章節编編篇卷]') AND length(s) <= 25)
+    OR (regexp_matches(s, '^(「[^」]{{1,20}}」|『[^』]{{1,20}}』|"[^"]{{1,20}}")$') AND length(s) <= 20
+        AND (k = 1 OR k = n OR coalesce(lag(num) OVER w, false) OR coalesce(lead(num) OVER w, false)))) AS header
+  FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+), g AS (
+  SELECT *, n >= 2 AND (num OR header) AS gone FROM h
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone OR line = '') AS n_blank FROM g WHERE gone OR s <> '' OR line = '' OR n < 2 GROUP BY 1""",
+    "diff_patch": """
+SELECT 1 AS chunk, 1 AS page, repeat('天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏', 3) AS text, 0 AS patched
+UNION ALL SELECT 1, 2, '天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏' || '天地玄黃宇宙洪荒日月盈昃辰宿' || '天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏', 1""",
     "caption_cleanup": "SELECT * FROM (VALUES (1, '正文'), (2, '![](imgs/a.png)'), (3, '就在這時刻他說他要講幾句話！'), (4, 'Figure 1. is kept'), (5, '')) t(id, text)",
     "page_start_alignment": "SELECT * FROM (VALUES (1, 12, 1.0::DOUBLE, true), (2, 0, 1.0, false), (3, -1, 0.0, false)) t(id, \"offset\", similarity, possible_omission)",
     "visual_fallbacks": """

@@ -118,8 +118,11 @@ def sentence_round_robin(spark, sf_dir):
 
 
 def adjacent_boundaries(spark, sf_dir):
+    """Turns after which text is probably missing; full stops count as open here, since every turn ends with one."""
     c = table(spark, sf_dir, "conversations")
-    return boundaries.score_boundaries(c, "conv_id", "turn", "text", char_class=T.LETTER, terminal=".!?;").withColumn("reasons", F.array_join("reasons", " "))
+    model = ngrams.bigram_model(c, ["conv_id"], char_class=T.LETTER)
+    found = boundaries.score_boundaries(c, "conv_id", "turn", "text", model, char_class=T.LETTER, terminal="!?;")
+    return found.withColumn("reasons", F.array_join("reasons", " "))
 
 
 def span_to_doc(spark, sf_dir):
