@@ -5,6 +5,8 @@ weights, and what is left is encoded.  Every stage takes (spark, docs, sf_dir) a
 DataFrame; all but the last return the columns of ``docs`` with their values untouched.  Stages
 tell rows apart by their place in ``docs``, which is a stored table, so null and repeated ids are
 handled: repeated rows are copies of which one stays.
+
+A stage's result is to be stored before the next stage begins, which removes the scratch tables of those before.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from quillstone.llm.exact_dedup import exact_groups
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.quality import classify
 from quillstone.llm.queries import vocabulary_of
-from quillstone.llm.workspace import write_table
+from quillstone.llm.workspace import release, write_table
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -37,6 +39,7 @@ def _only(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of being good reaches one half; the source is the host, the language the path."""
+    release(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     whole = docs.select("doc_id", "text", "source", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return classify(whole, labels, F.col("source"), F.col("lang")).filter("good").select("_row.*")
@@ -44,18 +47,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id."""
+    release(spark)
     kept = exact_groups(_keyed(docs), "key").filter("kept")
     return _only(docs, kept.select(F.col("key.place").alias("_place")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 or more on five-word shingles the row with the smallest id."""
+    release(spark)
     groups = jaccard_join(_keyed(docs), id_col="key")
     return _only(docs, groups.filter(F.col("key") == F.col("class_id")).select(F.col("key.place").alias("_place")))
 
 
 def fair_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
+    release(spark)
     taken = mix_sources(_placed(docs).select("_place", "text", "source"), id_col="_place").filter("taken > 0")
     times = taken.select("_place", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("_turn"))
     return _placed(docs).join(times, "_place").select([F.col(f"`{c}`") for c in docs.columns])
@@ -63,6 +69,7 @@ def fair_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids of every text."""
+    release(spark)
     vocabulary = vocabulary_of(spark)
     return digest_tokens(encode_texts(docs, vocabulary), vocabulary, tokens=True)
 
@@ -81,7 +88,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        done = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+        if before is not None:
+            before.drop()
+        docs, before = done.df, done
+    release(spark)
     return docs

@@ -294,6 +294,9 @@ def jaccard_join(
         ),
         "join-reps",
     )
+    ids_of = write_table(sets.df.select("uid", "id", "digest"), "join-ids")
+    sets.drop()
+    sets, spent = ids_of, []
     runs = runs_for(recall, threshold)
     order = np.argsort(mix64(np.arange(POSITIONS, dtype=np.uint64) + np.uint64(1 << 32))).tolist()
     at = order[: min(POSITIONS, runs * BRANCHES)]
@@ -308,6 +311,7 @@ def jaccard_join(
     levels, leaves, depth = [], None, 1
     while True:
         stats = write_table(stats_of(level), f"paths-{depth}")
+        spent.append(stats)
         stuck = F.lit(depth >= DEPTH) | ((F.col("above") > 0) & (F.col("m") > STUCK * F.col("above")))
         done = stats.df.filter((F.col("m") <= LEAF) | stuck).select("path", "m", "s1", "s2")
         leaves = done if leaves is None else union(leaves, done)
@@ -318,7 +322,9 @@ def jaccard_join(
         here = level.select("rid", "path").join(big, "path").join(real.select("rid", "sketch"), "rid")
         position = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(POSITIONS)).cast("int")
         below = F.array_distinct(F.array(*[F.xxhash64("path", position(k), F.get("sketch", position(k))) for k in range(BRANCHES)]))
-        level = write_table(here.select("rid", "above", F.explode(below).alias("path")), f"level-{depth}").df
+        deeper = write_table(here.select("rid", "above", F.explode(below).alias("path")), f"level-{depth}")
+        spent.append(deeper)
+        level = deeper.df
         depth += 1
     kept = write_table(leaves.groupBy("m", "s1", "s2").agg(F.min("path").alias("path")).select("path", "m"), "join-leaves")
     members = write_table(union(*levels).join(kept.df, "path"), "join-members")
@@ -326,6 +332,8 @@ def jaccard_join(
     lists = write_table(
         lists.select("rid", "at", F.sort_array("at.path").alias("paths")).join(reps.df.select("rid", "n", "copies", "low"), "rid"), "join-lists"
     )
+    for t in [*spent, kept, members, reps]:
+        t.drop()
     chunks = F.ceil(F.col("one.m") / LEAF).cast("int")
     dealt = (
         lists.df.select("rid", "n", "low", "paths", F.explode("at").alias("one"))
@@ -365,6 +373,8 @@ def jaccard_join(
         )
     )
     info = write_table(info, "join-info")
+    for t in (lists, met, found, roots):
+        t.drop()
     classes = info.df.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     per_set = info.df.join(classes, "root").drop("root")
     return sets.df.select("id", "digest").join(per_set, "digest").select(

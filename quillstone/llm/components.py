@@ -24,15 +24,19 @@ def connected_components(edges: DataFrame) -> Table:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = write_table(large.filter("u != v").distinct(), "large-star")
+        current.drop()
         e = large.df
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         joined = e.join(least, "u")
         small = union(joined.select(F.col("v").alias("u"), F.col("m").alias("v")), least.select("u", F.col("m").alias("v")))
         current = write_table(small.filter("u != v").distinct(), "small-star")
+        large.drop()
         # Done when every node points at one root and no root points anywhere: the edges no longer change.
         state = current.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             e = current.df
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return write_table(union(nodes, e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+            found = write_table(union(nodes, e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+            current.drop()
+            return found
         before = state

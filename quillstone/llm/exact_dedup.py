@@ -48,8 +48,8 @@ def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 def name_texts(
     docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Callable[[Column], Column] = _md5
-) -> DataFrame:
-    """(_uid, levels, name, text_sha256) for ``docs`` (_uid, _norm): equal names at equal levels mean equal texts."""
+) -> Table:
+    """A table (_uid, levels, name, text_sha256) for ``docs`` (_uid, _norm): equal names at equal levels mean equal texts."""
     # One scan gives the narrow occurrences, another the contents, of which a map task sends each distinct block once.
     cut = _cut(docs, block_bytes)
     occurrences = write_table(
@@ -71,6 +71,7 @@ def name_texts(
         )
         first = union(first.filter("n = 1").select("_uid", "j", "name"), by_content)
     level = write_table(first.select("_uid", "j", "name"), "level-0")
+    spent = [dictionary, level]
     done = [level.df.groupBy("_uid").agg(F.max("j").alias("last"), F.max("name").alias("name")).filter("last = 0").select(
         "_uid", F.lit(0).alias("levels"), "name"
     )]
@@ -87,6 +88,7 @@ def name_texts(
             )
         )
         pairs = write_table(pairs, f"pairs-{depth}")
+        spent.append(pairs)
         if not pairs.df.limit(1).count():
             break
         depth += 1
@@ -94,12 +96,16 @@ def name_texts(
         level = write_table(
             pairs.df.join(above.df, ["a", "b"]).select("_uid", F.col("k").alias("j"), "name"), f"level-{depth}"
         )
+        spent += [above, level]
         done.append(
             level.df.groupBy("_uid").agg(F.max("j").alias("last"), F.max("name").alias("name")).filter("last = 0").select(
                 "_uid", F.lit(depth).alias("levels"), "name"
             )
         )
-    return union(*done).join(occurrences.df.filter("j = 0").select("_uid", "text_sha256"), "_uid")
+    named = write_table(union(*done).join(occurrences.df.filter("j = 0").select("_uid", "text_sha256"), "_uid"), "exact-names")
+    for t in [occurrences, *spent]:
+        t.drop()
+    return named
 
 
 def exact_groups(
@@ -123,7 +129,7 @@ def exact_groups(
         "_uid", F.struct("_id", F.monotonically_increasing_id().alias("n"))
     )
     # The row number is part of the uid only to tell repeated ids apart.
-    names = write_table(name_texts(base, block_bytes, digest), "exact-names")
+    names = name_texts(base, block_bytes, digest)
     groups = names.df.groupBy("levels", "name").agg(
         F.min(F.struct(F.col("_uid._id").isNull().alias("z"), F.col("_uid").alias("u"))).alias("keep"),
         F.count("*").alias("group_size"),

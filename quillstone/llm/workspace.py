@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Places of tables that are still there and that ``release`` may remove.
+_SCRATCH: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +36,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; it is removed when the driver ends."""
+def new_path(spark: SparkSession, tag: str, lasting: bool = False) -> str:
+    """A fresh path below the shared folder; it is removed when the driver ends, or by ``release`` unless ``lasting``."""
     path = f"{shared_dir(spark)}/quillstone/{tag}-{uuid.uuid4().hex}"
+    if not lasting:
+        _SCRATCH[path] = None
 
     def remove() -> None:
         try:
@@ -48,6 +52,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables that operators have left so far; no plan may read them any more."""
+    for path in list(_SCRATCH):
+        _SCRATCH.pop(path, None)
+        delete(spark, path)
+
+
 class Table:
     """A materialised DataFrame together with its place."""
 
@@ -59,13 +70,14 @@ class Table:
         return self._spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
+        _SCRATCH.pop(self.path, None)
         delete(self._spark, self.path)
 
 
-def write_table(df: DataFrame, tag: str) -> Table:
+def write_table(df: DataFrame, tag: str, lasting: bool = False) -> Table:
     """Write ``df`` to the shared folder as Parquet and return the table."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = new_path(spark, tag, lasting)
     df.write.option("compression", "zstd").parquet(path)
     return Table(spark, path, df.schema)
 
