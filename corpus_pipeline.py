@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import digest_tokens, encode_texts
+from quillstone.llm.bpe import digests, encode_texts
 from quillstone.llm.chosen_path import jaccard_join
 from quillstone.llm.exact_dedup import exact_groups
 from quillstone.llm.mixing import mix_sources
@@ -71,7 +71,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids of every text."""
     release(spark)
     vocabulary = vocabulary_of(spark)
-    return digest_tokens(encode_texts(docs, vocabulary), vocabulary, tokens=True)
+    return encode_texts(docs, vocabulary, finish=digests(vocabulary, tokens=True))
 
 
 STAGES = [

@@ -31,10 +31,12 @@ from quillstone.llm.packed import (
     unpack_words,
     word_hashes,
 )
-from quillstone.llm.workspace import write_bucketed
+from quillstone.llm.workspace import small_batches, write_bucketed
 
 #: Distinct pre-tokens that one group of the exchange gets on average, and the fewest groups.
-GROUP_WORDS, LEAST_GROUPS = 300_000, 24
+GROUP_WORDS, LEAST_GROUPS = 150_000, 24
+#: Text bytes of a block, pre-tokens held as Python strings, and ids decoded at a time.
+TEXT_BYTES, PIECES, SLICE_IDS = 4 << 20, 50_000, 250_000
 
 _ENCODERS: dict[str, object] = {}
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -88,14 +90,19 @@ def _blocks(pattern: str):
         import regex
 
         find = regex.compile(pattern).findall
-        for seq, table in enumerate(cut_blocks(batches, "text")):
-            pieces, lengths = [], []
-            for text in table["text"].to_pylist():
-                own = find(text) if text else []
+        for seq, table in enumerate(cut_blocks(batches, "text", TEXT_BYTES)):
+            pieces, lengths, parts = [], [], []
+            for text in table["text"]:
+                own = find(text.as_py() or "")
                 pieces += own
                 lengths.append(len(own))
-            encoded = pa.array(pieces, pa.large_string()).dictionary_encode()
+                if len(pieces) > PIECES:  # strings cost far less in Arrow
+                    parts.append(pa.array(pieces, pa.large_string()))
+                    pieces = []
+            parts.append(pa.array(pieces, pa.large_string()))
             del pieces
+            encoded = pa.concat_arrays(parts).dictionary_encode()
+            del parts
             words, place = by_hash(encoded.dictionary)
             sequence = place[encoded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
             uses = np.bincount(sequence, minlength=len(words))
@@ -155,14 +162,14 @@ def _encode_words(vocabulary: Vocabulary):
     return encode
 
 
-def _assemble(id_type: pa.DataType):
+def _assemble(id_type: pa.DataType, finish=None):
     def assemble(blocks: pa.Table, returned: pa.Table) -> pa.Table:
         ids, values, offsets = [], np.zeros(0, np.int64), np.zeros(1, np.int64)
         if blocks.num_rows:
             row = blocks.to_pylist()[0]
             parts = sorted(returned.to_pylist(), key=lambda r: r["p"])
             join = lambda c: np.concatenate([np.zeros(0, np.int64), *[unpack(r[c]) for r in parts]])
-            counts, flat = join("counts"), join("tokens")
+            counts, flat = join("counts"), join("tokens").astype(np.int32)
             starts = np.cumsum(counts) - counts
             sequence, lengths = by_use(unpack(row["uses"]))[unpack(row["sequence"])], unpack(row["lengths"])
             sizes = counts[sequence]
@@ -170,18 +177,22 @@ def _assemble(id_type: pa.DataType):
             upto = np.concatenate(([0], np.cumsum(sizes)))
             offsets = np.concatenate(([0], upto[np.cumsum(lengths)]))
             ids = row["ids"]
-        tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
-        return pa.table([pa.array(ids, id_type), tokens], names=["id", "tokens"])
+        tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+        out = pa.table([pa.array(ids, id_type), tokens], names=["id", "tokens"])
+        return finish(out) if finish else out
 
     return assemble
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", finish=None) -> DataFrame:
     """(id, tokens array<int>) of every row of ``docs``, as encoding each pattern match separately gives.
 
+    ``finish`` is a (function of an Arrow table of id and tokens, schema) that is applied where the ids are put together.
+
     A null or empty text has no tokens; repeated rows are encoded each; an empty table gives an
     empty result.  Only the id and text columns are read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType
     ddl = kind.simpleString()
@@ -205,7 +216,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         blocks.df.select("block", "ids", "lengths", "sequence", "uses")
         .groupBy("block")
         .cogroup(returned.groupBy("block"))
-        .applyInArrow(_assemble(to_arrow_type(kind)), f"id {ddl}, tokens array<int>")
+        .applyInArrow(_assemble(to_arrow_type(kind), finish and finish[0]), f"id {ddl}, " + (finish[1] if finish else "tokens array<int>"))
         .withColumnRenamed("id", id_col)
     )
 
@@ -225,7 +236,7 @@ def decode_lists(tokens: pa.Array, vocabulary: Vocabulary) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(content.tobytes())])
 
 
-def sliced(batch: pa.RecordBatch, column: str, size: int = 1_000_000):
+def sliced(batch: pa.RecordBatch, column: str, size: int = SLICE_IDS):
     """Slices of a batch with about ``size`` list elements each."""
     counts = np.asarray(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     group = np.cumsum(counts) // size
@@ -247,29 +258,31 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, tokens_col: str = "to
     return encoded.mapInArrow(decode, ", ".join([*columns, "data binary"]))
 
 
-def digest_tokens(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tokens: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded texts, with the ids themselves if ``tokens``.
+def digests(vocabulary: Vocabulary, tokens: bool = False):
+    """A ``finish`` for ``encode_texts``: n_tokens, ids_sha256, decoded_sha256 of each text, and the ids themselves if ``tokens``.
 
-    The first digest is of the ids as little-endian unsigned 32-bit integers, the second of the decoded bytes.
+    The first digest is of the ids as little-endian unsigned 32-bit integers, the second of the bytes they decode to.
     """
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["tokens"] if tokens else [])]
-
-    def digests(batches):
-        for whole in batches:
-            for batch in sliced(whole, "tokens"):
-                lists = batch.column("tokens")
-                flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-                offsets = offsets - offsets[0]
-                data = decode_lists(lists, vocabulary)
-                columns = [
-                    batch.column(id_col),
-                    lists.value_lengths().cast(pa.int64()),
-                    pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()),
-                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in data], pa.string()),
-                    *([lists] if tokens else []),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kind = encoded.schema[id_col].dataType.simpleString()
-    ddl = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
-    return encoded.select(id_col, "tokens").mapInArrow(digests, ddl)
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["tokens"] if tokens else [])]
+
+    def digest(whole: pa.Table) -> pa.Table:
+        parts = []
+        for batch in (b for record in whole.to_batches() for b in sliced(record, "tokens")):
+            lists = batch.column("tokens")
+            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            data = decode_lists(lists, vocabulary)
+            columns = [
+                batch.column("id"),
+                lists.value_lengths().cast(pa.int64()),
+                pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()),
+                pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in data], pa.string()),
+                *([lists] if tokens else []),
+            ]
+            parts.append(pa.Table.from_arrays(columns, names=names))
+        if not parts:
+            kinds = [whole.schema.field("id").type, pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if tokens else [])]
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        return pa.concat_tables(parts)
+
+    return digest, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens

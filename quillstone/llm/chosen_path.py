@@ -24,7 +24,7 @@ from quillstone.functions.unions import union
 from quillstone.llm.components import connected_components
 from quillstone.llm.packed import cut_blocks, mix64
 from quillstone.llm.shingles import shingle_sets
-from quillstone.llm.workspace import write_table
+from quillstone.llm.workspace import small_batches, write_table
 
 POSITIONS, BIN_SHIFT = 128, 57
 #: Sampled positions of a run, at the root and at every path that is split.
@@ -282,6 +282,7 @@ def jaccard_join(
     Copies are joined as one set with a count.  A pair of sets that meets on several paths counts on the smallest only, so counts are
     added up where pairs meet, and pairs are never written out.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     ddl = source.schema["id"].dataType.simpleString()
     assert to_arrow_type(source.schema["id"].dataType) is not None

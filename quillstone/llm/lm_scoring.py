@@ -36,7 +36,7 @@ from quillstone.llm.packed import (
     unpack_words,
     word_hashes,
 )
-from quillstone.llm.workspace import write_table
+from quillstone.llm.workspace import small_batches, write_table
 
 #: Distinct words, and distinct pairs, that one group of an exchange gets on average.
 GROUP_WORDS, GROUP_PAIRS = 400_000, 800_000
@@ -343,7 +343,7 @@ def score_texts(
     Only N, V and cells of held-out events (at most buckets * STEPS * STEPS) come to the driver; all held-out
     events count, each with its cell's mean estimates.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), kind.cast("int").alias("kind"))
     id_ddl = rows.schema["id"].dataType.simpleString()
     binary = lambda *names: ", ".join(f"{c} binary" for c in names)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import zstandard
 
 #: Text bytes after which a block is closed; a longer text is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -70,14 +70,14 @@ def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def cut_blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]:
-    """Tables of consecutive rows with about BLOCK_BYTES of text each."""
+def cut_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with about ``most`` bytes of text each."""
     held, size = [], 0
     for batch in batches:
         sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), float))
         start = 0
         for i, n in enumerate(sizes):
-            if size and size + n > BLOCK_BYTES:
+            if size and size + n > most:
                 held.append(batch.slice(start, i - start))
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size, start = [], 0, i

@@ -117,10 +117,10 @@ def vocabulary_of(spark: SparkSession):
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts that they decode to, as digests."""
-    from quillstone.llm.bpe import digest_tokens, encode_texts
+    from quillstone.llm.bpe import digests, encode_texts
 
     vocabulary = vocabulary_of(spark)
-    return digest_tokens(encode_texts(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return encode_texts(_table(spark, sf_dir, "documents"), vocabulary, finish=digests(vocabulary))
 
 
 def op10_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.workspace import materialize, new_path
+from quillstone.llm.workspace import materialize, new_path, small_batches
 
 # Fixed values of the formats: Zstandard magic numbers, WARC and revisit profile names.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -181,15 +181,15 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Writers name archives anew in every attempt and report those they finished, so a lost executor's files are never read.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     path = new_path(spark, "warc")
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("uid", F.monotonically_increasing_id())
-    heads = [
-        bytes(r[0])
-        for r in rows.select(F.substring("payload", 1, DICTIONARY_HEAD).alias("h"), F.xxhash64("id").alias("o"), "uid")
-        .orderBy("o", "uid").select("h").limit(DICTIONARY_ROWS).collect()
-    ]
+    # The sample is chosen by narrow rows, so that every task sends few bytes; it has at most DICTIONARY_ROWS rows.
+    sample = rows.select("uid", F.xxhash64("id").alias("o")).orderBy("o", "uid").limit(DICTIONARY_ROWS).select("uid")
+    heads = rows.join(F.broadcast(sample), "uid").select("uid", F.substring("payload", 1, DICTIONARY_HEAD).alias("h")).collect()
+    heads = [bytes(r.h) for r in sorted(heads)]
     dictionary = train_dictionary(heads)
 
     name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("uid").cast("string"))

@@ -29,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 8 MB rather than Spark's 64 MB, for the whole session, so that several workers fit an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a table of this module once no plan reads it any more."""
     jvm = spark.sparkContext._jvm

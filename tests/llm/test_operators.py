@@ -292,14 +292,14 @@ def test_next_rows(spark):
 def test_bpe(spark, table, empty):
     import public_tokenizers as P
 
-    from quillstone.llm.bpe import Vocabulary, decode_ids, digest_tokens, encode_texts
+    from quillstone.llm.bpe import Vocabulary, decode_ids, digests, encode_texts
 
     vocabulary = Vocabulary(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     encoded = encode_texts(table, vocabulary)
     got = Counter((r.doc_id, tuple(r.tokens), bytes(r.data)) for r in decode_ids(encoded, vocabulary).collect())
     machine = vocabulary.encoder()
     assert got == Counter((d, tuple(machine.encode_ordinary(t or "")), (t or "").encode()) for d, t, *_ in ROWS)
-    one = digest_tokens(encoded.filter("doc_id = 7"), vocabulary).first()
+    one = encode_texts(table, vocabulary, finish=digests(vocabulary)).filter("doc_id = 7").first()
     assert one.n_tokens == len(machine.encode_ordinary(LONG)) and one.decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
     assert encode_texts(empty, vocabulary).count() == 0
     odd = spark.createDataFrame([(1, [0, -1, 60_000]), (2, None)], "doc_id int, tokens array<int>")
