@@ -53,7 +53,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     from quillstone.llm.url_filter import judge_urls
 
-    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    names = ("action", "host", "path")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in URL_RULES])))
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
