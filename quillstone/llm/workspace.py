@@ -83,7 +83,7 @@ def write_table(df: DataFrame, tag: str, lasting: bool = False) -> Table:
     """Write ``df`` to the shared folder as Parquet and return the table."""
     spark = df.sparkSession
     path = new_path(spark, tag, lasting)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return Table(spark, path, df.schema)
 
 
@@ -109,7 +109,7 @@ def write_bucketed(df: DataFrame, tag: str, key: str) -> BucketedTable:
     path = new_path(spark, tag)
     name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
     buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    df.write.option("compression", "snappy").option("path", path).bucketBy(buckets, key).saveAsTable(name)
     return BucketedTable(spark, path, df.schema, name)
 
 
