@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.functions.unions import union
 from quillstone.llm.components import connected_components
@@ -38,7 +37,7 @@ SLACK = 5.5
 #: Ids of texts to verify are broadcast up to this many (under 10 MB); more are shuffled.
 MAX_BROADCAST_IDS = 200_000
 #: Columns of a block of the incidence matrix.
-COLUMNS = 4096
+COLUMNS = 1024
 
 _PROBES: list[np.ndarray] = []
 
@@ -236,11 +235,12 @@ def _verify(threshold: float):
                         np.int64,
                     )
                 else:
-                    inter = _intersections(hashes, offsets, s, e).astype(np.int64)
-                    union = size[s:e, None] + size[None, s:e] - inter
+                    inter = _intersections(hashes, offsets, s, e).astype(np.int32)
+                    union = size[s:e, None].astype(np.int32) + size[None, s:e].astype(np.int32) - inter
                     i, j = np.nonzero(np.triu(inter >= threshold * union - 1e-9, 1))
-                    common = inter[i, j]
+                    common = inter[i, j].astype(np.int64)
                     i, j = i + s, j + s
+                    del inter, union
                 ok = (common >= threshold * (size[i] + size[j] - common) - 1e-9) & ((lo[i] == hi[i]) | (chunk[i] != chunk[j]))
                 i, j = i[ok], j[ok]
                 new = ~_met_before(lists, path, i, j)
@@ -285,7 +285,6 @@ def jaccard_join(
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     ddl = source.schema["id"].dataType.simpleString()
-    assert to_arrow_type(source.schema["id"].dataType) is not None
     sets = write_table(
         source.mapInArrow(_sketch, f"uid long, id {ddl}, n long, digest binary, sketch array<int>, low binary"), "join-sets"
     )
