@@ -18,6 +18,8 @@ import zstandard
 
 #: Text bytes after which a block is closed; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Bytes that a row counts besides its text, so that a block of very short texts has a bounded number of rows.
+ROW_BYTES = 128
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -81,7 +83,7 @@ def cut_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_B
                 held.append(batch.slice(start, i - start))
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size, start = [], 0, i
-            size += n + 16
+            size += n + ROW_BYTES
         if start < len(sizes):
             held.append(batch.slice(start))
     if sum(b.num_rows for b in held):
