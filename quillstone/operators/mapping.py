@@ -11,28 +11,27 @@ from pyspark.sql import functions as F
 
 
 def grams(text: Column, k: int) -> Column:
-    """All distinct stretches of ``k`` characters."""
-    n = F.length(text)
-    return F.when(
-        n >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k))))
-    ).otherwise(F.array().cast("array<string>"))
+    """All distinct stretches of ``k`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % k), F.lit(1)))
 
 
 def contains_join(
     needles: DataFrame, pages: DataFrame, needle_col: str, text_col: str, keep: list[str], page_keep: list[str], k: int = 5, salts: int = 8
 ) -> DataFrame:
-    """(keep…, needle, page_keep…) of every needle of at least ``k`` characters that a page contains.
+    """(keep…, needle, page_keep…) of every needle of at least ``k`` characters that a page contains; ``page_keep`` begins with the page's id.
 
     Pages are reduced to those of their k-grams that begin some needle: the distinct beginnings are joined first, so that only hits travel.
     Needles that share a beginning are spread over ``salts``.
     """
-    first = F.substring(F.col(needle_col), 1, k)
-    needles = needles.filter(F.length(needle_col) >= k).select(*keep, F.col(needle_col).alias("_needle"), first.alias("_gram"))
+    page_id = page_keep[0]
+    needles = needles.filter(F.length(needle_col) >= k).select(*keep, F.col(needle_col).alias("_needle"), F.substring(needle_col, 1, k).alias("_gram"))
     wanted = needles.select("_gram").distinct()
-    hits = pages.select(*page_keep, F.col(text_col).alias("_text")).withColumn("_gram", F.explode(grams(F.col("_text"), k))).join(wanted, "_gram", "left_semi")
+    hits = pages.select(F.col(page_id).alias("_page"), F.explode(grams(F.col(text_col), k)).alias("_gram")).join(wanted, "_gram", "left_semi")
     salted = needles.withColumn("_salt", F.pmod(F.xxhash64("_needle"), F.lit(salts)))
     hits = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    found = salted.join(hits, ["_gram", "_salt"]).filter(F.col("_text").contains(F.col("_needle")))
+    found = salted.join(hits, ["_gram", "_salt"]).drop("_gram", "_salt")
+    texts = pages.select(*page_keep, F.col(text_col).alias("_text"))
+    found = found.join(texts, F.col("_page") == F.col(page_id)).filter(F.col("_text").contains(F.col("_needle")))
     return found.select(*keep, F.col("_needle").alias(needle_col), *page_keep)
 
 
