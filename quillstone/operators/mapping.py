@@ -45,11 +45,15 @@ def spans_to_pages(spans: DataFrame, pages: DataFrame, span_id: str, span_col: s
 
 
 def source_lookup(
-    excerpts: DataFrame, pages: DataFrame, excerpt_id: str, excerpt_col: str, page_id: str, text_col: str, size: int = 5, most: int = 25,
+    excerpts: DataFrame, pages: DataFrame, excerpt_id: str, excerpt_col: str, page_id: str, text_col: str, size: int = 5, most: int | None = 25,
     before: int = 40, after: int = 120,
 ) -> DataFrame:
-    """(excerpt_id, page_id, key, context): the first page that has any of an excerpt's keys, its stretches of ``size`` characters at 0, ``size``, … below ``most``."""
-    starts = F.sequence(F.lit(1), F.least(F.length(excerpt_col) - size + 1, F.lit(most)), F.lit(size))
+    """(excerpt_id, page_id, key, context): the first page that has any of an excerpt's keys, its stretches of ``size`` characters at 0, ``size``, … below ``most``.
+
+    Without ``most`` the keys go over the whole excerpt.
+    """
+    last = F.length(excerpt_col) - size + 1
+    starts = F.sequence(F.lit(1), last if most is None else F.least(last, F.lit(most)), F.lit(size))
     keys = excerpts.filter(F.length(excerpt_col) >= size).select(
         excerpt_id, F.length(excerpt_col).alias("_len"), F.posexplode(F.transform(starts, lambda i: F.substring(F.col(excerpt_col), i, F.lit(size)))).alias("_k", "key")
     )

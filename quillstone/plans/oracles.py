@@ -173,6 +173,11 @@ k AS (SELECT item_id, length(x) AS len, s, substr(x, s, 24) AS key FROM e, unnes
 m AS (SELECT item_id, len, key, doc_id, text, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, s) AS r FROM k JOIN documents ON contains(text, key)),
 f AS (SELECT *, instr(text, key) - 1 AS p FROM m WHERE r = 1)
 SELECT item_id, doc_id, key, trim(substr(text, greatest(p - 40, 0)::INTEGER + 1, (p + len + 120 - greatest(p - 40, 0))::INTEGER), ' ') AS context FROM f""",
+    "source_lookup_whole": """
+WITH k AS (SELECT item_id, length(text) AS len, s, substr(text, s, 24) AS key FROM benchmark, unnest(range(1, length(text) - 22, 24)) AS u(s)),
+m AS (SELECT item_id, len, key, doc_id, documents.text AS t, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, s) AS r FROM k JOIN documents ON contains(documents.text, key)),
+f AS (SELECT *, instr(t, key) - 1 AS p FROM m WHERE r = 1)
+SELECT item_id, doc_id, key, trim(substr(t, greatest(p - 40, 0)::INTEGER + 1, (p + len + 120 - greatest(p - 40, 0))::INTEGER), ' ') AS context FROM f""",
     "inversion_swaps": """
 WITH n AS (SELECT user_id, row_number() OVER w - 1 AS idx, event_id % 7 AS printed, lead(event_id % 7) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 i AS (SELECT user_id, idx, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM n WHERE printed = nxt + 1)

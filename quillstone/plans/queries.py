@@ -136,6 +136,12 @@ def source_lookup(spark, sf_dir):
     return mapping.source_lookup(b, _documents(spark, sf_dir, "doc_id", "text"), "item_id", "excerpt", "doc_id", "text", size=24, most=96)
 
 
+def source_lookup_whole(spark, sf_dir):
+    """`source_lookup` of whole texts: keys over all of a text, and a context as long as it."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("excerpt"))
+    return mapping.source_lookup(b, _documents(spark, sf_dir, "doc_id", "text"), "item_id", "excerpt", "doc_id", "text", size=24, most=None)
+
+
 def inversion_swaps(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     n = e.select(
@@ -294,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lines_explode, clean_text, visible_text, heading_candidates, toc_links, running_headers, page_segments, stripped_headers, bigram_model, book_bigram_model,
-        singleton_windows, repeat_runs, fragment_scores, top_suspicious, hopping_windows, sentence_round_robin, adjacent_boundaries, span_to_doc, source_lookup,
+        singleton_windows, repeat_runs, fragment_scores, top_suspicious, hopping_windows, sentence_round_robin, adjacent_boundaries, span_to_doc, source_lookup, source_lookup_whole,
         inversion_swaps, repaired_order, asof_boundary, range_sections, kth_occurrence_link, noise_tables, paragraph_reflow, chinese_numerals, constraint_violations,
         cjk_scanner, cjk_repeats, caption_cleanup, diff_patch, page_start_alignment, visual_fallbacks, epub_issues, epub_segments, toc_targets, chapters,
     )
