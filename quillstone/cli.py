@@ -71,18 +71,20 @@ def rebuild(spark: SparkSession, folder: str, out: str, title: str = "", toc_pat
     pages = checkpoints.read_checkpoints(spark, folder).withColumn("text", noise.clean_captions(noise.clean_ocr_noise(F.col("text"))))
     pages = pages.withColumn("page", F.col("seq_page"))
     if toc_path:
-        marks = pages.select("book").distinct().crossJoin(F.broadcast(checkpoints.read_toc(spark, toc_path).select("page", "title")))  # one row a heading of one file
+        marks = pages.select("book").distinct().crossJoin(F.broadcast(checkpoints.read_toc(spark, toc_path)))  # one row a heading of one file
     else:
         marks = headings.filter_headings(headings.heading_candidates(pages)).select("book", "page", "title")
     split = lines.explode_lines(pages.withColumn("_k", F.struct("book", "page")), "_k").select("_k", "line_no", "line")
-    prints = headings.header_fingerprints(marks).join(pages.select("book", "page"), "book").select(F.struct("book", "page").alias("_k"), "fingerprint")
-    own = marks.select(F.struct("book", "page").alias("_k"), headings.heading_key(F.col("title")).alias("_h")).distinct()
+    named = marks.withColumn("title", F.explode("source")) if toc_path else marks
+    prints = headings.header_fingerprints(named).join(pages.select("book", "page"), "book").select(F.struct("book", "page").alias("_k"), "fingerprint")
+    own = headings.heading_keys(marks).select(F.struct("book", "page").alias("_k"), F.col("key").alias("_h"))
     kept = split.withColumn("_h", headings.heading_key(F.col("line"))).join(own.withColumn("_own", F.lit(True)), ["_k", "_h"], "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
     clean = lines.strip_page_headers(kept.select("_k", "line_no", "line", "_own"), prints, "_k", "_own")
-    text = clean.groupBy("_k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("text"))
-    paragraphs = text.select("_k.book", "_k.page", F.posexplode(lines.reflow(F.col("text"))).alias("line_no", "line"))
+    clean = clean.join(kept.filter("_own").select("_k", "line_no", F.rtrim("line").alias("_own")), ["_k", "line_no"], "left")
+    text = clean.groupBy("_k").agg(F.collect_set("_own").alias("own"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("text"))
+    paragraphs = text.select("_k.book", "_k.page", F.posexplode(lines.reflow(F.col("text"), confirmed=F.col("own"))).alias("line_no", "line"))
     chapters = headings.split_chapters(paragraphs, marks)
-    body = chapters.filter(headings.heading_key(F.col("line")) != headings.heading_key(F.col("chapter_title")))
+    body = chapters.filter(~F.col("heading") & (headings.heading_key(F.col("line")) != headings.heading_key(F.col("chapter_title"))))
     rows = body.select("book", "chapter_no", "chapter_title", F.struct("page", "line_no").alias("ord"), F.col("line").alias("paragraph"))
     return epub.write_books(rewrite.rebuild(rows, title), out)
 

@@ -16,6 +16,11 @@ KEYWORDS = (
     "Chapter", "Part", "Lecture", "Preface", "Intro", "Appendix", "Prologue", "Epilogue", "Conclusion", "Acknowledgements", "Contents", "Abstract",
     "序", "前言", "导论", "目录", "附录", "后记",
 )
+#: Headings that split a book for which none are confirmed.
+STRUCTURAL = (
+    "^#{1,2}\\s+(?:Chapter|Part|Lecture|Preface|Intro|Appendix|Prologue|Epilogue|Conclusion|Book|Acknowledgements|Contents|Abstract"
+    f"|序|前言|导论|目录|第[{NUMERALS}]+[篇章讲])"
+)
 
 
 def html_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -88,7 +93,7 @@ def heading_key(title: Column) -> Column:
     t = F.regexp_replace(F.trim(title), "^#+\\s*", "")
     t = F.regexp_replace(t, "\\$\\s*\\\\underline\\{(.+?)\\}\\s*\\$", "")
     t = F.regexp_replace(F.trim(t), "^[0-9]+\\s+", "")
-    t = F.regexp_replace(t, f"^[（(](第[{NUMERALS}]+[章節编編篇卷部])[）)]", "$1")
+    t = F.regexp_replace(t, f"^[（(〔【\\[]\\s*(第[{NUMERALS}]+[章節节编編篇部卷])\\s*[）)〕】\\]]", "$1 ")
     return F.trim(F.regexp_replace(t, "\\s+", " "))
 
 
@@ -100,28 +105,57 @@ def header_fingerprints(headings: DataFrame, book_col: str = "book", title_col:
     return headings.select(book_col, F.explode(parts).alias("fingerprint")).distinct()
 
 
-def split_chapters(lines: DataFrame, confirmed: DataFrame, book_col: str = "book", page_col: str = "page", order_col: str = "line_no") -> DataFrame:
-    """Lines with chapter_no and chapter_title, split at confirmed headings.
+def heading_keys(confirmed: DataFrame, book_col: str = "book", page_col: str = "page") -> DataFrame:
+    """(book, page, key, title) of confirmed headings: the keys of ``title`` and of ``match`` (an array, if there), and their 第X章 alone.
 
-    ``confirmed`` has (book, page, title); a line matches a heading of its own page, else of the page before, by key.
-    Plain lines match once a page.  A title repeated by the next heading goes on.  Lines before the first heading are chapter 0.
+    Of headings with the same key on a page the last by ``ord``, else by title, counts.
     """
-    marks = confirmed.select(book_col, F.col(page_col).alias("_p"), heading_key(F.col("title")).alias("_key"), F.col("title").alias("_title"))
-    last = Window.partitionBy(book_col, "_p", "_key").orderBy(F.col("_title").desc())
-    marks = marks.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
-    keyed = lines.withColumn("_key", heading_key(F.col("line")))
-    here = keyed.join(marks.withColumnRenamed("_p", page_col).withColumnRenamed("_title", "_here"), [book_col, page_col, "_key"], "left")
-    before = marks.withColumn(page_col, F.col("_p") + 1).drop("_p").withColumnRenamed("_title", "_before")
-    both = here.join(before, [book_col, page_col, "_key"], "left").withColumn("_hit", F.coalesce("_here", "_before"))
-    page = Window.partitionBy(book_col, page_col, "_hit").orderBy(order_col)
-    both = both.withColumn("_hit", F.when(F.col("line").startswith("#") | (F.row_number().over(page) == 1), F.col("_hit")))
-    w = Window.partitionBy(book_col).orderBy(page_col, order_col)
+    texts = F.array("title")
+    if "match" in confirmed.columns:
+        texts = F.concat(texts, F.coalesce(F.col("match"), F.array().cast("array<string>")))
+    rank = F.col("ord") if "ord" in confirmed.columns else F.lit(0)
+    rows = confirmed.filter(F.trim("title") != "").select(book_col, F.col(page_col).alias("page"), F.col("title"), rank.alias("_o"), F.explode(texts).alias("_t"))
+    key = heading_key(F.col("_t"))
+    rows = rows.withColumn("key", F.explode(F.array(key, F.regexp_extract(key, f"^(第[{NUMERALS}]+[章節节编編篇卷部])\\s", 1)))).filter("key != ''")
+    last = Window.partitionBy(book_col, "page", "key").orderBy(F.col("_o").desc(), F.col("title").desc())
+    return rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1").select(book_col, "page", "key", "title")
+
+
+def split_chapters(lines: DataFrame, confirmed: DataFrame | None, book_col: str = "book", page_col: str = "page", order_col: str = "line_no") -> DataFrame:
+    """Lines with chapter_no, chapter_title and heading (whether the line is a heading that was met), split at confirmed headings.
+
+    ``confirmed`` has (book, page, title), and may have match (array), ord and page_start; a line matches a heading of its own page,
+    else of the page before, by key.  Plain lines match once a page, and never on a page that starts a chapter by ``page_start``;
+    that chapter begins before the page's first line.  A title repeated by the next heading goes on.  Lines before the first heading
+    are chapter 0.  Without ``confirmed`` the structural headings of one or two ``#`` split.
+    """
+    if confirmed is None:
+        both = lines.withColumn("_hit", F.when(F.col("line").rlike(STRUCTURAL), F.trim(F.regexp_extract("line", "^#{1,2}\\s+(.+)$", 1)))).withColumn("_start", F.lit(False))
+    else:
+        marks = heading_keys(confirmed, book_col, page_col).select(book_col, F.col("page").alias("_p"), F.col("key").alias("_key"), F.col("title").alias("_title"))
+        keyed = lines.withColumn("_key", heading_key(F.col("line")))
+        here = keyed.join(marks.withColumnRenamed("_p", page_col).withColumnRenamed("_title", "_here"), [book_col, page_col, "_key"], "left")
+        before = marks.withColumn(page_col, F.col("_p") + 1).drop("_p").withColumnRenamed("_title", "_before")
+        both = here.join(before, [book_col, page_col, "_key"], "left").withColumn("_hit", F.coalesce("_here", "_before"))
+        both = both.select(*lines.columns, "_hit", F.lit(False).alias("_start"))
+        if "page_start" in confirmed.columns:
+            rank = F.col("ord") if "ord" in confirmed.columns else F.lit(0)
+            starts = confirmed.filter(F.col("page_start") & (F.trim("title") != "")).groupBy(book_col, F.col(page_col).cast(lines.schema[page_col].dataType).alias(page_col))
+            starts = starts.agg(F.max_by("title", F.struct(rank, "title")).alias("_hit"))
+            row = [F.col(c) if c in (book_col, page_col) else F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in lines.columns]
+            both = union(both, starts.join(lines.select(book_col).distinct(), book_col, "left_semi").select(*row, "_hit", F.lit(True).alias("_start")))
+        first = Window.partitionBy(book_col, page_col, "_hit").orderBy(F.col("_start").desc(), order_col)
+        started = F.max("_start").over(Window.partitionBy(book_col, page_col))
+        plain = (F.row_number().over(first) == 1) & ~started
+        both = both.withColumn("_hit", F.when(F.col("_start") | F.col("line").startswith("#") | plain, F.col("_hit")))
+    w = Window.partitionBy(book_col).orderBy(page_col, F.col("_start").desc(), order_col)
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("_prev", F.last("_hit", ignorenulls=True).over(so_far))
-    new = F.col("_hit").isNotNull() & ~F.col("_hit").eqNullSafe(F.col("_prev"))
+    new = F.col("_start") | (F.col("_hit").isNotNull() & ~F.col("_hit").eqNullSafe(F.col("_prev")))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     return (
         both.withColumn("chapter_no", F.sum(new.cast("int")).over(upto))
         .withColumn("chapter_title", F.coalesce(F.last("_hit", ignorenulls=True).over(upto), F.lit("Content")))
-        .select(*lines.columns, "chapter_no", "chapter_title")
+        .filter(~F.col("_start"))
+        .select(*lines.columns, "chapter_no", "chapter_title", F.col("_hit").isNotNull().alias("heading"))
     )

@@ -111,10 +111,10 @@ def is_special(line: Column, confirmed: Column | None = None) -> Column:
     return found | confirmed if confirmed is not None else found
 
 
-def reflow(text: Column, char_class: str = CJK) -> Column:
+def reflow(text: Column, char_class: str = CJK, confirmed: Column | None = None) -> Column:
     """The paragraphs of a page as an array, from its lines.
 
-    Lines are folded in order.  A special line stands alone.  After two or more blank lines a paragraph ends only if it ends
+    Lines are folded in order.  A special line stands alone, as do those in the array ``confirmed``.  After two or more blank lines a paragraph ends only if it ends
     terminally; after one it goes on across a wrapped line, ends if terminal, ends before a longer terminal line unless it
     has an open comma, and goes on otherwise; without blanks it ends if terminal or if its last mark joins nothing.
     Joins put one space.
@@ -134,7 +134,7 @@ def reflow(text: Column, char_class: str = CJK) -> Column:
         zero = F.lit(0)
         return (
             F.when(line == "", new(acc.cur, acc.blank + 1, acc.done))
-            .when(is_special(line), new(F.lit(""), zero, F.array_append(done, line)))
+            .when(is_special(line, None if confirmed is None else F.array_contains(confirmed, line)), new(F.lit(""), zero, F.array_append(done, line)))
             .when(acc.cur == "", new(line, zero, acc.done))
             .when(close, new(line, zero, F.array_append(acc.done, acc.cur)))
             .otherwise(new(F.concat(cur, F.lit(" "), line), zero, acc.done))

@@ -57,16 +57,17 @@ TOC = "array<struct<title: string, page: int, level: int, match: string, matches
 
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, title, page, level, source, page_start) of a JSON list, or of the list ``headings`` in an object.
+    """(ord, title, page, level, source, page_start, match) of a JSON list, or of the list ``headings`` in an object.
 
-    ``source`` has a heading's title and every text it may be found by.
+    ``source`` has a heading's title and every text it may be found by; ``match`` those that start it, which aliases don't.
     """
     text = spark.read.option("wholetext", True).text(path)
     listed = F.ltrim("value").startswith("[")
     both = F.when(listed, F.from_json("value", TOC)).otherwise(F.from_json("value", f"struct<headings: {TOC}>").getField("headings"))
     rows = text.select(F.posexplode(both).alias("ord", "h"))
-    sources = F.array_distinct(F.array_compact(F.concat(F.array("h.title", "h.match"), F.coalesce("h.matches", F.array().cast("array<string>")), F.coalesce("h.aliases", F.array().cast("array<string>")))))
-    return rows.select("ord", "h.title", "h.page", "h.level", sources.alias("source"), (F.coalesce("h.page_start", F.lit(False)) | F.coalesce(F.col("h.at") == "page_start", F.lit(False))).alias("page_start"))
+    match = F.concat(F.array("h.title", "h.match"), F.coalesce("h.matches", F.array().cast("array<string>")))
+    sources = F.array_distinct(F.array_compact(F.concat(match, F.coalesce("h.aliases", F.array().cast("array<string>")))))
+    return rows.select("ord", "h.title", "h.page", "h.level", sources.alias("source"), (F.coalesce("h.page_start", F.lit(False)) | F.coalesce(F.col("h.at") == "page_start", F.lit(False))).alias("page_start"), F.array_distinct(F.array_compact(match)).alias("match"))
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -85,3 +85,19 @@ def test_paragraphs_and_names(spark):
     v = spark.createDataFrame([(1, 1, 0, ""), (2, 1, 0, ""), (3, 0, 5, ""), (4, 0, 0, "Table 1.2"), (5, 0, 0, "table 1")], "page int, images int, drawings int, text string")
     assert [r.v for r in v.select(layout.is_visual(*map(F.col, v.columns)).alias("v")).collect()] == [False, True, True, True, False]
     assert spark.range(1).select(safe_file_name(F.lit("第一章: A b"), F.lit(2)).alias("n")).first().n == "第一章Ab_2.xhtml"
+
+
+def test_rebuild_with_a_made_toc(spark, tmp_path):
+    page = lambda t: {"markdown": {"text": t, "images": {}}}
+    texts = ["〔第十三章〕\n尼克森及晚年\n正文開始。", "前文。\n尾聲\n後文。", "革命\n第一部\n末文。"]
+    (tmp_path / "scan").mkdir()
+    checkpoints.write_checkpoint(str(tmp_path / "scan" / "chunk_0_3.pdf.json"), {"result": {"layoutParsingResults": [page(t) for t in texts]}})
+    marks = [
+        {"title": "第十三章 尼克森和晚年歲月", "page": 1, "aliases": ["尼克森及晚年"]}, {"title": "結束", "page": 2, "match": "尾聲"},
+        {"title": "第一部 革命", "page": 3, "page_start": True},
+    ]
+    checkpoints.write_checkpoint(str(tmp_path / "toc.json"), {"headings": marks})
+    cli.rebuild(spark, str(tmp_path / "scan"), str(tmp_path / "out"), "書", str(tmp_path / "toc.json")).collect()
+    got = [r.text for r in epub.content_texts(epub.read_entries(spark, str(tmp_path / "out"))).orderBy("ord").collect()]
+    assert [t.split()[0] for t in got] == ["第十三章", "結束", "第一部"]
+    assert "正文開始。" in got[0] and "前文。" in got[0] and "尼克森及晚年" not in got[0] and "後文。" in got[1] and "末文。" in got[2]

@@ -378,3 +378,19 @@ def test_semantic_windows(spark):
     found = ngrams.semantic_windows(d, ["book"]).collect()
     assert found and all(any(c in r.excerpt for c in "居之者忽甲乙丙丁") for r in found)
     assert [r.score for r in found] == sorted((r.score for r in found), reverse=True)
+
+
+def test_chapters_of_a_made_toc(spark, tmp_path):
+    toc_rows = [
+        {"title": "第十三章 尼克森和晚年歲月", "page": 1, "aliases": ["尼克森及晚年"]}, {"title": "第二章 結束", "page": 2, "match": "尾聲"},
+        {"title": "第一部 革命", "page": 4, "page_start": True}, {"title": "空頁", "page": 6, "at": "page_start"},
+    ]
+    (tmp_path / "toc.json").write_text(json.dumps(toc_rows))
+    c = checkpoints.read_toc(spark, str(tmp_path / "toc.json")).withColumn("book", F.lit("b"))
+    rows = [("b", 1, 1, "〔第十三章〕"), ("b", 1, 2, "尼克森及晚年"), ("b", 2, 1, "文"), ("b", 2, 2, "尾聲"), ("b", 4, 1, "革命"), ("b", 4, 2, "第一部"), ("b", 7, 1, "文")]
+    t = spark.createDataFrame(rows, "book string, page int, line_no int, line string")
+    got = [(r.chapter_no, r.chapter_title, r.heading) for r in headings.split_chapters(t, c).orderBy("page", "line_no").collect()]
+    one_, two, three = "第十三章 尼克森和晚年歲月", "第二章 結束", "第一部 革命"
+    assert got == [(1, one_, True), (1, one_, False), (1, one_, False), (2, two, True), (3, three, False), (3, three, False), (4, "空頁", False)]
+    s = spark.createDataFrame([("b", 1, 1, "# 其他"), ("b", 1, 2, "## 第一章 甲"), ("b", 2, 1, "文")], t.schema)
+    assert [(r.chapter_no, r.chapter_title) for r in headings.split_chapters(s, None).orderBy("page", "line_no").collect()] == [(0, "Content"), (1, "第一章 甲"), (1, "第一章 甲")]
