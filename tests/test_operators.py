@@ -394,3 +394,14 @@ def test_chapters_of_a_made_toc(spark, tmp_path):
     assert got == [(1, one_, True), (1, one_, False), (1, one_, False), (2, two, True), (3, three, False), (3, three, False), (4, "空頁", False)]
     s = spark.createDataFrame([("b", 1, 1, "# 其他"), ("b", 1, 2, "## 第一章 甲"), ("b", 2, 1, "文")], t.schema)
     assert [(r.chapter_no, r.chapter_title) for r in headings.split_chapters(s, None).orderBy("page", "line_no").collect()] == [(0, "Content"), (1, "第一章 甲"), (1, "第一章 甲")]
+
+
+def test_semantic_windows_cut_the_text(spark):
+    good = "天地玄黃，宇宙洪荒。" * 30
+    text = good + "居之者，忽音<b>但一</b>通乃祔 筆八甲乙丙丁戊己。庚辛壬癸子丑寅卯辰巳午未。" + good + "申酉戌亥東南西北春夏譯者秋冬金木水火"
+    found = ngrams.semantic_windows(spark.createDataFrame([("b", 1, text)], "book string, doc_id int, text string"), ["book"], limit=None).collect()
+    assert any(r.llm_excerpt != r.excerpt for r in found) and any("<b>" in r.llm_excerpt for r in found)
+    for r in found:
+        assert "".join(c for c in r.llm_excerpt if "㐀" <= c <= "鿿") == r.excerpt and "譯者" not in r.excerpt
+        at = text.index(r.llm_excerpt)
+        assert r.context_before == text[max(0, at - 120) : at].strip() and r.context_after == text[at + len(r.llm_excerpt) :][:120].strip()
