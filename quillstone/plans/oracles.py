@@ -188,6 +188,9 @@ SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_
     "range_sections": """
 SELECT section, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents JOIN (VALUES ('front', 0, 9), ('body', 10, 599), ('gap', 700, 799), ('back', 800, 1000000000)) s(section, a, b)
 ON doc_id BETWEEN a AND b GROUP BY 1""",
+    "range_sections_all": """
+SELECT CASE WHEN doc_id BETWEEN 0 AND 9 THEN 'front' WHEN doc_id BETWEEN 10 AND 599 THEN 'body' WHEN doc_id BETWEEN 700 AND 799 THEN 'gap'
+            WHEN doc_id BETWEEN 800 AND 1000000000 THEN 'back' ELSE 'outside' END AS section, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY 1""",
     "kth_occurrence_link": "SELECT * FROM (VALUES (1, 0, '1', 1::BIGINT, 0), (1, 1, '2', 1, 1), (1, 2, '1', 2, 2), (1, 3, '3', 1, NULL)) t(page, marker_no, number, occurrence, note_no)",
     "noise_tables": "SELECT * FROM (VALUES (1, true, false, false), (2, false, true, false), (3, false, false, true)) t(table_id, years, outline, kept)",
     "chinese_numerals": """

@@ -172,6 +172,13 @@ def range_sections(spark, sf_dir):
     return d.join(s, F.col("doc_id").between(F.col("first"), F.col("last"))).groupBy("section").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
+def range_sections_all(spark, sf_dir):
+    """`range_sections` with a row "outside" for the documents that no section takes: ids between sections, negative or null."""
+    s = F.broadcast(spark.createDataFrame(SECTIONS, "section string, first long, last long"))  # one row a section of a fixed list
+    d = _documents(spark, sf_dir, "doc_id", "n_chars").join(s, F.col("doc_id").between(F.col("first"), F.col("last")), "left")
+    return d.groupBy(F.coalesce("section", F.lit("outside")).alias("section")).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
 MARKED = "a$ ^{1} $b$ ^{2} $c$ ^{1} $d$ ^{3} $"
 NOTES = ["1 first", "plain note 7", "1 again", "2019年攝影"]
 
@@ -301,7 +308,7 @@ QUERIES = {
     for f in (
         lines_explode, clean_text, visible_text, heading_candidates, toc_links, running_headers, page_segments, stripped_headers, bigram_model, book_bigram_model,
         singleton_windows, repeat_runs, fragment_scores, top_suspicious, hopping_windows, sentence_round_robin, adjacent_boundaries, span_to_doc, source_lookup, source_lookup_whole,
-        inversion_swaps, repaired_order, asof_boundary, range_sections, kth_occurrence_link, noise_tables, paragraph_reflow, chinese_numerals, constraint_violations,
+        inversion_swaps, repaired_order, asof_boundary, range_sections, range_sections_all, kth_occurrence_link, noise_tables, paragraph_reflow, chinese_numerals, constraint_violations,
         cjk_scanner, cjk_repeats, caption_cleanup, diff_patch, page_start_alignment, visual_fallbacks, epub_issues, epub_segments, toc_targets, chapters,
     )
 }
