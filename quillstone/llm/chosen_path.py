@@ -1,6 +1,6 @@
 """N-gram Jaccard join by chosen paths.
 
-A set of five-word shingles is embedded as MinHash values at POSITIONS positions.  A run
+A set of five-word shingles is embedded as MinHash values at a number of positions.  A run
 splits the sets on the values at a few sampled positions: sets that agree there share a
 path, as two sets do with their Jaccard similarity at each.  Paths with many sets are
 split again on positions sampled for the path; small ones are compared in full,
@@ -23,11 +23,12 @@ from quillstone.functions.unions import union
 from quillstone.llm.components import connected_components
 from quillstone.llm.packed import cut_blocks, mix64
 from quillstone.llm.shingles import shingle_sets
-from quillstone.llm.workspace import small_batches, write_table
+from quillstone.llm.workspace import join_keys, small_batches, write_table
 
-POSITIONS, BIN_SHIFT = 128, 57
-#: Sampled positions of a run, at the root and at every path that is split.
-BRANCHES = 2
+#: Positions of a sketch; there are more (a power of two) when the runs sample more.
+POSITIONS = 128
+#: Sampled positions of a run at the root, and at every path that is split.
+BRANCHES, DEEPER = 2, 3
 #: A path with at most so many sets is compared in full.  Larger paths that are compared are dealt in chunks of this size, pair by pair.
 LEAF = 1024
 #: A path is not split further when it keeps more than this part of the sets of the path above, or lies this deep.
@@ -39,62 +40,72 @@ MAX_BROADCAST_IDS = 200_000
 #: Columns of a block of the incidence matrix.
 COLUMNS = 1024
 
-_PROBES: list[np.ndarray] = []
+_PROBES: dict[int, list[np.ndarray]] = {}
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at ``threshold`` has met with probability ``recall``, splitting twice at most."""
-    met = threshold * (1 - (1 - threshold) ** BRANCHES)
+    """Runs after which a pair at ``threshold`` has met with probability ``recall``, however deep its paths are split."""
+    met = threshold * (1 - (1 - threshold) ** DEEPER) ** (DEPTH - 1)
     return max(1, math.ceil(math.log(1 - recall) / (BRANCHES * math.log(1 - met))))
 
 
-def _probe(k: int) -> np.ndarray:
+def positions_for(runs: int) -> int:
+    """Positions of a sketch from which the runs can sample different ones at the root."""
+    return max(POSITIONS, 1 << (runs * BRANCHES - 1).bit_length())
+
+
+def _probe(k: int, positions: int) -> np.ndarray:
     """The k-th bin that each empty bin tries."""
-    while len(_PROBES) <= k:
-        seed = np.arange(POSITIONS, dtype=np.uint64) + np.uint64(len(_PROBES) * POSITIONS + 1)
-        _PROBES.append((mix64(seed) % np.uint64(POSITIONS)).astype(np.int64))
-    return _PROBES[k]
+    found = _PROBES.setdefault(positions, [])
+    while len(found) <= k:
+        seed = np.arange(positions, dtype=np.uint64) + np.uint64(len(found) * positions + 1)
+        found.append((mix64(seed) % np.uint64(positions)).astype(np.int64))
+    return found[k]
 
 
-def embed(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """MinHash values (texts x POSITIONS, 32 bits) by one permutation with optimal densification."""
+def embed(hashes: np.ndarray, offsets: np.ndarray, positions: int) -> np.ndarray:
+    """MinHash values (texts x positions, 32 bits) by one permutation with optimal densification."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    place = owner * POSITIONS + (hashes >> np.uint64(BIN_SHIFT)).astype(np.int64)
+    place = owner * positions + (hashes >> np.uint64(65 - positions.bit_length())).astype(np.int64)
     first = np.ones(len(place), bool)
     first[1:] = place[1:] != place[:-1]  # ascending within a text, so that a bin's first is its minimum
-    values = np.zeros(n * POSITIONS, np.uint32)
-    full = np.zeros(n * POSITIONS, bool)
+    values = np.zeros(n * positions, np.uint32)
+    full = np.zeros(n * positions, bool)
     values[place[first]] = hashes[first].astype(np.uint32)
     full[place[first]] = True
-    values, full = values.reshape(n, POSITIONS), full.reshape(n, POSITIONS)
+    values, full = values.reshape(n, positions), full.reshape(n, positions)
     row, bin_ = np.nonzero(~full & (np.diff(offsets) > 0)[:, None])
     out, k = values.copy(), 0
     while len(row):
-        tried = _probe(k)[bin_]
+        tried = _probe(k, positions)[bin_]
         hit = full[row, tried]
         out[row[hit], bin_[hit]] = values[row[hit], tried[hit]]
         row, bin_, k = row[~hit], bin_[~hit], k + 1
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in cut_blocks(batches, "text"):
-        hashes, offsets = shingle_sets(table["text"].combine_chunks())
-        values = embed(hashes, offsets)
-        n = table.num_rows
-        data = memoryview(hashes).cast("B")
-        digests = [hashlib.blake2b(data[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        flat = pa.array(values.view(np.int32).ravel())
-        low = (values & np.uint32(255)).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [
-                table["uid"].combine_chunks(), table["id"].combine_chunks(), pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * POSITIONS), flat),
-                pa.array([low[i * POSITIONS : (i + 1) * POSITIONS] for i in range(n)], pa.binary()),
-            ],
-            names=["uid", "id", "n", "digest", "sketch", "low"],
-        )
+def _sketch(positions: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in cut_blocks(batches, "text"):
+            texts = table["text"].combine_chunks()
+            hashes, offsets = shingle_sets(texts)
+            values = embed(hashes, offsets, positions)
+            n = table.num_rows
+            data = memoryview(hashes).cast("B")
+            digests = [hashlib.blake2b(data[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            names = [hashlib.sha256(x.as_buffer()).digest() if x.is_valid else None for x in texts]
+            low = (values & np.uint32(255)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    table["id"].combine_chunks(), pa.array(names, pa.binary()), pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * positions), pa.array(values.view(np.int32).ravel())),
+                    pa.array([low[i * positions : (i + 1) * positions] for i in range(n)], pa.binary()),
+                ],
+                names=["id", "sha", "n", "digest", "sketch", "low"],
+            )
+
+    return sketch
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -168,21 +179,21 @@ def _padded(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _meet(threshold: float):
+def _meet(threshold: float, positions: int):
     schema = pa.schema([("path", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("rid", pa.int64())])
 
     def meet(batches):
         for t, starts, ends in _groups(batches):
             path, lo, hi, chunk, n = (t[c].to_numpy().astype(np.int64) for c in ("path", "lo", "hi", "chunk", "n"))
             lists = _padded(t["paths"])
-            low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, positions)
             chosen = np.zeros(len(path), bool)
             for i, j in _pairs(path, chunk, lo, hi, starts, ends):
                 smaller, larger = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 near = smaller >= threshold * larger - 1e-9
                 i, j, smaller = i[near], j[near], smaller[near]
-                least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(smaller, POSITIONS))
-                near = (low[i] == low[j]).sum(axis=1) >= least * POSITIONS
+                least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(smaller, positions))
+                near = (low[i] == low[j]).sum(axis=1) >= least * positions
                 i, j = i[near], j[near]
                 new = ~_met_before(lists, path, i, j)
                 chosen[i[new]] = True
@@ -281,26 +292,29 @@ def jaccard_join(
 
     Copies are joined as one set with a count.  A pair of sets that meets on several paths counts on the smallest only, so counts are
     added up where pairs meet, and pairs are never written out.
+
+    A set goes by its digest (128 bits) and by a number that is written once; the text to verify it with is any of its rows', found
+    by the SHA-256 of the text.  So nothing rests on the order or the split of the input, which is read twice.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("uid", F.monotonically_increasing_id())
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ddl = source.schema["id"].dataType.simpleString()
-    sets = write_table(
-        source.mapInArrow(_sketch, f"uid long, id {ddl}, n long, digest binary, sketch array<int>, low binary"), "join-sets"
-    )
+    runs = runs_for(recall, threshold)
+    positions = positions_for(runs)
+    sketches = write_table(source.mapInArrow(_sketch(positions), f"id {ddl}, sha binary, n long, digest binary, sketch array<int>, low binary"), "join-sets")
+    # One row a set; all rows of a set have the same sketch, and the least hash names the text that stands for it.
     reps = write_table(
-        sets.df.groupBy("digest").agg(
-            F.min("uid").alias("rid"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("low").alias("low")
-        ),
+        sketches.df.groupBy("digest").agg(
+            F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.min("sha").alias("sha"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+            F.first("low").alias("low"),
+        ).withColumn("rid", F.monotonically_increasing_id()),
         "join-reps",
     )
-    ids_of = write_table(sets.df.select("uid", "id", "digest"), "join-ids")
-    sets.drop()
-    sets, spent = ids_of, []
-    runs = runs_for(recall, threshold)
-    order = np.argsort(mix64(np.arange(POSITIONS, dtype=np.uint64) + np.uint64(1 << 32))).tolist()
-    at = order[: min(POSITIONS, runs * BRANCHES)]
-    root = F.array(*[F.xxhash64(F.lit(p), F.get("sketch", F.lit(p))) for p in at])
+    ids_of = write_table(sketches.df.select("id", "digest"), "join-ids")
+    sketches.drop()
+    spent = []
+    order = np.argsort(mix64(np.arange(positions, dtype=np.uint64) + np.uint64(1 << 32))).tolist()
+    root = F.array(*[F.xxhash64(F.lit(p), F.get("sketch", F.lit(p))) for p in order[: runs * BRANCHES]])
     real = reps.df.filter("n > 0")
     level = real.select("rid", F.explode(root).alias("path"), F.lit(0).cast("long").alias("above"))
     h = lambda seed: F.xxhash64("rid", F.lit(seed)).cast("decimal(38,0)")
@@ -320,8 +334,8 @@ def jaccard_join(
         if not big.limit(1).count():
             break
         here = level.select("rid", "path").join(big, "path").join(real.select("rid", "sketch"), "rid")
-        position = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(POSITIONS)).cast("int")
-        below = F.array_distinct(F.array(*[F.xxhash64("path", position(k), F.get("sketch", position(k))) for k in range(BRANCHES)]))
+        position = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(positions)).cast("int")
+        below = F.array_distinct(F.array(*[F.xxhash64("path", position(k), F.get("sketch", position(k))) for k in range(DEEPER)]))
         deeper = write_table(here.select("rid", "above", F.explode(below).alias("path")), f"level-{depth}")
         spent.append(deeper)
         level = deeper.df
@@ -330,8 +344,9 @@ def jaccard_join(
     members = write_table(union(*levels).join(kept.df, "path"), "join-members")
     lists = members.df.groupBy("rid").agg(F.collect_set(F.struct("path", "m")).alias("at"))
     lists = write_table(
-        lists.select("rid", "at", F.sort_array("at.path").alias("paths")).join(reps.df.select("rid", "n", "copies", "low"), "rid"), "join-lists"
+        lists.select("rid", "at", F.sort_array("at.path").alias("paths")).join(reps.df.select("rid", "n", "copies", "low", "sha"), "rid"), "join-lists"
     )
+    sets = write_table(reps.df.select("digest", "rid", "copies", "copy_id"), "join-distinct")
     for t in [*spent, kept, members, reps]:
         t.drop()
     chunks = F.ceil(F.col("one.m") / LEAF).cast("int")
@@ -342,13 +357,16 @@ def jaccard_join(
         .select("rid", "n", "low", "paths", "chunk", F.col("one.path").alias("path"), F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
     )
     place = ["path", "lo", "hi"]
-    meet, met_ddl = _meet(threshold)
+    meet, met_ddl = _meet(threshold, positions)
     met = write_table(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(meet, met_ddl), "join-met")
 
-    ids = met.df.select(F.col("rid").alias("uid")).distinct()
+    wanted = lists.df.select("rid", "sha").join(met.df.select("rid").distinct(), "rid", "left_semi")
+    wanted = write_table(wanted, "join-wanted")
+    ids = wanted.df
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = source.select("uid", "text").join(ids, "uid", "left_semi").withColumnRenamed("uid", "rid")
+    # Rows of one text are one after the partial aggregate, so copies don't travel.
+    texts = source.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).join(ids, "sha").groupBy("rid").agg(F.first("text").alias("text"))
     whole = lists.df.select("rid", "copies", "paths", F.transform("at", lambda x: x.path).alias("p"), F.transform("at", lambda x: x.m).alias("m"))
     chunks = F.ceil(F.element_at("m", F.array_position("p", F.col("path")).cast("int")) / LEAF).cast("int")
     to_verify = (
@@ -363,9 +381,8 @@ def jaccard_join(
     roots = connected_components(found.df.select(F.col("rid").alias("a"), F.col("root").alias("b")))
 
     # Smallest ids by set and by class; a set has one row here, a class as many as it has different sets.
-    by_set = sets.df.groupBy("digest").agg(F.min("uid").alias("rid"), F.count("*").alias("copies"), F.min("id").alias("copy_id"))
     info = (
-        by_set.join(links, "rid", "left")
+        sets.df.join(links, "rid", "left")
         .join(roots.df.withColumnRenamed("node", "rid"), "rid", "left")
         .select(
             "digest", "copies", "copy_id", F.coalesce("root", "rid").alias("root"),
@@ -373,10 +390,12 @@ def jaccard_join(
         )
     )
     info = write_table(info, "join-info")
-    for t in (lists, met, found, roots):
+    for t in (lists, met, wanted, found, roots, sets):
+        t.drop()
+    classes = write_table(info.df.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("sets")), "join-classes")
+    per_set = write_table(join_keys(info.df, classes.df, ["root"], "sets", info.df.count()).drop("root", "sets"), "join-per-set")
+    for t in (info, classes):
         t.drop()
-    classes = info.df.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    per_set = info.df.join(classes, "root").drop("root")
-    return sets.df.select("id", "digest").join(per_set, "digest").select(
+    return join_keys(ids_of.df, per_set.df, ["digest"], "copies", ids_of.df.count()).select(
         F.col("id").alias(id_col), "class_id", "copy_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n_texts").cast("long").alias("n_texts")
     )

@@ -6,31 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.unions import union
-from quillstone.llm.workspace import Table, write_table
+from quillstone.llm.workspace import Table, join_keys, write_table
 
 
 def connected_components(edges: DataFrame) -> Table:
     """(node, root) of every node in ``edges`` (a, b: integers); the root is the component's smallest node.
 
     A star step links a node's larger (or smaller) neighbours with its smallest one, found by a
-    grouped minimum, so no task holds the neighbours of a node.  The tables are as
-    large as the edges.
+    grouped minimum; the smallest ones of nodes with many neighbours are broadcast, so no task holds those neighbours.
+    The tables are as large as the edges.
     """
     current = write_table(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         e = current.df
         both = union(e, e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        upward = F.count_if(F.col("v") > F.col("u")).alias("uses")
+        least = write_table(both.groupBy("u").agg(F.min("v").alias("m"), upward).withColumn("m", F.least("u", "m")), "least")
+        n = e.count()
+        large = join_keys(both.filter("v > u"), least.df, ["u"], "uses", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = write_table(large.filter("u != v").distinct(), "large-star")
         current.drop()
+        least.drop()
         e = large.df
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(least, "u")
-        small = union(joined.select(F.col("v").alias("u"), F.col("m").alias("v")), least.select("u", F.col("m").alias("v")))
+        least = write_table(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("uses")), "least")
+        joined = join_keys(e, least.df, ["u"], "uses", n)
+        small = union(joined.select(F.col("v").alias("u"), F.col("m").alias("v")), least.df.select("u", F.col("m").alias("v")))
         current = write_table(small.filter("u != v").distinct(), "small-star")
         large.drop()
+        least.drop()
         # Done when every node points at one root and no root points anywhere: the edges no longer change.
         state = current.df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:

@@ -72,7 +72,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = _table(spark, sf_dir, "pages")
     records = read_archives(write_archives(pages), payloads=False)
-    page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS bigint)")
+    page = lambda c: F.expr(f"try_cast(url_decode(split({c}, ':')[2]) AS bigint)")
     return records.select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
     )

@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.workspace import materialize, new_path, small_batches
+from quillstone.llm.workspace import identified, join_keys, materialize, new_path, small_batches
 
 # Fixed values of the formats: Zstandard magic numbers, WARC and revisit profile names.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -33,42 +35,63 @@ MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 LEAST_REVISITED = 1000
 #: Compressed bytes after which a writer begins another archive.
 ARCHIVE_BYTES = 64 << 20
-#: The dictionary is trained on the first bytes of a bounded sample of payloads.
+#: Tasks that write archives of small inputs; larger inputs have one for each ARCHIVE_BYTES of payloads, at most as many as partitions.
+LEAST_WRITERS = 16
+#: The dictionary is trained on the first bytes of a bounded sample of payloads; it bears on sizes only.
 DICTIONARY_BYTES, DICTIONARY_ROWS, DICTIONARY_HEAD = 32 << 10, 400, 16 << 10
 #: The date of every record that the writer makes, so that reruns agree.
 RECORD_DATE = "1970-01-01T00:00:00Z"
-CHUNK = 1 << 18
+#: Bytes read at a time; what is left of a chunk is copied for every frame in it.
+CHUNK = 1 << 16
+#: Characters of a URL that stay when the rest is percent-encoded, and the field that holds such a URL whole.
+URL_MARKS, WHOLE_URL = "%:/?#[]@!$&'()*+,;=~", "X-Original-Target-URI"
 
 
-def _digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+def _sha1(*parts) -> str:
+    machine = hashlib.sha1()
+    for p in parts:
+        machine.update(p)
+    return "sha1:" + base64.b32encode(machine.digest()).decode()
 
 
-def _line(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+def _plain(value: str) -> bool:
+    """Whether a header field gives the value back as it is."""
+    return value == value.strip() and not any(ord(c) < 32 or ord(c) == 127 for c in value)
 
 
-def _unline(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def _target(url: str | None) -> list[str]:
+    """The field of a URL; one that a field cannot hold is percent-encoded there, and whole in a field of our own."""
+    if url is None:
+        return []
+    if _plain(url):
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {quote(url, safe=URL_MARKS)}", f"{WHOLE_URL}: {base64.b64encode(url.encode()).decode()}"]
 
 
-def build_record(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
-    """The bytes of a response record, or of a revisit of ``refers_to``, which leaves the payload out."""
+def record_parts(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> list[bytes]:
+    """The bytes of a response record, or of a revisit of ``refers_to``, which leaves the payload out; payloads aren't copied."""
+    if not (_plain(record_id) and _plain(refers_to or "")):
+        raise ValueError(f"record id {record_id!r} or {refers_to!r} doesn't fit a header field")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if refers_to else head + payload
+    block = [head] if refers_to else [head, payload]
     lines = [
         VERSION.decode(),
         f"WARC-Type: {'revisit' if refers_to else 'response'}",
         f"WARC-Record-ID: <{record_id}>",
         f"WARC-Date: {RECORD_DATE}",
-        *([f"WARC-Target-URI: {_line(url)}"] if url is not None else []),
-        f"WARC-Payload-Digest: {_digest(payload)}",
-        f"WARC-Block-Digest: {_digest(block)}",
+        *_target(url),
+        f"WARC-Payload-Digest: {_sha1(payload)}",
+        f"WARC-Block-Digest: {_sha1(*block)}",
         *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{refers_to}>"] if refers_to else []),
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
+        f"Content-Length: {sum(map(len, block))}",
     ]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return ["\r\n".join(lines).encode() + b"\r\n\r\n", *block, b"\r\n\r\n"]
+
+
+def build_record(record_id: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+    """A record in one piece."""
+    return b"".join(record_parts(record_id, url, payload, refers_to))
 
 
 def _headers(data: bytes, what: str) -> dict[str, str]:
@@ -82,11 +105,11 @@ def _headers(data: bytes, what: str) -> dict[str, str]:
 
 
 def parse_record(record: bytes) -> dict:
-    """Headers and payload of one whole record; ValueError where it breaks the format."""
-    head, gap, rest = record.partition(b"\r\n\r\n")
-    if not gap:
+    """Headers and payload (a view of the record) of one whole record; ValueError where it breaks the format."""
+    end = record.find(b"\r\n\r\n")
+    if end < 0:
         raise ValueError("no end of headers")
-    version, _, lines = head.partition(b"\r\n")
+    version, _, lines = record[:end].partition(b"\r\n")
     if version not in (b"WARC/1.0", VERSION):
         raise ValueError(f"unknown version line {version[:40]!r}")
     fields = _headers(lines, "record")
@@ -94,28 +117,35 @@ def parse_record(record: bytes) -> dict:
         raise ValueError(f"missing headers {missing}")
     if not fields["content-length"].isdigit():
         raise ValueError("Content-Length is no number")
-    n = int(fields["content-length"])
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise ValueError(f"Content-Length {n} doesn't match the record's {len(rest) - 4}")
-    block = rest[:n]
-    if fields.get("warc-block-digest", _digest(block) if "warc-block-digest" not in fields else "") != _digest(block):
+    n, first = int(fields["content-length"]), end + 4
+    if len(record) != first + n + 4 or not record.endswith(b"\r\n\r\n"):
+        raise ValueError(f"Content-Length {n} doesn't match the record's {len(record) - first - 4}")
+    whole = memoryview(record)
+    block = whole[first : first + n]
+    if "warc-block-digest" in fields and fields["warc-block-digest"] != _sha1(block):
         raise ValueError("block digest doesn't match")
+    url = fields.get("warc-target-uri")
+    if WHOLE_URL.lower() in fields:
+        url = base64.b64decode(fields[WHOLE_URL.lower()]).decode()
     kind = fields["warc-type"]
-    out = {"type": kind, "id": fields["warc-record-id"].strip("<>"), "url": _unline(fields["warc-target-uri"]) if "warc-target-uri" in fields else None,
-           "refers_to": None, "payload": block, "payload_bytes": n, "digest": None}
+    out = {"type": kind, "id": fields["warc-record-id"].strip("<>"), "url": url, "refers_to": None, "payload": block, "payload_bytes": n, "digest": None}
     if kind in ("response", "revisit"):
-        http, gap, payload = block.partition(b"\r\n\r\n")
-        if not gap:
+        gap = record.find(b"\r\n\r\n", first, first + n)
+        if gap < 0:
             raise ValueError("no end of HTTP headers")
-        inner = _headers(http.partition(b"\r\n")[2], "HTTP")
+        payload = whole[gap + 4 : first + n]
+        inner = _headers(record[first:gap].partition(b"\r\n")[2], "HTTP")
         length = inner.get("content-length", str(len(payload)))
+        if not length.isdigit():
+            raise ValueError("HTTP Content-Length is no number")
         out |= {"payload": payload, "payload_bytes": int(length), "digest": fields.get("warc-payload-digest")}
         if kind == "response":
             if int(length) != len(payload):
                 raise ValueError(f"HTTP Content-Length {length} doesn't match the payload's {len(payload)}")
-            if out["digest"] not in (None, _digest(payload)):
+            digest = _sha1(payload)
+            if out["digest"] not in (None, digest):
                 raise ValueError("payload digest doesn't match")
-            out["digest"] = _digest(payload)
+            out["digest"] = digest
         else:
             if "warc-refers-to" not in fields or out["digest"] is None:
                 raise ValueError("revisit without WARC-Refers-To or WARC-Payload-Digest")
@@ -176,29 +206,33 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of rows with equal payloads of at least LEAST_REVISITED bytes the one with the largest id is a response
     and the others revisit it (of rows repeated with that id, one is the response); smaller payloads are responses each.  A null
-    payload is the empty one; a null id is kept as ``null`` and yields to any other.
+    payload is the empty one; a null id is kept as ``null`` and yields to any other.  A record's id is
+    ``urn:x-page:<page id, percent-encoded>:<the row's place in storage>``.  A payload may have up to 2 GB, as a cell of a table.
 
     Writers name archives anew in every attempt and report those they finished, so a lost executor's files are never read.
     """
     spark = pages.sparkSession
     small_batches(spark)
     path = new_path(spark, "warc")
-    rows = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
-    ).withColumn("uid", F.monotonically_increasing_id())
-    # The sample is chosen by narrow rows, so that every task sends few bytes; it has at most DICTIONARY_ROWS rows.
+    rows = identified(
+        pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")), "uid"
+    )
     sample = rows.select("uid", F.xxhash64("id").alias("o")).orderBy("o", "uid").limit(DICTIONARY_ROWS).select("uid")
+    # The sample is chosen by narrow rows, so that every task sends few bytes; it has at most DICTIONARY_ROWS rows.
     heads = rows.join(F.broadcast(sample), "uid").select("uid", F.substring("payload", 1, DICTIONARY_HEAD).alias("h")).collect()
     heads = [bytes(r.h) for r in sorted(heads)]
     dictionary = train_dictionary(heads)
+    n = F.octet_length("payload")
+    sums = rows.agg(F.coalesce(F.sum(n), F.lit(0)).alias("bytes"), F.count_if(n >= LEAST_REVISITED).alias("large")).first()
 
-    name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("uid").cast("string"))
-    narrow = rows.select("uid", "id", name.alias("name"), F.sha2("payload", 256).alias("sha"), F.octet_length("payload").alias("n")).filter(
-        F.col("n") >= LEAST_REVISITED
-    )
+    place = F.concat_ws(".", F.lower(F.hex("uid.a")), F.lower(F.hex("uid.b")), F.col("uid.row").cast("string"))
+    name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.url_encode(F.col("id").cast("string")), F.lit("null")), F.lit(":"), place)
+    narrow = rows.select("uid", "id", name.alias("name"), F.unhex(F.sha2("payload", 256)).alias("sha"), n.alias("n")).filter(F.col("n") >= LEAST_REVISITED)
     narrow = materialize(narrow, "warc-digests")
     keep = narrow.groupBy("sha", "n").agg(F.max(F.struct("id", "uid", "name")).alias("keep"), F.count("*").alias("k")).filter("k > 1")
-    revisits = narrow.join(keep, ["sha", "n"]).filter(F.col("uid") != F.col("keep.uid")).select("uid", F.col("keep.name").alias("refers_to"))
+    keep = materialize(keep, "warc-groups")
+    copies = join_keys(narrow.select("uid", "sha", "n"), keep, ["sha", "n"], "k", sums["large"])
+    revisits = copies.filter(F.col("uid") != F.col("keep.uid")).select("uid", F.col("keep.name").alias("refers_to"))
     joined = rows.withColumn("name", name).join(revisits, "uid", "left").select("name", "url", "payload", "refers_to")
 
     def write(batches):
@@ -207,16 +241,19 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
         done, out, size, records = [], None, 0, 0
         for batch in batches:
+            names, urls, payloads, targets = batch.columns
             for i in range(batch.num_rows):
-                record_id, url, payload, refers_to = (batch.column(k)[i].as_py() for k in range(4))
                 if out is None:
                     file = f"{root}/{uuid.uuid4().hex}.warc.zst"
                     out = filesystem.open_output_stream(file)
                     out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(dictionary)) + dictionary)
                     size, records = 8 + len(dictionary), 0
-                frame = packer.compress(build_record(record_id, url, payload, refers_to))
-                out.write(frame)
-                size, records = size + len(frame), records + 1
+                parts = record_parts(names[i].as_py(), urls[i].as_py(), memoryview(payloads[i].as_buffer()), targets[i].as_py())
+                frame = packer.compressobj(size=sum(map(len, parts)))
+                for part in (*map(frame.compress, parts), frame.flush()):
+                    out.write(part)
+                    size += len(part)
+                records += 1
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     done.append((f"{path}/{file.rsplit('/', 1)[1]}", records, size))
@@ -229,7 +266,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             names=["path", "records", "bytes"],
         )
 
-    return materialize(joined.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
+    # Few large archives rather than one for each small partition.
+    writers = max(LEAST_WRITERS, math.ceil(sums["bytes"] / ARCHIVE_BYTES))
+    return materialize(joined.coalesce(writers).mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -258,10 +297,10 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                         except ValueError as e:
                             raise ValueError(f"{uri}, record {k}: {e}") from e
                         held.append(
-                            {"record_id": x["id"], "record_type": x["type"], "url": x["url"], "payload": x["payload"] if payloads else None,
+                            {"record_id": x["id"], "record_type": x["type"], "url": x["url"], "payload": bytes(x["payload"]) if payloads and x["payload"] is not None else None,
                              "payload_bytes": x["payload_bytes"], "payload_digest": hexed, "refers_to": x["refers_to"]}
                         )
-                        size += 300 + (len(x["payload"] or b"") if payloads else 0)
+                        size += 300 + (len(x["payload"]) if payloads and x["payload"] is not None else 0)
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
