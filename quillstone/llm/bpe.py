@@ -38,6 +38,9 @@ GROUP_WORDS, LEAST_GROUPS = 150_000, 24
 #: Text bytes of a block, pre-tokens held as Python strings, and ids decoded at a time.
 TEXT_BYTES, PIECES, SLICE_IDS = 4 << 20, 50_000, 250_000
 
+#: A pattern that takes any text as one pre-token.
+WHOLE = "(?s:.+)"
+
 _ENCODERS: dict[str, object] = {}
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -56,11 +59,11 @@ class Vocabulary:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, self._data.value.splitlines())}
 
     def encoder(self):
-        """The merge machine, one a process."""
+        """The merge machine, one a process; to it a text is one pre-token."""
         if self.key not in _ENCODERS:
             import tiktoken
 
-            _ENCODERS[self.key] = tiktoken.Encoding(self.key[:8], pat_str=self.pattern, mergeable_ranks=self.ranks(), special_tokens={})
+            _ENCODERS[self.key] = tiktoken.Encoding(self.key[:8], pat_str=WHOLE, mergeable_ranks=self.ranks(), special_tokens={})
         return _ENCODERS[self.key]
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +146,12 @@ def _encode_words(vocabulary: Vocabulary):
     schema = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("tokens", pa.binary())])
 
     def encode(table: pa.Table) -> pa.Table:
-        one = vocabulary.encoder()._core_bpe.encode_single_piece
+        one = vocabulary.encoder().encode_ordinary
         rows = table.to_pylist()
         words = [unpack_words(r["names"], r["content"]) for r in rows]
         encoded = pa.concat_arrays(words).dictionary_encode()
         code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = [one(w) for w in encoded.dictionary.to_pylist()]
+        ids = [one(w.decode()) for w in encoded.dictionary.to_pylist()]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum()))
         starts = np.cumsum(counts) - counts
@@ -190,7 +193,9 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     ``finish`` is a (function of an Arrow table of id and tokens, schema) that is applied where the ids are put together.
 
     A null or empty text has no tokens; repeated rows are encoded each; an empty table gives an
-    empty result.  Only the id and text columns are read.
+    empty result.  Only the id and text columns are read.  A text has up to 2**31 bytes, the most that a cell of a table holds.
+
+    The blocks stay in a table of the catalog until ``release`` or the end of the driver.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -9,11 +9,12 @@ The likeness of two fingerprints is their share of equal bins, corrected for equ
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.unions import union
+from quillstone.llm.workspace import identified
+
 WORDS = 5
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -21,6 +22,8 @@ BINS = 1 << BIN_BITS
 KEPT_BITS = 8
 #: Random probes of an empty bin before it takes the full bin that is first in its own order.
 PROBES = 40
+#: Rows of a stretch of ids, the most stretches, and the keys that they are cut by.
+STRETCH_ROWS, MOST_STRETCHES, STRETCH_SAMPLE = 2000, 4096, 16384
 
 _LOW = (1 << (64 - BIN_BITS)) - 1
 
@@ -98,33 +101,37 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], tie: str) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """``df`` with ``next_<c>`` of the next row in descending ``id_col``; the last row's next is the first.
 
-    Null ids come last; rows of one id go by the column ``tie``.  ``id_col`` is an integer.
-    Rows are dealt by stretches of ids, about as many stretches as the root of the number of rows, and each
-    stretch also gets the first row of the one below.  The broadcast table has one row a stretch.
+    Ids of any ordered type; null ids come last, and rows of one id go by their place in storage.  An empty table gives an empty result.
+
+    Rows are dealt by stretches of that order.  A stretch begins at one of the rows that cut a bounded sample of the keys (the
+    STRETCH_SAMPLE with the smallest hashes) into equal parts, so it has about STRETCH_ROWS rows, or a MOST_STRETCHES-th of the
+    table; the sample bears on balance only.  Each stretch also gets the first row of the one below.
     """
-    bounds = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
-    stretches = max(1, math.isqrt(bounds["n"]))
-    width = max(1, -(-(hi - lo + 1) // stretches))
-    part = F.coalesce(F.floor((F.col(id_col) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    every = Window.orderBy("_part")
-    heads = (
-        df.groupBy(part.alias("_part"))
-        .agg(F.max(id_col).alias("_head"))
-        .withColumn("_above", F.coalesce(F.lead("_part").over(every), F.min("_part").over(Window.partitionBy())))
-        .select("_head", "_above")
-    )
-    own = F.array(F.struct(part.alias("part"), F.lit(False).alias("copy")))
-    copy = F.array(F.struct(F.col("_above").alias("part"), F.lit(True).alias("copy")))
+    found = identified(df, "_place")
+    keyed = found.withColumn("_key", F.struct(F.col(id_col).isNotNull().alias("there"), F.col(id_col).alias("id"), F.col("_place").alias("place"))).drop("_place")
+    keys = keyed.select("_key")
+    parts = min(MOST_STRETCHES, max(1, keys.count() // STRETCH_ROWS))
+    sample = keys.orderBy(F.xxhash64("_key"), "_key").limit(STRETCH_SAMPLE)
+    whole = Window.partitionBy()
+    place = (F.row_number().over(Window.orderBy(F.col("_key").desc())) - 1) * parts
+    cuts = sample.select("_key", F.floor(place / F.count("*").over(whole)).alias("i")).groupBy("i").agg(F.max("_key").alias("_key")).filter("i > 0").select("_key")
+    heads = union(keys.agg(F.max("_key").alias("_key")), cuts).agg(F.sort_array(F.collect_set("_key"), asc=False))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_STRETCHES.bit_length()))])
+    at_least = lambda i: F.coalesce(F.get("_heads", i) >= F.col("_key"), F.lit(False))
+    part = F.aggregate(steps, F.lit(0), lambda i, step: F.when(at_least(i + step), i + step).otherwise(i))
+    above = F.when(F.col("_part") > 0, F.col("_part") - 1).otherwise(F.size("_heads") - 1)
+    entry = lambda p, copy: F.struct(p.alias("part"), F.lit(copy).alias("copy"))
+    own = F.array(entry(F.col("_part"), False))
+    both = F.array(entry(F.col("_part"), False), entry(above, True))
     dealt = (
-        df.join(F.broadcast(heads), F.col(id_col).eqNullSafe(F.col("_head")), "left")
-        .withColumn("_at", F.explode(F.when(F.col("_above").isNull(), own).otherwise(F.concat(own, copy))))
-        .drop("_head", "_above")
-    )
-    order = Window.partitionBy("_at.part").orderBy("_at.copy", F.col(id_col).desc_nulls_last(), tie)
-    return (
-        dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter(~F.col("_at.copy")).drop("_at")
+        keyed.withColumn("_heads", heads.scalar())
+        .withColumn("_part", part)
+        .withColumn("_at", F.when(F.get("_heads", F.col("_part")) == F.col("_key"), both).otherwise(own))
+        .drop("_heads", "_part")
+        .withColumn("_at", F.explode("_at"))
     )
+    order = Window.partitionBy("_at.part").orderBy("_at.copy", F.col("_key").desc())
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter(~F.col("_at.copy")).drop("_at", "_key")

@@ -14,12 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.unions import union
 from quillstone.llm.workspace import materialize
 
 #: Words as runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows of one source (or of one stretch of finish times) that one window group holds on average.
 GROUP_ROWS = 2000
+#: Equal rows that one row is unfolded into at a time.
+CHUNK = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -63,6 +66,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    shuffle: Column | None = None,
 ) -> DataFrame:
     """One row per document: id, size, source, source_size, target, taken.
 
@@ -70,24 +74,25 @@ def mix_sources(
     point order with null last as a source of its own, take the ``weights`` in
     turn and share ``share`` times all words; a target is at most ``most`` times its
     source.  ``taken`` is what the mix takes of a document: 0 up to ``most`` times its size.
-    Order within a source follows the MD5 of the id, then id and size, so reruns agree;
+    Order within a source follows the MD5 of ``shuffle`` (the id), then id and size, so reruns agree;
     repeated rows are queued one after the other, and empty documents take 0.
     An empty table gives an empty result.
 
     A source may hold any part of the rows: cumulative words are summed within
-    hash ranges of about ``GROUP_ROWS`` rows, plus the totals of the ranges before.
+    hash ranges of about ``GROUP_ROWS`` rows, plus the totals of the ranges before.  Rows alike in source, id and size,
+    as those without ids may be, are one row with a count until they are queued, so an id may have any part of the rows too.
     The cut is found from sums over stretches of finish time, then exactly
     within the one stretch where the budget ends.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    ).withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long"))
-    rows = materialize(rows, "mix-rows")
-    n = rows.count()
+    shuffle = F.col(id_col) if shuffle is None else shuffle
+    h = F.conv(F.substring(F.md5(F.coalesce(shuffle.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
+    rows = materialize(rows.groupBy("source", "h", "id", "size").agg(F.count("*").alias("k")), "mix-rows")
+    n = rows.agg(F.sum("k")).first()[0] or 0
     ranges = max(1, math.ceil(n / GROUP_ROWS))
     rows = rows.withColumn("r", (F.col("h") / F.lit(float(16**15)) * ranges).cast("long"))
 
-    sums = rows.groupBy("source", "r").agg(F.sum("size").alias("range_size"))
+    sums = rows.groupBy("source", "r").agg(F.sum(F.col("size") * F.col("k")).alias("range_size"))
     sums = materialize(sums, "mix-sums")
     targets = materialize(
         source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most),
@@ -101,12 +106,19 @@ def mix_sources(
         rows.alias("a")
         .join(starts.alias("b"), same("a", "b", "source", "r"))
         .select("a.*", "b.start")
-        .withColumn("cum", F.col("start") + F.sum("size").over(running))
+        .withColumn("upto", F.col("start") + F.sum(F.col("size") * F.col("k")).over(running))
         .alias("a")
         .join(targets.alias("b"), same("a", "b", "source"))
-        .select("id", "size", "h", "cum", "a.source", "source_size", "target", "rank", "budget")
+        .select("id", "size", "k", "h", "upto", "a.source", "source_size", "target", "rank", "budget")
     )
-    queued = materialize(queued, "mix-queue")
+    cum = (F.col("upto") - (F.col("k") - F.col("copy")) * F.col("size")).alias("cum")
+    columns = ["id", "size", "h", cum, "source", "source_size", "target", "rank", "budget"]
+    unfold = lambda df, first, last: df.withColumn("copy", F.explode(F.sequence(first, last))).select(columns)
+    one = F.lit(1).cast("long")
+    few = unfold(queued.filter(F.col("k") <= CHUNK), one, F.col("k"))
+    chunk = F.col("chunk") * CHUNK
+    many = queued.filter(F.col("k") > CHUNK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / CHUNK)))).repartition("h", "size", "chunk")
+    queued = materialize(union(few, unfold(many, chunk + 1, F.least(F.col("k"), chunk + CHUNK))), "mix-queue")
 
     copies = queued.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn(
         "finish", F.when(F.col("target") > 0, (F.col("cum") + F.col("turn") * F.col("source_size")) / F.col("target"))

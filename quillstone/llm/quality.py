@@ -9,17 +9,18 @@ leaves the document itself out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.workspace import materialize
+from quillstone.llm.workspace import join_keys, materialize
 
 #: The logistic model is fitted on at most so many labelled documents, those with the smallest hashes of their id.
 FIT_ROWS = 20_000
-#: Site tables up to this many rows are broadcast (under 100 bytes a row); larger ones are shuffled.
+#: Site tables up to this many rows are broadcast (under 100 bytes a row); larger ones are shuffled, but for the rows of hot sites.
 MAX_BROADCAST_SITES = 50_000
 #: Strength of the ridge that keeps weights finite when the classes can be told apart fully.
 RIDGE = 1e-3
@@ -107,7 +108,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         .limit(fit_rows)
     )
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    got = features(rows, "_text").select("_features", F.col("_good").cast("double")).limit(2 * fit_rows).collect()
+    # Of rows with one id the text with the least hash counts, so that there are no more rows than ids and reruns agree.
+    one = F.min_by(F.struct("_features", F.col("_good").cast("double").alias("good")), F.struct(F.xxhash64("_text"), F.length("_text")))
+    got = features(rows, "_text").groupBy("_id").agg(one.alias("r")).select("r.*").collect()
     x = np.array([r[0] for r in got], float).reshape(-1, len(FEATURES))
     return fit_logistic(x, np.array([r[1] for r in got], float))
 
@@ -122,8 +125,9 @@ def classify(
     label_col: str = "quality",
     threshold: float = 0.5,
     fit_rows: int = FIT_ROWS,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with host, path, p_doc, host_rate, path_rate, posterior and good.
+    """``docs``, or the columns of it that ``keep`` names, with host, path, p_doc, host_rate, path_rate, posterior and good.
 
     ``labels`` has ids and a 0/1 label (null labels are left out; of several the lowest counts).
     ``p_doc`` is the document's own probability, ``host_rate`` and ``path_rate`` the shrunken rates of its
@@ -133,16 +137,21 @@ def classify(
     An empty table gives an empty result.
     """
     new = ("host", "path", "p_doc", "host_rate", "path_rate", "posterior", "good")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     model = fit_classifier(docs, labels, id_col, text_col, label_col, fit_rows)
     base = _logit(model.rate)
     sigmoid = lambda x: 1 / (1 + F.exp(-x))
-    scored = features(docs.select(*keep, host.alias("_host"), path.alias("_path")), text_col).withColumn("_llr", model.evidence())
+    kept = [F.col(f"`{c}`") for c in keep]
+    # Texts are read for their evidence once; sites and posteriors come from the table that holds it.
+    scored = features(docs.select(*kept, F.struct(host.alias("host"), path.alias("path")).alias("_site"), F.col(text_col).alias("_text")), "_text")
+    scored = materialize(scored.select(*kept, "_site", model.evidence().alias("_llr")), "quality-evidence")
     p = sigmoid(F.col("_llr") + base)
 
-    sites = scored.select("_host", "_path", p.alias("p")).groupBy("_host", "_path").agg(F.sum("p").alias("sp"), F.count("*").alias("np"))
-    sites = materialize(sites, "quality-sites")
-    hosts = sites.groupBy("_host").agg(F.sum("sp").alias("sh"), F.sum("np").alias("nh"))
+    # A site is one value, in which null hosts and paths compare as equal.
+    sites = scored.groupBy("_site").agg(F.sum(p).alias("sp"), F.count("*").alias("np"))
+    sites = materialize(sites.withColumn("_host", F.struct("_site.host")), "quality-sites")
+    hosts = sites.groupBy("_host").agg(F.sum("sp").alias("sh"), F.sum("np").alias("nh"), F.count("*").alias("paths"))
+    hosts = materialize(hosts, "quality-hosts")
     whole = sites.agg(F.sum("sp").alias("s"), F.sum("np").alias("n"), F.count("*").alias("sites")).first()
     n = whole["n"] or 0
     rate = (whole["s"] + 0.5) / (n + 1) if n else 0.5
@@ -162,18 +171,15 @@ def classify(
         return float(min(MOST_PRIOR, max(LEAST_PRIOR, chance / between - 1))) if between > 0 else MOST_PRIOR
 
     host_weight = prior_weight(hosts, "sh", "nh", F.lit(rate))
-    same = lambda a, b, *cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    both = sites.alias("a").join(hosts.alias("b"), same("a", "b", "_host")).select("a.*", "sh", "nh")
+    both = join_keys(sites, hosts, ["_host"], "paths", whole["sites"]).select("_site", "sp", "np", "sh", "nh")
+    both = materialize(both, "quality-both")
     path_weight = prior_weight(both, "sp", "np", F.col("sh") / F.col("nh"))
-    if whole["sites"] <= MAX_BROADCAST_SITES:
-        both = F.broadcast(both)
-    joined = scored.alias("a").join(both.alias("b"), same("a", "b", "_host", "_path"), "left")
+    joined = scored.join(F.broadcast(both), "_site") if whole["sites"] <= MAX_BROADCAST_SITES else join_keys(scored, both, ["_site"], "np", n)
     host_rate = (F.lit(host_weight * rate) + F.col("sh") - F.col("p_doc")) / (F.col("nh") - 1 + host_weight)
     path_rate = (F.lit(path_weight) * F.col("host_rate") + F.col("sp") - F.col("p_doc")) / (F.col("np") - 1 + path_weight)
     inside = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
     return (
-        joined.select(*[F.col(f"a.`{c}`") for c in docs.columns if c not in new], F.col("a._host").alias("host"), F.col("a._path").alias("path"),
-                      "_llr", p.alias("p_doc"), "sp", "np", "sh", "nh")
+        joined.select(*kept, F.col("_site.host").alias("host"), F.col("_site.path").alias("path"), "_llr", p.alias("p_doc"), "sp", "np", "sh", "nh")
         .withColumn("host_rate", inside(host_rate))
         .withColumn("path_rate", inside(path_rate))
         .withColumn("posterior", sigmoid(F.col("_llr") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))))

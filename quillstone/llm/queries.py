@@ -62,7 +62,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on all documents; a document's source is its host, the language there its path."""
     from quillstone.llm.quality import classify
 
-    out = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    out = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), keep=["doc_id"])
     return out.select("doc_id", "host", "path", "p_doc", "host_rate", "path_rate", "posterior", "good")
 
 
@@ -90,7 +90,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.fingerprints import add_fingerprint, likeness, to_hex, with_next
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(add_fingerprint(docs, "text", "fp"), "doc_id", ["text", "fp"], "text")
+    rows = with_next(add_fingerprint(docs, "text", "fp"), "doc_id", ["text", "fp"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))

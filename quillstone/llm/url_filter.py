@@ -17,6 +17,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BROADCAST_RULES = 100_000
 #: A hot host's rows are spread over so many salts when the rules are shuffled.
 SALTS = 32
+#: Stands between host and path in an expression; neither part of a URL has it, so that no host runs on into a path.
+SEPARATOR = "?"
 
 
 def url_host(url: Column) -> Column:
@@ -39,8 +41,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to every row of ``pages``.
 
     ``rules`` has (action string, host string, path string); a rule fits its host
-    and all subdomains when the URL's path starts with the rule's path (an empty
-    rule path fits every path).  The longest rule string wins; of equally long
+    and all subdomains when the URL's path starts with the rule's path (an empty or null
+    rule path fits every path; an empty or null rule host fits URLs without a host only, and a rule with ``?`` fits none).  The longest rule string wins; of equally long
     ones the one with the longer host, then ``block``.  Rows without a fitting rule, null
     and malformed URLs included, get a null rule and the verdict ``default``.
     Repeated rows stay; columns of ``pages`` with the names of results are replaced.
@@ -54,7 +56,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         "action",
         F.translate(F.coalesce(F.col("host"), F.lit("")), _UPPER, _LOWER).alias("rule_host"),
         F.coalesce(F.col("path"), F.lit("")).alias("rule_path"),
-    ).withColumn("_rule", F.concat("rule_host", "rule_path"))
+    ).withColumns({"_rule": F.concat("rule_host", "rule_path"), "_expression": F.concat("rule_host", F.lit(SEPARATOR), "rule_path")})
     shape = rules.agg(
         F.collect_set(F.size(F.split("rule_host", "\\.", -1))).alias("labels"),
         F.collect_set(F.length("rule_path")).alias("lengths"),
@@ -79,7 +81,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     paths = F.array_compact(
         F.array(*[F.when(F.length("_path") >= n, F.substring("_path", 1, n)) for n in sorted(shape["lengths"])])
     ) if shape["lengths"] else F.array().cast("array<string>")
-    pairs = F.flatten(F.transform(F.col("_hosts"), lambda h: F.transform(F.col("_paths"), lambda p: F.concat(h, p))))
+    pairs = F.flatten(F.transform(F.col("_hosts"), lambda h: F.transform(F.col("_paths"), lambda p: F.concat(h, F.lit(SEPARATOR), p))))
     exploded = _keyed(
         rows.withColumn("_hosts", hosts)
         .withColumn("_paths", paths)
@@ -87,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .drop("_hosts", "_paths"),
         "_expression",
     )
-    side = _keyed(rules, "_rule").select(
+    side = _keyed(rules, "_expression").select(
         "_key",
         F.col("_digest").alias("_rule_digest"),
         F.struct(

@@ -111,10 +111,10 @@ def test_exact_groups(table, empty, weak):
 def test_urls(spark):
     from quillstone.llm import url_filter
 
-    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "bare", ""), ("allow", "a.b", "/x"), ("block", "a.b", "/x")]
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "bare", ""), ("allow", "a.b", "/x"), ("block", "a.b", "/x"), ("block", "a.co", "m/x"), ("allow", "zz.zz", "/x"), ("block", None, None), ("block", "q?", "/q")]
     urls = [
         None, "", "no scheme", "http://x.net", "http://X.NET/", "http://example.net/en/a?b", "http://badexample.net/en/", "https://m.example.com/de/", "https://m.example.com/de", "http://org/fr/x#y",
-        "http://bare?x", "http://a.b/xy", "http://a.b/y", "a://b://c.net/", "http://" + "a." * 5000 + "net/" + "p" * 9000, "http://x.net/", "http://x.net/",
+        "http://bare?x", "http://a.b/xy", "http://a.b/y", "a://b://c.net/", "http://" + "a." * 5000 + "net/" + "p" * 9000, "http://x.net/", "http://x.net/", "http://a.com/xyz", "http://q?/q", "file:///x",
     ]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("verdict", F.lit("clash")).withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
     r = spark.createDataFrame(rules, "action string, host string, path string")
@@ -124,7 +124,7 @@ def test_urls(spark):
 
         m = re.search(r"://([^/?#]*)([^?#]*)", u or "", re.S)
         host, path = (lower(m[1]), m[2]) if m else ("", "")
-        fits = [(len(h + p), len(h), a == "block", h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), len(h), a == "block", h + p, a) for a, h, p in ((a, h or "", p or "") for a, h, p in rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, *((max(fits)[3], max(fits)[4]) if fits else (None, "allow")))
 
     want = [(i, *expected(u)) for i, u in enumerate(urls)]
@@ -276,17 +276,38 @@ def test_fingerprints(spark, table, empty):
     assert add_fingerprint(empty, "text", "fp").count() == 0
 
 
-def test_next_rows(spark):
-    from quillstone.llm.fingerprints import with_next
-
-    ids = [None, 5, 5, -3, 10**12, 7, 8, 9]
-    t = spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string")
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, -(ids[i] or 0), f"t{i}"))
-    want = {f"t{order[k]}": f"t{order[(k + 1) % len(order)]}" for k in range(len(order))}
-    assert {r.text: r.next_text for r in with_next(t, "doc_id", ["text"], "text").collect()} == want
-    single = with_next(t.limit(1), "doc_id", ["text"], "text").collect()
-    assert [r.next_text for r in single] == ["t0"]
-    assert with_next(t.limit(0), "doc_id", ["text"], "text").count() == 0
+def test_next_rows(spark, tmp_path, monkeypatch):
+    """Ties and nulls, ids over the whole range, small stretches: one cycle in falling order of ids."""
+    from quillstone.llm import fingerprints
+
+    for size, many in ((fingerprints.STRETCH_ROWS, 8), (2, 60)):
+        monkeypatch.setattr(fingerprints, "STRETCH_ROWS", size)
+        ids = ([None, 5, 5, -9 * 10**18, 9 * 10**18, 7, 8, 9] * many)[: 8 * many]
+        spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / f"d{size}"))
+        t = spark.read.parquet(str(tmp_path / f"d{size}"))
+        got = {r.text: (r.doc_id, r.next_text) for r in fingerprints.with_next(t, "doc_id", ["text"]).collect()}
+        assert len(got) == len(ids)
+        seen, at = [], max((t for t in got if got[t][0] is not None), key=lambda t: got[t][0])
+        first = {got[x][1] for x in got if got[x][0] is None} & {x for x in got if got[x][0] == 9 * 10**18}
+        assert len(first) == 1  # after the last null the first row follows
+        at = first.pop()
+        for _ in ids:
+            seen.append(got[at][0])
+            at = got[at][1]
+        assert seen == sorted(ids, key=lambda d: (d is None, -(d or 0))) and len({x for _, x in got.values()}) == len(ids)
+    none = spark.createDataFrame([(None, f"t{i}") for i in range(40)], "doc_id long, text string")
+    got = {r.text: r.next_text for r in fingerprints.with_next(none, "doc_id", ["text"]).collect()}
+    assert len(set(got.values())) == 40
+    single = fingerprints.with_next(t.limit(1), "doc_id", ["text"]).collect()
+    assert [r.next_text for r in single] == [single[0].text]
+    assert fingerprints.with_next(t.limit(0), "doc_id", ["text"]).count() == 0
+
+
+def library(vocabulary):
+    """The tokenizer library with the pattern of the vocabulary."""
+    import tiktoken
+
+    return tiktoken.Encoding("whole", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks(), special_tokens={})
 
 
 def test_bpe(spark, table, empty):
@@ -297,7 +318,7 @@ def test_bpe(spark, table, empty):
     vocabulary = Vocabulary(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     encoded = encode_texts(table, vocabulary)
     got = Counter((r.doc_id, tuple(r.tokens), bytes(r.data)) for r in decode_ids(encoded, vocabulary).collect())
-    machine = vocabulary.encoder()
+    machine = library(vocabulary)
     assert got == Counter((d, tuple(machine.encode_ordinary(t or "")), (t or "").encode()) for d, t, *_ in ROWS)
     one = encode_texts(table, vocabulary, finish=digests(vocabulary)).filter("doc_id = 7").first()
     assert one.n_tokens == len(machine.encode_ordinary(LONG)) and one.decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
@@ -312,12 +333,13 @@ def test_pre_tokens_agree_with_the_library(spark):
 
     from quillstone.llm.bpe import Vocabulary
 
-    machine = Vocabulary(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).encoder()
+    vocabulary = Vocabulary(spark, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    machine, one = library(vocabulary), vocabulary.encoder().encode_ordinary
     find, rng = regex.compile(P.PATTERN).findall, np.random.default_rng(2)
     pool = [chr(c) for c in [*range(0, 0x250), *range(0x2000, 0x2070), *range(0x3000, 0x3050), 0x1F600, 0x10400, 0xFE0F, 0x301]]
     for _ in range(300):
         t = "".join(rng.choice(pool, 60))
-        assert [i for w in find(t) for i in machine._core_bpe.encode_single_piece(w.encode())] == machine.encode_ordinary(t)
+        assert [i for w in find(t) for i in one(w)] == machine.encode_ordinary(t)
 
 
 def test_mixing(spark, tmp_path, table, empty):
