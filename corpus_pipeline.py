@@ -3,7 +3,7 @@
 Bad documents go, exact copies go, of each group of near copies one stays, sources are mixed to target
 weights, and what is left is encoded.  Every stage takes (spark, docs, sf_dir) and returns a
 DataFrame; all but the last return the columns of ``docs`` with their values untouched.  Stages
-tell rows apart by their place in ``docs``, which is a stored table, so null and repeated ids are
+tell rows apart by their place in storage, which every scan finds alike, so null and repeated ids are
 handled: repeated rows are copies of which one stays.
 
 A stage's result is to be stored before the next stage begins, which removes the scratch tables of those before.
@@ -20,21 +20,16 @@ from quillstone.llm.exact_dedup import exact_groups
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.quality import classify
 from quillstone.llm.queries import vocabulary_of
-from quillstone.llm.workspace import release, write_table
-
-
-def _placed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_place", F.monotonically_increasing_id())
+from quillstone.llm.workspace import identified, release, write_table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(key, text): keys order by id, null last, then by place."""
-    place = F.monotonically_increasing_id()
-    return docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), place.alias("place")).alias("key"), "text")
+    return identified(docs, "_place").select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_place").alias("place")).alias("key"), "text")
 
 
 def _only(docs: DataFrame, places: DataFrame) -> DataFrame:
-    return _placed(docs).join(places, "_place", "left_semi").drop("_place").select(docs.columns)
+    return identified(docs, "_place").join(places, "_place", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +37,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     release(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     whole = docs.select("doc_id", "text", "source", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return classify(whole, labels, F.col("source"), F.col("lang")).filter("good").select("_row.*")
+    return classify(whole, labels, F.col("source"), F.col("lang"), keep=["_row"]).filter("good").select("_row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +55,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fair_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.  The order follows ids and texts."""
     release(spark)
-    taken = mix_sources(_placed(docs).select("_place", "text", "source"), id_col="_place").filter("taken > 0")
+    placed = identified(docs, "_place")
+    order = F.concat_ws(" ", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    taken = mix_sources(placed.select("_place", "text", "source", "doc_id"), id_col="_place", shuffle=order).filter("taken > 0")
     times = taken.select("_place", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("_turn"))
-    return _placed(docs).join(times, "_place").select([F.col(f"`{c}`") for c in docs.columns])
+    return placed.join(times, "_place").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
