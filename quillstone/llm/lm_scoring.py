@@ -3,7 +3,8 @@
 The model is p(w|u) = l2 c(u,w)/c(u) + l1 c(w)/N + l0/(V+1) with weights l that depend
 on the bucket of c(u).  The weights are learned by expectation-maximisation on the
 counts of a held-out fold of the training documents, against the counts of the
-other folds; scoring then uses the counts of all training documents.
+other folds; scoring then uses the counts of all training documents.  EM begins on cells of
+similar held-out events, on the driver, and ends with rounds over all held-out events where they lie.
 
 Words and word pairs are counted by packed exchanges (see ``packed``): blocks of
 documents send each distinct word, then each distinct pair, once, and get its counts
@@ -47,17 +48,23 @@ BUCKETS = np.array([0, 1, 2, 4, 8, 16, 64, 256, 1024, 16384])
 #: Cells of held-out events: buckets times steps of half an octave of either estimate.
 STEPS = 64
 EM_ROUNDS = 100
+#: Rounds over all held-out events at most, and the change of a weight below which they end.
+EXACT_ROUNDS, STILL = 8, 1e-4
 
 TEST, TRAIN, HELD = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Model:
-    """Mixture weights by bucket (rows: l0, l1, l2), N and V of the training tokens."""
+    """Mixture weights by bucket (rows: l0, l1, l2), N and V of the training tokens.
+
+    ``held_out`` has the mean log10 probability of a held-out token before each round over all events; the first is that of the cells' weights.
+    """
 
     weights: np.ndarray
     tokens: int
     types: int
+    held_out: tuple[float, ...] = ()
 
 
 def tokenize(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -221,6 +228,75 @@ def _cells(c2, cu, cw, weight, tokens: int) -> np.ndarray:
     return np.column_stack([kinds, *[np.bincount(at, w, len(kinds)) for w in (weight, weight * f2, weight * f1)]])
 
 
+def _framed(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _frames(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _events(c2, cu, cw, weight) -> bytes:
+    """Held-out events by their counts, equal ones as one with their weight."""
+    kinds, at = np.unique(np.column_stack([cu, cw, c2]), axis=0, return_inverse=True)
+    return _framed([pack(x) for x in (*kinds.T, np.bincount(at.ravel(), weight, len(kinds)).astype(np.int64))])
+
+
+def _expect(weights: np.ndarray, types: int, n_other: int):
+    """One E step over all events: by bucket the events' number, their shares of the three estimates, and their log10 probability."""
+
+    def expect(batches):
+        for batch in batches:
+            sums = np.zeros((len(BUCKETS), 5))
+            for data in batch.column(0).to_pylist():
+                cu, cw, c2, weight = map(unpack, _frames(data))
+                bucket = np.searchsorted(BUCKETS, cu, "right") - 1
+                f = np.column_stack([np.full(len(cu), 1.0 / (types + 1)), cw / max(n_other, 1), np.where(cu > 0, c2 / np.maximum(cu, 1), 0.0)])
+                share = f * weights[bucket]
+                whole = share.sum(axis=1)
+                for k in range(3):
+                    sums[:, 1 + k] += np.bincount(bucket, weight * share[:, k] / whole, len(BUCKETS))
+                sums[:, 0] += np.bincount(bucket, weight, len(BUCKETS))
+                sums[:, 4] += np.bincount(bucket, weight * np.log10(whole), len(BUCKETS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(BUCKETS))), *[pa.array(sums[:, k]) for k in range(5)]], names=["bucket", *_SUMS])
+
+    return expect
+
+
+_SUMS = ("w", "s0", "s1", "s2", "log")
+
+
+def refine_weights(events: DataFrame, weights: np.ndarray, types: int, n_other: int) -> tuple[np.ndarray, tuple[float, ...]]:
+    """EM over all held-out events (a column of packed ones) from ``weights``; buckets without events keep theirs."""
+    seen = []
+    for _ in range(EXACT_ROUNDS):
+        found = events.mapInArrow(_expect(weights, types, n_other), "bucket long, " + ", ".join(f"{c} double" for c in _SUMS))
+        sums = np.array(sorted(map(tuple, found.groupBy("bucket").agg(*[F.sum(c) for c in _SUMS]).collect())))
+        if not len(sums) or not sums[:, 1].sum():
+            break
+        seen.append(float(sums[:, 5].sum() / sums[:, 1].sum()))
+        better = weights.copy()
+        for bucket, w, *shares, _ in sums:
+            if w:
+                better[int(bucket)] = _floored(np.array(shares) / w)
+        still = np.abs(better - weights).max() < STILL
+        weights = better
+        if still:
+            break
+    return weights, tuple(seen)
+
+
+def _floored(mix: np.ndarray) -> np.ndarray:
+    """Weights that leave no word without probability."""
+    out = np.maximum(mix, [1e-6, 1e-9, 0.0])
+    return out / out.sum()
+
+
 def _open_cells(batches):
     for batch in batches:
         for data in batch.column(0).to_pylist():
@@ -243,19 +319,14 @@ def _count_pairs(n_other: int):
         train, other = total("train"), total("other")
         held = np.concatenate([unpack(r["held"]) for r in rows])
         with_held = held > 0
-        cells = _cells(
-            other[code[with_held]],
-            np.concatenate([unpack(r["cu"]) for r in rows]),
-            np.concatenate([unpack(r["cw"]) for r in rows]),
-            held[with_held],
-            n_other,
-        )
+        seen = [other[code[with_held]], *[np.concatenate([unpack(r[c]) for r in rows]) for c in ("cu", "cw")], held[with_held]]
+        cells = _cells(*seen, n_other)
         ends = np.cumsum(sizes)
         out = [
             {"block": r["block"], "p": r["p"], "kind": 1, "a": pack(train[code[e - n : e]]), "b": b"", "c": b"", "n": 0}
             for r, n, e in zip(rows, sizes, ends, strict=True)
         ]
-        out.append({"block": -1, "p": rows[0]["p"], "kind": 1, "a": cells.astype("<f8").tobytes(), "b": b"", "c": b"", "n": 0})
+        out.append({"block": -1, "p": rows[0]["p"], "kind": 1, "a": cells.astype("<f8").tobytes(), "b": _events(*seen), "c": b"", "n": 0})
         return pa.Table.from_pylist(out, schema=_RETURN)
 
     return count
@@ -278,8 +349,7 @@ def fit_weights(cells: np.ndarray, types: int) -> np.ndarray:
             for _ in range(EM_ROUNDS):
                 share = f * mix
                 mix = (weight[:, None] * share / share.sum(axis=1, keepdims=True)).sum(axis=0) / weight.sum()
-            last = np.maximum(mix, [1e-6, 1e-9, 0.0])
-            last = last / last.sum()
+            last = _floored(mix)
         out[k] = last
     return out
 
@@ -340,8 +410,7 @@ def score_texts(
     are scored once each.  With no training row every text gets the uniform estimate.
     An empty table gives an empty result.
 
-    Only N, V and cells of held-out events (at most buckets * STEPS * STEPS) come to the driver; all held-out
-    events count, each with its cell's mean estimates.
+    Only N, V, cells of held-out events (at most buckets * STEPS * STEPS) and sums by bucket come to the driver.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), kind.cast("int").alias("kind"))
@@ -376,7 +445,9 @@ def score_texts(
         .groupBy("cell").agg(F.sum("w"), F.sum("f2"), F.sum("f1")).collect()
     )
     cells = np.array(sorted(map(tuple, gathered))).reshape(-1, 4)
-    model = Model(fit_weights(cells, types), int(sums["n_train"]), int(types))
+    events = pairs.df.filter("block = -1").select("b")
+    weights, held_out = refine_weights(events, fit_weights(cells, types), int(types), int(sums["n_other"]))
+    model = Model(weights, int(sums["n_train"]), int(types), held_out)
     told = {"weights": model.weights.tolist(), "tokens": model.tokens, "types": model.types}
     id_type = to_arrow_type(rows.schema["id"].dataType)
     scored = (

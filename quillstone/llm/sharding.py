@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,10 @@ def _rank_strings(rows: DataFrame, names: list[str], n: int) -> DataFrame:
 
 def _told(rows: DataFrame, params: list[tuple], schema: str) -> DataFrame:
     """``rows`` with the parameters of their nodes."""
-    told = rows.sparkSession.createDataFrame(params, schema)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = [pa.array([p[i] for p in params], kinds[kind]) for i, (_, kind) in enumerate(fields)]
+    told = rows.sparkSession.createDataFrame(pa.table(columns, names=[name for name, _ in fields]))
     return rows.join(F.broadcast(told) if len(params) <= MAX_BROADCAST_NODES else told, "node")
 
 

@@ -11,7 +11,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,11 +188,10 @@ def ranked(df: DataFrame, keys: list[str], tag: str, name: str = "name", sums: t
     place, part = F.col("_place"), F.shiftright("_place", 33)
     sorted_ = write_table(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), tag)
     parts = sorted_.df.groupBy(part.alias("_part")).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in sums]).collect()
-    starts, at = [], 0
-    for p in sorted(parts, key=lambda r: r["_part"]):
-        starts.append((p["_part"], at))
-        at += p["rows"]
-    first = F.broadcast(spark.createDataFrame(starts, "_part long, _start long"))
+    parts.sort(key=lambda r: r["_part"])
+    starts = list(accumulate((p["rows"] for p in parts), initial=0))
+    at = starts.pop()
+    first = F.broadcast(spark.createDataFrame(pa.table([pa.array([p["_part"] for p in parts], pa.int64()), pa.array(starts, pa.int64())], names=["_part", "_start"])))
     numbered = sorted_.df.withColumn("_part", part).join(first, "_part").withColumn(name, F.col("_start") + place.bitwiseAND(F.lit((1 << 33) - 1)))
     out = _Derived(sorted_, numbered.drop("_part", "_start", "_place"))
     return out, {"rows": at} | {c: sum(p[c] for p in parts) for c in sums}

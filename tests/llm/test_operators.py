@@ -56,6 +56,32 @@ def test_lm_scores(spark, table, empty):
     assert untrained.count() == len(ROWS)
 
 
+def test_lm_weights_are_those_of_em_over_all_events(spark, tmp_path, monkeypatch):
+    """Weights against an EM written out over every held-out token of texts from a small chain of words."""
+    from quillstone.llm import lm_scoring
+    from quillstone.llm.lm_scoring import BUCKETS, HELD, TRAIN, score_texts
+
+    monkeypatch.setattr(lm_scoring, "EXACT_ROUNDS", 60)
+    monkeypatch.setattr(lm_scoring, "STILL", 1e-7)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{(k * k + int(rng.integers(0, 3))) % 40}" for k in rng.integers(0, 60, 30)), "en", "a", 1) for i in range(120)]
+    _, model = score_texts(stored(spark, tmp_path / "d", rows), F.when(F.col("doc_id") % 5 == 0, HELD).otherwise(TRAIN))
+    texts = {d: ["", *words(t), ""] for d, t, *_ in rows}
+    other = [w for d, w in texts.items() if d % 5]
+    c1, c2 = Counter(x for w in other for x in w[1:]), Counter(p for w in other for p in zip(w, w[1:]))
+    types, n = len({x for w in texts.values() for x in w[1:]}), sum(c1.values())
+    events = [(c1[u], c1[x], c2[u, x]) for d, w in texts.items() if d % 5 == 0 for u, x in zip(w, w[1:])]
+    for k in set(np.searchsorted(BUCKETS, [e[0] for e in events], "right") - 1) - {0}:
+        own = [(1 / (types + 1), cw / n, both / cu) for cu, cw, both in events if np.searchsorted(BUCKETS, cu, "right") - 1 == k]
+        mix = np.full(3, 1 / 3)
+        for _ in range(3000):
+            share = np.array(own) * mix
+            mix = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        reach = lambda m: np.log10((np.array(own) * m).sum(axis=1)).mean()
+        assert abs(reach(model.weights[k]) - reach(mix)) < 1e-4
+    assert model.held_out[-1] >= model.held_out[0] - 1e-12
+
+
 def test_lm_em_prefers_what_predicts():
     from quillstone.llm.lm_scoring import STEPS, fit_weights
 
