@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions.unions import union
 from quillstone.llm.workspace import materialize
@@ -29,6 +30,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    """A value of any type that ids have, structs of such included."""
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)
+
+
 def source_targets(sources: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
     """Targets of sources by water-filling.
 
@@ -160,7 +168,7 @@ def mix_sources(
                 F.lit(cut["finish"]).alias("finish"),
                 F.lit(cut["rank"]).alias("rank"),
                 F.lit(cut["h"]).cast("long").alias("h"),
-                F.lit(cut["id"]).cast(queued.schema["id"].dataType).alias("id"),
+                _literal(cut["id"], queued.schema["id"].dataType).alias("id"),
                 F.lit(cut["size"]).cast("long").alias("size"),
                 F.lit(cut["turn"]).alias("turn"),
             )
