@@ -1,7 +1,7 @@
 """Command line: scan, boundaries, verify, chapterize and rebuild.
 
     python -m quillstone.cli scan BOOKS [--limit N] [--min-score X] [--min-chars N] [--json OUT]
-    python -m quillstone.cli boundaries CHECKPOINTS [--limit N] [--min-score N] [--json OUT]
+    python -m quillstone.cli boundaries CHECKPOINTS [--limit N] [--min-score X] [--json OUT]
     python -m quillstone.cli verify BOOKS [--json OUT]            (exit code 1 when there are issues)
     python -m quillstone.cli chapterize BOOKS OUT [--front-matter TITLE ...]
     python -m quillstone.cli rebuild CHECKPOINTS OUT [--title T] [--toc FILE]
@@ -37,7 +37,7 @@ def scan(spark: SparkSession, books: str, limit: int = 50, min_score: float = 0.
     return found.select("book", "file", "score", "n_chars", "excerpt")
 
 
-def scan_boundaries(spark: SparkSession, folder: str, limit: int = 80, min_score: int = 70) -> DataFrame:
+def scan_boundaries(spark: SparkSession, folder: str, limit: int = 80, min_score: float = 0.70) -> DataFrame:
     """Page boundaries where text is probably missing."""
     pages = checkpoints.read_checkpoints(spark, folder)
     model = ngrams.bigram_model(pages, ["book"], order_col="seq_page")
@@ -96,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("books"), a.add_argument("--limit", type=int, default=50), a.add_argument("--min-score", type=float, default=0.70)
     a.add_argument("--min-chars", type=int, default=10), a.add_argument("--json")
     b = sub.add_parser("boundaries")
-    b.add_argument("folder"), b.add_argument("--limit", type=int, default=80), b.add_argument("--min-score", type=int, default=70), b.add_argument("--json")
+    b.add_argument("folder"), b.add_argument("--limit", type=int, default=80), b.add_argument("--min-score", type=float, default=0.70), b.add_argument("--json")
     v = sub.add_parser("verify")
     v.add_argument("books"), v.add_argument("--json")
     c = sub.add_parser("chapterize")

@@ -30,6 +30,12 @@ def compact(text: Column, char_class: str = CJK) -> Column:
     return F.array_join(chars_of(text, char_class), "")
 
 
+def utf8(data: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 are left out."""
+    text = data.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def count_class(text: Column, char_class: str = CJK) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(char_class))
 
@@ -42,6 +48,16 @@ def bigrams_of(chars: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def pairs_of(text: Column, char_class: str = CJK) -> Column:
+    """Adjacent pairs of a text's class characters, whatever stands between them, in one pass; empty below two."""
+    return F.regexp_extract_all(class_text(text, char_class), F.lit("(?s)(?=(..))"), F.lit(1))
+
+
+def class_text(text: Column, char_class: str = CJK) -> Column:
+    """Only the characters of a class, by leaving out all others."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"(?s)(?:(?!{char_class}).)+", "")
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))

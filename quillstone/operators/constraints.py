@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import compact
+from quillstone.functions.text import compact, utf8
 from quillstone.functions.unions import union
 from quillstone.operators.mapping import grams
 from quillstone.operators.toc import BOUNDARY
@@ -35,7 +35,7 @@ def package_issues(entries: DataFrame, required: tuple[str, ...] = REQUIRED) ->
         row(entries.filter("NOT crc_ok"), "error", "corrupt member", F.coalesce("path", F.lit(""))),
         row(first.filter(~F.coalesce(mime, F.lit(False))), "error", "mimetype is not the first entry", F.coalesce("path", F.lit(""))),
         row(first.filter(mime & (F.col("compress_type") != 0)), "error", "mimetype is compressed", F.lit("mimetype")),
-        row(first.filter(mime & (F.decode("payload", "UTF-8") != "application/epub+zip")), "error", "mimetype has other content", F.lit("mimetype")),
+        row(first.filter(mime & (utf8(F.col("payload")) != "application/epub+zip")), "error", "mimetype has other content", F.lit("mimetype")),
         row(want.join(entries.select("book", "path"), ["book", "path"], "left_anti"), "error", "missing member", F.col("path")),
     )
 

@@ -9,28 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.shared import stored
+
+#: Needles are broadcast up to this many rows and characters; more are shuffled.
+MAX_BROADCAST_NEEDLES, MAX_BROADCAST_CHARS = 100_000, 16_000_000
+
 
 def grams(text: Column, k: int) -> Column:
-    """All distinct stretches of ``k`` characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % k), F.lit(1)))
+    """All stretches of ``k`` characters, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % k), F.lit(1))
 
 
 def contains_join(
     needles: DataFrame, pages: DataFrame, needle_col: str, text_col: str, keep: list[str], page_keep: list[str], k: int = 5, salts: int = 8
 ) -> DataFrame:
-    """(keep…, needle, page_keep…) of every needle of at least ``k`` characters that a page contains; ``page_keep`` begins with the page's id.
+    """(keep…, needle, page_keep…) of every needle of at least ``k`` characters that a page contains, once; ``page_keep`` begins with the page's id.
 
-    Pages are reduced to those of their k-grams that begin some needle: the distinct beginnings are joined first, so that only hits travel.
-    Needles that share a beginning are spread over ``salts``.
+    Needles that fit a broadcast meet each page's k-grams where the page is, and are confirmed there: only hits travel.
+    Otherwise pages are reduced to those of their k-grams that begin some needle: the distinct beginnings are joined first.
+    Needles that share a beginning are then spread over ``salts``.
     """
     page_id = page_keep[0]
     needles = needles.filter(F.length(needle_col) >= k).select(*keep, F.col(needle_col).alias("_needle"), F.substring(needle_col, 1, k).alias("_gram"))
+    needles = stored(needles.distinct(), "needles")
+    size = needles.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("_needle")), F.lit(0)).alias("chars")).first()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if size["n"] <= MAX_BROADCAST_NEEDLES and size["chars"] <= MAX_BROADCAST_CHARS:
+        rows = pages.select(F.struct(*page_keep).alias("_page"), text.alias("_text"), F.explode(grams(text, k)).alias("_gram"))
+        found = rows.join(F.broadcast(needles), "_gram").filter(F.col("_text").contains(F.col("_needle")))
+        found = found.groupBy(*keep, "_needle", F.col(f"_page.{page_id}").alias("_id")).agg(F.first("_page").alias("_page"))
+        return found.select(*keep, F.col("_needle").alias(needle_col), *[F.col("_page").getField(c).alias(c) for c in page_keep])
     wanted = needles.select("_gram").distinct()
-    hits = pages.select(F.col(page_id).alias("_page"), F.explode(grams(F.col(text_col), k)).alias("_gram")).join(wanted, "_gram", "left_semi")
+    hits = pages.select(F.col(page_id).alias("_page"), F.explode(F.array_distinct(grams(text, k))).alias("_gram")).join(wanted, "_gram", "left_semi")
     salted = needles.withColumn("_salt", F.pmod(F.xxhash64("_needle"), F.lit(salts)))
     hits = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     found = salted.join(hits, ["_gram", "_salt"]).drop("_gram", "_salt")
-    texts = pages.select(*page_keep, F.col(text_col).alias("_text"))
+    texts = pages.select(*page_keep, text.alias("_text"))
     found = found.join(texts, F.col("_page") == F.col(page_id)).filter(F.col("_text").contains(F.col("_needle")))
     return found.select(*keep, F.col("_needle").alias(needle_col), *page_keep)
 

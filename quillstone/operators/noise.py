@@ -125,40 +125,63 @@ def _last(s: Column) -> Column:
     return F.right(s, F.lit(1))
 
 
+def _strip(s: Column) -> Column:
+    return F.regexp_replace(s, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+
+
+def _merge_pairs(lines: Column, joins, merged, leaves_first: bool) -> Column:
+    """Lines in which a text line and the next one, blank lines apart, are one where ``joins`` says so; every line keeps its place.
+
+    The merged text stands in the first line's place, or else the second's, and the other is left blank.  A line is used once, and
+    the last two lines begin no pair.
+    """
+    last = F.size(lines) - 2
+    none = F.array().cast("array<string>")
+    # done: lines that are settled; held: a text line that may begin a pair; gap: the blank lines after it.
+    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("held"), none.alias("gap"))
+    state = lambda done, held, gap: F.struct(done.alias("done"), held.alias("held"), gap.alias("gap"))
+    nothing = F.lit(None).cast("string")
+    settled = lambda acc: F.when(acc.held.isNull(), acc.done).otherwise(F.concat(acc.done, F.array(acc.held), acc.gap))
+
+    def step(acc: Column, x: Column) -> Column:
+        line, at = x.line, x.at
+        a, b = _strip(acc.held), _strip(line)
+        whole = merged(a, b)
+        pair = F.array(whole) if leaves_first else F.array(F.lit(""))
+        rest = F.array(F.lit("")) if leaves_first else F.array(whole)
+        hold = F.when(at < last, line)
+        return (
+            F.when((b == "") & acc.held.isNotNull(), state(acc.done, acc.held, F.array_append(acc.gap, line)))
+            .when(b == "", state(F.array_append(acc.done, line), nothing, none))
+            .when(acc.held.isNotNull() & joins(a, b), state(F.concat(acc.done, pair, acc.gap, rest), nothing, none))
+            .otherwise(state(F.when(hold.isNull(), F.array_append(settled(acc), line)).otherwise(settled(acc)), hold, none))
+        )
+
+    rows = F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("at")))
+    return F.aggregate(rows, start, step, settled)
+
+
 def repair_lines(lines: Column) -> Column:
-    """Non-blank lines with misplaced ends put back and cut sentences joined, as an array.
+    """Lines with misplaced ends put back and cut sentences joined; every line keeps its place, and what moved leaves a blank one.
 
     A fragment of at most five characters that ends terminally before an open longer line moves to that line's end.  Then a line
-    of more than 15 characters without a closing mark takes in a next line that doesn't look like a sentence's start.  Each line is used once.
+    of more than 15 characters without a closing mark takes in a next line that doesn't look like a sentence's start.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-    new = lambda d, h: F.struct(d.alias("done"), h.alias("held"))
-    push = lambda acc: F.when(acc.held != "", F.array_append(acc.done, acc.held)).otherwise(acc.done)
-    moved = F.aggregate(
-        F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""),
-        start,
-        lambda acc, b: F.when(
-            (acc.held != "") & (F.length(acc.held) <= 5) & _last(acc.held).isin(*CLOSERS) & (F.length(b) > 10) & ~_last(b).isin(*CLOSERS),
-            new(F.array_append(acc.done, F.concat(b, acc.held)), F.lit("")),
-        ).otherwise(new(push(acc), b)),
-        push,
+    moved = _merge_pairs(
+        lines,
+        lambda a, b: (F.length(a) <= 5) & _last(a).isin(*CLOSERS) & (F.length(b) > 10) & ~_last(b).isin(*CLOSERS),
+        lambda a, b: F.concat(b, a),
+        False,
     )
     plain = lambda s: ~s.rlike("^[#!]")
     open_end = lambda a: (F.length(a) > 15) & ~_last(a).isin(*CLOSERS) & ~_last(a).isin(*CJK_MARKS)
     goes_on = lambda b: (F.length(b) > 5) & ~F.substring(b, 1, 1).isin(*STARTERS) & ~F.substring(b, 1, 1).isin(*CJK_MARKS) & ~b.rlike("^[\\p{Nd}\\x00-\\x7F]")
-    return F.aggregate(
-        moved,
-        start,
-        lambda acc, b: F.when(
-            (acc.held != "") & plain(acc.held) & plain(b) & open_end(acc.held) & goes_on(b), new(F.array_append(acc.done, F.concat(acc.held, b)), F.lit(""))
-        ).otherwise(new(push(acc), b)),
-        push,
-    )
+    return _merge_pairs(moved, lambda a, b: plain(a) & plain(b) & open_end(a) & goes_on(b), lambda a, b: F.concat(a, b), True)
 
 
 def clean_captions(text: Column, keep_image: bool = True) -> Column:
-    """Detail blocks, caption lines and generated alt texts gone, lines repaired; paragraphs of one line each."""
+    """Detail blocks, caption lines and generated alt texts gone, lines repaired; the other line ends stay as they are."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "(?s)<details>\\s*<summary>[^<]*</summary>.*?</details>", "")
     t = clean_alt_text(t, keep_image)
     kept = F.filter(F.split(t, "\n", -1), lambda x: ~is_caption_line(x))
-    return F.array_join(repair_lines(kept), "\n\n")
+    return F.array_join(repair_lines(kept), "\n")

@@ -151,8 +151,8 @@ f AS (
 )
 SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id, sentence_no)::INTEGER AS turn, source, doc_id, sentence_no, sentence FROM k WHERE dup = 1 ORDER BY turn, source LIMIT 200""",
     "adjacent_boundaries": f"""
-WITH letters AS (SELECT {LETTERS} AS t FROM conversations),
-model AS (SELECT substr(t, i, 2) AS bigram, count(*) AS n FROM letters, unnest(range(1, length(t))) AS u(i) GROUP BY 1),
+WITH letters AS (SELECT conv_id, {LETTERS} AS t FROM conversations),
+model AS (SELECT conv_id, substr(t, i, 2) AS bigram, count(*) AS n FROM letters, unnest(range(1, length(t))) AS u(i) GROUP BY 1, 2),
 c AS (
   SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g'), '[」』”’）》】〕〉"0-9０-９¹²³⁴⁵⁶⁷⁸⁹⁰]+$', '') AS tail,
          lead(turn) OVER w AS nxt, substr(lead({LETTERS}) OVER w, 1, 1) AS a
@@ -160,19 +160,18 @@ c AS (
 ), t AS (
   SELECT *, right(array_to_string(regexp_extract_all(tail, '\\p{{L}}'), ''), 1) AS z FROM c WHERE nxt = turn + 1 AND tail <> '' AND NOT regexp_matches(tail, '[!?;]$')
 )
-SELECT conv_id, turn, nxt AS next_order, CASE WHEN coalesce(n, 0) <= 1 THEN 55 ELSE 40 END AS score,
-       CASE WHEN coalesce(n, 0) <= 1 THEN 'open_tail rare_seam' ELSE 'open_tail' END AS reasons
-FROM t LEFT JOIN model ON z || a = bigram WHERE z <> '' AND a <> '' AND a IS NOT NULL""",
+SELECT t.conv_id, turn, nxt AS next_order, CASE WHEN coalesce(n, 0) <= 1 THEN 0.55::DOUBLE ELSE 0.4::DOUBLE END AS score,
+       CASE WHEN coalesce(n, 0) <= 1 THEN 'open_tail_no_terminal rare_boundary_bigram' ELSE 'open_tail_no_terminal' END AS reasons
+FROM t LEFT JOIN model ON t.conv_id = model.conv_id AND z || a = bigram WHERE z <> '' AND a <> '' AND a IS NOT NULL""",
     "span_to_doc": """
-WITH r AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[^\\n]{40}')) AS run FROM benchmark),
+WITH r AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[^\\n]{12,}')) AS run FROM benchmark),
 h AS (SELECT run, count(DISTINCT doc_id) AS n, min(doc_id) AS doc_id FROM (SELECT DISTINCT run FROM r) JOIN documents ON contains(text, run) GROUP BY run HAVING count(DISTINCT doc_id) = 1)
 SELECT item_id, run, doc_id FROM (SELECT item_id, run, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY length(run) DESC, run) AS k FROM r JOIN h USING (run)) WHERE k = 1""",
     "source_lookup": """
-WITH e AS (SELECT item_id, substr(text, 1, 200) AS x FROM benchmark),
-k AS (SELECT item_id, length(x) AS len, s, substr(x, s, 24) AS key FROM e, unnest(range(1, 97, 24)) AS u(s) WHERE s + 23 <= length(x)),
-m AS (SELECT item_id, len, key, doc_id, text, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, s) AS r FROM k JOIN documents ON contains(text, key)),
-f AS (SELECT *, instr(text, key) - 1 AS p FROM m WHERE r = 1)
-SELECT item_id, doc_id, key, trim(substr(text, greatest(p - 40, 0)::INTEGER + 1, (p + len + 120 - greatest(p - 40, 0))::INTEGER), ' ') AS context FROM f""",
+WITH k AS (SELECT item_id, length(text) AS len, s, substr(text, s, 24) AS key FROM benchmark, unnest(range(1, 121, 24)) AS u(s) WHERE s + 23 <= length(text)),
+m AS (SELECT item_id, len, key, doc_id, documents.text AS t, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, s) AS r FROM k JOIN documents ON contains(documents.text, key)),
+f AS (SELECT *, instr(t, key) - 1 AS p FROM m WHERE r = 1)
+SELECT item_id, doc_id, key, trim(substr(t, greatest(p - 40, 0)::INTEGER + 1, (p + len + 120 - greatest(p - 40, 0))::INTEGER), ' ') AS context FROM f""",
     "source_lookup_whole": """
 WITH k AS (SELECT item_id, length(text) AS len, s, substr(text, s, 24) AS key FROM benchmark, unnest(range(1, length(text) - 22, 24)) AS u(s)),
 m AS (SELECT item_id, len, key, doc_id, documents.text AS t, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, s) AS r FROM k JOIN documents ON contains(documents.text, key)),

@@ -107,8 +107,10 @@ def top_suspicious(spark, sf_dir):
 
 
 def hopping_windows(spark, sf_dir):
-    w = ngrams.hopping_windows(_documents(spark, sf_dir, "doc_id", "text"), char_class=T.LETTER)
-    return w.groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.count_distinct("window").alias("n_distinct"), F.max("start").alias("last_start"))
+    """Windows of each document by size: how many, how many different, and where the last one starts."""
+    w = ngrams.window_arrays(_documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], char_class=T.LETTER)
+    n = F.size("windows")
+    return w.select("doc_id", "size", n.cast("long").alias("n"), F.size(F.array_distinct("windows")).cast("long").alias("n_distinct"), ((n - 1) * F.col("step")).alias("last_start"))
 
 
 def sentence_round_robin(spark, sf_dir):
@@ -126,14 +128,16 @@ def adjacent_boundaries(spark, sf_dir):
 
 
 def span_to_doc(spark, sf_dir):
+    """The document of each item by its longest run of 12 characters or more, line by line, that stands in one document only."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
     d = _documents(spark, sf_dir, "doc_id", "text")
-    return mapping.spans_to_pages(b, d, "item_id", "span", "doc_id", "text", run="[^\\n]{40}", k=12)
+    return mapping.spans_to_pages(b, d, "item_id", "span", "doc_id", "text", run="[^\\n]{12,}", k=12)
 
 
 def source_lookup(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("excerpt"))
-    return mapping.source_lookup(b, _documents(spark, sf_dir, "doc_id", "text"), "item_id", "excerpt", "doc_id", "text", size=24, most=96)
+    """The first document that has one of an item's keys: stretches of 24 characters, five from its beginning."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("excerpt"))
+    return mapping.source_lookup(b, _documents(spark, sf_dir, "doc_id", "text"), "item_id", "excerpt", "doc_id", "text", size=24, most=120)
 
 
 def source_lookup_whole(spark, sf_dir):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.html import resolve_member
-from quillstone.functions.text import squeeze
+from quillstone.functions.text import squeeze, utf8
 
 ENTRY = "book string, ord int, path string, compress_type int, payload binary, crc_ok boolean"
 #: Members that hold no text of the book.
@@ -40,7 +40,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
                         for k, info in enumerate(z.infolist()):
                             try:
                                 data, ok = z.read(info), True
-                            except (zipfile.BadZipFile, zlib.error):
+                            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):  # damaged, encrypted, or packed in another way
                                 data, ok = None, False
                             rows.append((book, k, info.filename, info.compress_type, data, ok))
                 except zipfile.BadZipFile:
@@ -55,7 +55,7 @@ def content_texts(entries: DataFrame) -> DataFrame:
     """(book, ord, path, xhtml, text) of content members in archive order."""
     base = F.lower(F.substring_index("path", "/", -1))
     rows = entries.filter(F.lower("path").rlike("\\.x?html$") & ~base.isin(*STRUCTURAL))
-    xhtml = F.decode("payload", "UTF-8")
+    xhtml = utf8(F.col("payload"))
     from quillstone.functions.html import html_unescape
 
     return rows.select("book", "ord", "path", xhtml.alias("xhtml"), squeeze(html_unescape(F.regexp_replace(xhtml, "(?is)<[^>]+>", " "))).alias("text"))

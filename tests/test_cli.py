@@ -38,7 +38,7 @@ def test_rebuild_verify_chapterize_scan(spark, folder):
     assert cli.verify(spark, marked).first().ok
     assert cli.scan(spark, out).count() == 0
     found = cli.scan_boundaries(spark, str(folder / "scan")).collect()
-    assert [(r.pdf_page, r.score) for r in found] == [(1, 90)]
+    assert [(r.pdf_page, r.score) for r in found] == [(1, 0.9)]
     assert cli.main(["boundaries", str(folder / "scan"), "--json", str(folder / "report")]) == 0
     assert spark.read.json(str(folder / "report")).count() == 1
 

@@ -104,7 +104,7 @@ def test_captions(spark):
     assert clean("<details>\n<summary>photo</summary>\nx\n</details>正文") == "正文"
     assert clean("photography is fine") == "photography is fine"
     assert clean("natural_image: A long description of a man that stands in front of a house") == ""
-    assert clean("他在一九九七年採用「一國兩制」的基本方針政\n\n國在香港既有的利益") == "他在一九九七年採用「一國兩制」的基本方針政國在香港既有的利益"
+    assert clean("他在一九九七年採用「一國兩制」的基本方針政\n\n國在香港既有的利益") == "他在一九九七年採用「一國兩制」的基本方針政國在香港既有的利益\n\n"
     assert one(spark, lambda t: noise.clean_alt_text(t, keep_image=False), "![photo](a.png)") == "[](a.png)"
 
 
@@ -143,6 +143,25 @@ def test_patching():
     tail = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"
     assert patching.patch_start(tail, "閏餘成歲律呂調陽雲騰致雨" + tail, cls) == ("閏餘成歲律呂調陽雲騰致雨" + tail, 1)
     assert patching.patch_start(tail, tail, cls) == (tail, 0)
+    island = "宇宙洪荒日月盈昃"
+    assert patching.diff_hunks("甲" + island + "丙", "乙" + island + "丁", cls) == [(0, 1, 0, 1), (9, 10, 9, 10)]
+    assert patching.diff_hunks("甲" + island[:7] + "丙", "乙" + island[:7] + "丁", cls) == [(0, 9, 0, 9)]
+    assert patching.diff_hunks("天地甲玄黃", "天地乙玄黃", cls) == [(2, 5, 2, 5)] and patching.diff_hunks("", "甲", cls) == [(0, 0, 0, 1)]
+
+
+def test_best_stretch_is_that_of_all_pairs():
+    import random
+    from difflib import SequenceMatcher
+
+    from quillstone.functions.align import best_stretch
+
+    rng = random.Random(3)
+    for _ in range(60):
+        target, text = ("".join(rng.choice("abcde") for _ in range(n)) for n in (rng.randint(1, 9), rng.randint(1, 30)))
+        pairs = [(SequenceMatcher(None, target, text[i : i + len(target)], autojunk=False).ratio(), -i) for i in range(max(1, len(text) - len(target) + 1))]
+        ratio, _, at = best_stretch([target], text)
+        assert (ratio, -at) == max(pairs)
+    assert best_stretch([], "abc") is None and best_stretch(["abc"], "xyz", least=0.5) is None
     assert patching.parse_page_ranges("71, 75-77") == [71, 75, 76, 77]
     for bad in ("", "x", "5-3", "0"):
         with pytest.raises(ValueError):
@@ -159,11 +178,44 @@ def test_boundary_scores(spark):
     pages = [(1, 1, "他認為"), (1, 2, "蔣介石走了。"), (1, 3, "另起"), (1, 5, "不相鄰"), (1, 6, "<img src='a'>圖後")]
     got = boundaries.score_boundaries(spark.createDataFrame(pages, "book int, page int, text string"), "book", "page")
     assert {r.page: (r.score, list(r.reasons)) for r in got.collect()} == {
-        1: (90, ["open_tail", "open_ending", "rare_seam", "sentence_like_head"]),
-        5: (75, ["open_tail", "rare_seam", "image_adjacent", "image_first"]),
+        1: (0.90, ["open_tail_no_terminal", "open_tail_suffix", "rare_boundary_bigram", "new_sentence_like_head"]),
+        5: (0.75, ["open_tail_no_terminal", "rare_boundary_bigram", "image_adjacent_boundary", "next_page_starts_with_image"]),
     }
 
 
+def test_boundaries_of_several_books(spark):
+    """Each book is measured by its own pairs: another one that has the pair of a seam often changes nothing."""
+    a = [("a", 1, "甲乙"), ("a", 2, "丙丁。")]
+    b = [("b", 1, "乙丙乙丙乙丙。"), ("b", 2, "乙"), ("b", 3, "丙。")]
+
+    def scores(rows):
+        pages = spark.createDataFrame(rows, "book string, page int, text string")
+        from quillstone.operators import ngrams
+
+        found = boundaries.score_boundaries(pages, "book", "page", "text", ngrams.bigram_model(pages, ["book"], order_col="page"))
+        return {(r.book, r.page): r.score for r in found.collect()}
+
+    alone, both = scores(a), scores(a + b)
+    assert alone == {("a", 1): 0.55} and both == {("a", 1): 0.55, ("b", 2): 0.40}
+
+
+def test_line_ends_stay(spark):
+    clean = lambda t: one(spark, noise.clean_captions, t)
+    assert clean("a\nb") == "a\nb" and clean("a\n\n\nb\n") == "a\n\n\nb\n" and clean("") == "" and clean(None) == ""
+    assert clean("話！\n\n就在這時刻他說他要講幾句\n後") == "\n\n就在這時刻他說他要講幾句話！\n後"
+    assert clean("話！\n就在這時刻他說他要講幾句") == "話！\n就在這時刻他說他要講幾句"  # the last two lines begin no pair
+    assert clean("他在一九九七年採用「一國兩制」的基本方針政\n國在香港既有的利益\n\n後") == "他在一九九七年採用「一國兩制」的基本方針政國在香港既有的利益\n\n\n後"
+    assert clean("前\nphoto\n後") == "前\n後"
+
+
+def test_bad_bytes_are_left_out(spark):
+    from quillstone.functions.text import utf8
+
+    rows = [(1, bytearray("甲\ufffd乙".encode())), (2, bytearray("甲".encode() + b"\xff\xe4" + "乙".encode())), (3, None)]
+    t = spark.createDataFrame(rows, "k int, payload binary").select("k", utf8(F.col("payload")).alias("t")).orderBy("k")
+    assert [r.t for r in t.collect()] == ["甲\ufffd乙", "甲乙", None]
+
+
 def test_continuity(spark):
     c = spark.createDataFrame([("甲乙", "丙丁"), ("甲乙", "戊"), ("x", "y"), ("己", "庚")], "a string, b string")
     got = [r.status for r in boundaries.continuity(c, "a", "b", "甲乙丙丁").collect()]
