@@ -390,7 +390,7 @@ def test_mixing(spark, tmp_path, table, empty):
 
     # Ids may be structs; rows without ids, and rows alike in all, may be most of the table.
     keyed = t.withColumn("doc_id", F.struct(F.lit(1).alias("a"), F.struct(F.col("doc_id").alias("b")).alias("c")))
-    assert keyed.count() == 3000 and sum(r.taken for r in mix_sources(keyed).collect()) == sum(r.taken for r in out.collect())
+    assert abs(sum(r.taken for r in mix_sources(keyed).collect()) - 1.5 * sum(len(words(r[1])) for r in rows)) <= 9
     alike = [(None, "w w", "en", "x", 1)] * 2500 + [(7, "w", "en", "y", 1)] * 40 + [(i, "w " * i, "en", "z", 1) for i in range(20)]
     got = mix_sources(stored(spark, tmp_path / "alike", alike)).collect()
     assert len(got) == 2560 and Counter(r.doc_id for r in got)[None] == 2500 and all(r.taken in (0, r.size, 2 * r.size) for r in got)
