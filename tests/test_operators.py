@@ -457,3 +457,32 @@ def test_semantic_windows_cut_the_text(spark):
         assert "".join(c for c in r.llm_excerpt if "㐀" <= c <= "鿿") == r.excerpt and "譯者" not in r.excerpt
         at = text.index(r.llm_excerpt)
         assert r.context_before == text[max(0, at - 120) : at].strip() and r.context_after == text[at + len(r.llm_excerpt) :][:120].strip()
+
+
+def test_toc_repairs(spark):
+    """Links that point past, before, or nowhere; ids that are taken; a part behind its first chapter's marker; a preview at an end."""
+    from quillstone.operators import repair
+
+    page = lambda body: f"<html><head><title>t</title></head><body>{body}</body></html>"
+    nav = [("第一章 甲", "a.xhtml#t1"), ("第二章 乙", "a.xhtml#t2"), ("第三章 丙", "a.xhtml#t3"), ("第四章 丁", "b.xhtml"), ("第二編 戊", "b.xhtml#p"), ("附錄", "b.xhtml#x"), ("第九節", "a.xhtml#t3")]
+    members = {
+        "EPUB/a.xhtml": page('<h1 id="t1">第一章 甲</h1><p id="t2-start">x</p><h2>第二章</h2><p id="t2">乙</p><h3 id="t3">丙</h3><p>文</p><p>第四章</p>'),
+        "EPUB/b.xhtml": page('<h2>第四章</h2><p>丁</p><p>文</p><p>第五章</p><h1 id="p">第二編 戊</h1><p>引</p><p id="x">己</p>'),
+        "EPUB/nav.xhtml": page("<nav><ol>" + "".join(f'<li><a href="{h}">{t}</a></li>' for t, h in nav) + "</ol></nav>"),
+        "EPUB/toc.ncx": "<ncx><navMap>" + "".join(f'<navPoint><navLabel><text>{t}</text></navLabel><content src="{h}"/></navPoint>' for t, h in nav) + "</navMap></ncx>",
+        "EPUB/content.opf": '<package><manifest><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>',
+        "META-INF/container.xml": '<container><rootfiles><rootfile full-path="EPUB/content.opf"/></rootfiles></container>',
+    }
+    rows = [(b, k, p, 8, bytearray(d.encode()), True) for b in ("x", "y") for k, (p, d) in enumerate(members.items())]
+    got = {(r.book, r.path): bytes(r.payload).decode() for r in repair.repair_toc(spark.createDataFrame(rows, epub.ENTRY)).collect()}
+    assert len(got) == len(rows)
+    for b in ("x", "y"):
+        assert got[b, "EPUB/a.xhtml"] == page(
+            '<h1 id="t1">第一章 甲</h1><p id="t2-start">x</p><h2 id="t2-start-2">第二章</h2><p id="t2">乙</p><h3 id="t3-chapter">第三章</h3><h3 id="t3">丙</h3><p>文</p>'
+        )
+        assert got[b, "EPUB/b.xhtml"] == page('<h2 id="toc-auto-start">第四章</h2><p>丁</p><p>文</p><h1 id="p">第二編 戊</h1><p>引</p><p>第五章</p><p id="x">己</p>')
+        hrefs = ["a.xhtml#t1", "a.xhtml#t2-start-2", "a.xhtml#t3-chapter", "b.xhtml#toc-auto-start", "b.xhtml#p", "b.xhtml#x", "a.xhtml#t3"]
+        import re
+
+        assert re.findall('href="([^"]*)"', got[b, "EPUB/nav.xhtml"]) == hrefs == re.findall('src="([^"]*)"', got[b, "EPUB/toc.ncx"])
+        assert got[b, "EPUB/content.opf"] == members["EPUB/content.opf"]
