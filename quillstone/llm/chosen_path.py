@@ -29,14 +29,14 @@ from quillstone.llm.workspace import join_keys, small_batches, write_table
 POSITIONS = 128
 #: Sampled positions of a run at the root, and at every path that is split.
 BRANCHES, DEEPER = 2, 3
-#: A path with at most so many sets is compared in full.  Larger paths that are compared are dealt in chunks of this size, pair by pair.
-LEAF = 1024
+#: A path with at most so many sets isn't split.  Paths that are compared are dealt in chunks of about CHUNK sets, pair by pair.
+LEAF, CHUNK = 1024, 512
 #: A path is not split further when it keeps more than this part of the sets of the path above, or lies this deep.
 STUCK, DEPTH = 0.5, 6
 #: Standard deviations that the estimate of a pair at the threshold may fall below it.
 SLACK = 5.5
-#: Ids of texts to verify are broadcast up to this many (under 10 MB); more are shuffled.
-MAX_BROADCAST_IDS = 200_000
+#: Digests of texts to verify are broadcast up to this many (under 10 MB); more are shuffled.
+MAX_BROADCAST_IDS = 100_000
 #: Columns of a block of the incidence matrix.
 COLUMNS = 1024
 
@@ -303,16 +303,18 @@ def jaccard_join(
     positions = positions_for(runs)
     sketches = write_table(source.mapInArrow(_sketch(positions), f"id {ddl}, sha binary, n long, digest binary, sketch array<int>, low binary"), "join-sets")
     # One row a set; all rows of a set have the same sketch, and the least hash names the text that stands for it.
+    total = sketches.df.count()
     reps = write_table(
         sketches.df.groupBy("digest").agg(
             F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.min("sha").alias("sha"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
             F.first("low").alias("low"),
         ).withColumn("rid", F.monotonically_increasing_id()),
         "join-reps",
+        rows=total,
     )
-    ids_of = write_table(sketches.df.select("id", "digest"), "join-ids")
+    ids_of = write_table(sketches.df.select("id", "digest"), "join-ids", rows=total)
     sketches.drop()
-    spent = []
+    spent, places = [], total * runs * BRANCHES
     order = np.argsort(mix64(np.arange(positions, dtype=np.uint64) + np.uint64(1 << 32))).tolist()
     root = F.array(*[F.xxhash64(F.lit(p), F.get("sketch", F.lit(p))) for p in order[: runs * BRANCHES]])
     real = reps.df.filter("n > 0")
@@ -324,7 +326,7 @@ def jaccard_join(
     ).filter("m > 1")
     levels, leaves, depth = [], None, 1
     while True:
-        stats = write_table(stats_of(level), f"paths-{depth}")
+        stats = write_table(stats_of(level), f"paths-{depth}", rows=places)
         spent.append(stats)
         stuck = F.lit(depth >= DEPTH) | ((F.col("above") > 0) & (F.col("m") > STUCK * F.col("above")))
         done = stats.df.filter((F.col("m") <= LEAF) | stuck).select("path", "m", "s1", "s2")
@@ -336,20 +338,20 @@ def jaccard_join(
         here = level.select("rid", "path").join(big, "path").join(real.select("rid", "sketch"), "rid")
         position = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(positions)).cast("int")
         below = F.array_distinct(F.array(*[F.xxhash64("path", position(k), F.get("sketch", position(k))) for k in range(DEEPER)]))
-        deeper = write_table(here.select("rid", "above", F.explode(below).alias("path")), f"level-{depth}")
+        deeper = write_table(here.select("rid", "above", F.explode(below).alias("path")), f"level-{depth}", rows=places * DEEPER)
         spent.append(deeper)
         level = deeper.df
         depth += 1
-    kept = write_table(leaves.groupBy("m", "s1", "s2").agg(F.min("path").alias("path")).select("path", "m"), "join-leaves")
-    members = write_table(union(*levels).join(kept.df, "path"), "join-members")
+    kept = write_table(leaves.groupBy("m", "s1", "s2").agg(F.min("path").alias("path")).select("path", "m"), "join-leaves", rows=places)
+    members = write_table(union(*levels).join(kept.df, "path"), "join-members", rows=places)
     lists = members.df.groupBy("rid").agg(F.collect_set(F.struct("path", "m")).alias("at"))
     lists = write_table(
-        lists.select("rid", "at", F.sort_array("at.path").alias("paths")).join(reps.df.select("rid", "n", "copies", "low", "sha"), "rid"), "join-lists"
+        lists.select("rid", "at", F.sort_array("at.path").alias("paths")).join(reps.df.select("rid", "n", "copies", "low", "sha"), "rid"), "join-lists", rows=total
     )
-    sets = write_table(reps.df.select("digest", "rid", "copies", "copy_id"), "join-distinct")
+    sets = write_table(reps.df.select("digest", "rid", "copies", "copy_id"), "join-distinct", rows=total)
     for t in [*spent, kept, members, reps]:
         t.drop()
-    chunks = F.ceil(F.col("one.m") / LEAF).cast("int")
+    chunks = F.ceil(F.col("one.m") / CHUNK).cast("int")
     dealt = (
         lists.df.select("rid", "n", "low", "paths", F.explode("at").alias("one"))
         .withColumn("chunk", F.pmod(F.xxhash64("rid", "one.path"), chunks).cast("int"))
@@ -361,14 +363,14 @@ def jaccard_join(
     met = write_table(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(meet, met_ddl), "join-met")
 
     wanted = lists.df.select("rid", "sha").join(met.df.select("rid").distinct(), "rid", "left_semi")
-    wanted = write_table(wanted, "join-wanted")
+    wanted = write_table(wanted, "join-wanted", rows=total)
     ids = wanted.df
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
     # Rows of one text are one after the partial aggregate, so copies don't travel.
     texts = source.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).join(ids, "sha").groupBy("rid").agg(F.first("text").alias("text"))
     whole = lists.df.select("rid", "copies", "paths", F.transform("at", lambda x: x.path).alias("p"), F.transform("at", lambda x: x.m).alias("m"))
-    chunks = F.ceil(F.element_at("m", F.array_position("p", F.col("path")).cast("int")) / LEAF).cast("int")
+    chunks = F.ceil(F.element_at("m", F.array_position("p", F.col("path")).cast("int")) / CHUNK).cast("int")
     to_verify = (
         met.df.join(whole, "rid")
         .withColumn("chunk", F.pmod(F.xxhash64("rid", "path"), chunks).cast("int"))
@@ -389,13 +391,13 @@ def jaccard_join(
             F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("n_texts"),
         )
     )
-    info = write_table(info, "join-info")
+    info = write_table(info, "join-info", rows=total)
     for t in (lists, met, wanted, found, roots, sets):
         t.drop()
-    classes = write_table(info.df.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("sets")), "join-classes")
-    per_set = write_table(join_keys(info.df, classes.df, ["root"], "sets", info.df.count()).drop("root", "sets"), "join-per-set")
+    classes = write_table(info.df.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count("*").alias("sets")), "join-classes", rows=total)
+    per_set = write_table(join_keys(info.df, classes.df, ["root"], "sets", info.df.count()).drop("root", "sets"), "join-per-set", rows=total)
     for t in (info, classes):
         t.drop()
-    return join_keys(ids_of.df, per_set.df, ["digest"], "copies", ids_of.df.count()).select(
+    return join_keys(ids_of.df, per_set.df, ["digest"], "copies", total).select(
         F.col("id").alias(id_col), "class_id", "copy_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("n_texts").cast("long").alias("n_texts")
     )

@@ -61,19 +61,19 @@ def name_texts(
     )
     blocks = cut.groupBy("block").agg(F.count("*").alias("uses")).select(digest(F.col("block")).alias("d"), "uses")
     kinds = blocks.groupBy("d").agg(F.sum("uses").alias("uses"), F.count("*").alias("kinds"))
-    names, sums = ranked(kinds, ["d"], "block-names", sums=("uses", "kinds"))
-    total = sums["uses"] or 0
+    total = occurrences.df.count()
+    names, sums = ranked(kinds, ["d"], "block-names", sums=("uses", "kinds"), rows=total)
     first = join_keys(occurrences.df, names.df, ["d"], "uses", total).select("_uid", "j", "name", "kinds")
     spent = [names]
     if (sums["kinds"] or 0) > sums["rows"]:
         clash = names.df.filter("kinds > 1").select("d")
         shared = cut.withColumn("d", digest(F.col("block"))).join(clash, "d", "left_semi").select("_uid", "j", "d", "block")
-        own, _ = ranked(shared.groupBy("d", "block").agg(F.count("*").alias("uses")), ["d", "block"], "clash-names")
+        own, _ = ranked(shared.groupBy("d", "block").agg(F.count("*").alias("uses")), ["d", "block"], "clash-names", rows=total)
         spent.append(own)
         # Names below -1, which stands for no neighbour, are apart from all others.
         by_content = join_keys(shared, own.df, ["d", "block"], "uses", total).select("_uid", "j", (-2 - F.col("name")).alias("name"))
         first = union(first.filter("kinds = 1").select("_uid", "j", "name"), by_content)
-    level = write_table(first.select("_uid", "j", "name"), "level-0")
+    level = write_table(first.select("_uid", "j", "name"), "level-0", rows=total)
     spent.append(level)
     done, depth = [_done(level.df, 0)], 0
     while True:
@@ -87,16 +87,16 @@ def name_texts(
                 F.coalesce(F.max(F.when(F.col("j") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
             )
         )
-        pairs = write_table(pairs, f"pairs-{depth}")
+        pairs = write_table(pairs, f"pairs-{depth}", rows=total)
         depth += 1
-        above, sums = ranked(pairs.df.groupBy("a", "b").agg(F.count("*").alias("uses")), ["a", "b"], f"pair-names-{depth}", sums=("uses",))
+        above, sums = ranked(pairs.df.groupBy("a", "b").agg(F.count("*").alias("uses")), ["a", "b"], f"pair-names-{depth}", sums=("uses",), rows=total)
         spent += [pairs, above]
         if not sums["rows"]:
             break
-        level = write_table(join_keys(pairs.df, above.df, ["a", "b"], "uses", sums["uses"]).select("_uid", F.col("k").alias("j"), "name"), f"level-{depth}")
+        level = write_table(join_keys(pairs.df, above.df, ["a", "b"], "uses", sums["uses"]).select("_uid", F.col("k").alias("j"), "name"), f"level-{depth}", rows=total)
         spent.append(level)
         done.append(_done(level.df, depth))
-    named = write_table(union(*done).join(occurrences.df.filter("j = 0").select("_uid", "text_sha256"), "_uid"), "exact-names")
+    named = write_table(union(*done).join(occurrences.df.filter("j = 0").select("_uid", "text_sha256"), "_uid"), "exact-names", rows=total)
     for t in [occurrences, *spent]:
         t.drop()
     return named
@@ -128,8 +128,9 @@ def exact_groups(
         F.min(F.struct(F.col("_uid._id").isNull().alias("z"), F.col("_uid").alias("u"))).alias("keep"),
         F.count("*").alias("group_size"),
     )
-    groups = write_table(groups, "exact-groups")
-    return join_keys(names.df, groups.df, ["levels", "name"], "group_size", names.df.count()).select(
+    n = names.df.count()
+    groups = write_table(groups, "exact-groups", rows=n)
+    return join_keys(names.df, groups.df, ["levels", "name"], "group_size", n).select(
         F.col("_uid._id").alias(id_col),
         F.col("keep.u._id").alias("keep_id"),
         "group_size",

@@ -101,10 +101,11 @@ def mix_sources(
     rows = rows.withColumn("r", (F.col("h") / F.lit(float(16**15)) * ranges).cast("long"))
 
     sums = rows.groupBy("source", "r").agg(F.sum(F.col("size") * F.col("k")).alias("range_size"))
-    sums = materialize(sums, "mix-sums")
+    sums = materialize(sums, "mix-sums", n)
     targets = materialize(
         source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most),
         "mix-targets",
+        n,
     )
     before = Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0))).drop("range_size")
@@ -126,7 +127,7 @@ def mix_sources(
     few = unfold(queued.filter(F.col("k") <= CHUNK), one, F.col("k"))
     chunk = F.col("chunk") * CHUNK
     many = queued.filter(F.col("k") > CHUNK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / CHUNK)))).repartition("h", "size", "chunk")
-    queued = materialize(union(few, unfold(many, chunk + 1, F.least(F.col("k"), chunk + CHUNK))), "mix-queue")
+    queued = materialize(union(few, unfold(many, chunk + 1, F.least(F.col("k"), chunk + CHUNK))), "mix-queue", n)
 
     copies = queued.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn(
         "finish", F.when(F.col("target") > 0, (F.col("cum") + F.col("turn") * F.col("source_size")) / F.col("target"))

@@ -228,9 +228,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     place = F.concat_ws(".", F.lower(F.hex("uid.a")), F.lower(F.hex("uid.b")), F.col("uid.row").cast("string"))
     name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.url_encode(F.col("id").cast("string")), F.lit("null")), F.lit(":"), place)
     narrow = rows.select("uid", "id", name.alias("name"), F.unhex(F.sha2("payload", 256)).alias("sha"), n.alias("n")).filter(F.col("n") >= LEAST_REVISITED)
-    narrow = materialize(narrow, "warc-digests")
+    narrow = materialize(narrow, "warc-digests", sums["large"])
     keep = narrow.groupBy("sha", "n").agg(F.max(F.struct("id", "uid", "name")).alias("keep"), F.count("*").alias("k")).filter("k > 1")
-    keep = materialize(keep, "warc-groups")
+    keep = materialize(keep, "warc-groups", sums["large"])
     copies = join_keys(narrow.select("uid", "sha", "n"), keep, ["sha", "n"], "k", sums["large"])
     revisits = copies.filter(F.col("uid") != F.col("keep.uid")).select("uid", F.col("keep.name").alias("refers_to"))
     joined = rows.withColumn("name", name).join(revisits, "uid", "left").select("name", "url", "payload", "refers_to")

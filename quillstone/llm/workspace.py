@@ -8,6 +8,7 @@ threads are on one machine (a ``local`` master, as in unit tests) a temporary fo
 from __future__ import annotations
 
 import atexit
+import math
 import re
 import tempfile
 import uuid
@@ -25,6 +26,8 @@ _ROOTS: dict[str, str] = {}
 _SCRATCH: dict[str, str | None] = {}
 #: A key is hot when it has more than this part of all rows; so there are fewer hot keys than HOT_KEYS.
 HOT_KEYS = 4096
+#: Rows of a file of a table whose size is known, and the fewest files.
+FILE_ROWS, LEAST_FILES = 100_000, 24
 #: Nodes of a plan under which every row is a row of a stored file.
 _PLAIN = {"Project", "Filter", "SubqueryAlias", "View"}
 
@@ -98,10 +101,15 @@ class Table:
         delete(self._spark, self.path)
 
 
-def write_table(df: DataFrame, tag: str, lasting: bool = False) -> Table:
-    """Write ``df`` to the shared folder as Parquet and return the table."""
+def write_table(df: DataFrame, tag: str, lasting: bool = False, rows: int | None = None) -> Table:
+    """Write ``df`` to the shared folder as Parquet and return the table.
+
+    Of a table of at most ``rows`` rows, where they are known, many small partitions make few files; a large one keeps its partitions.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag, lasting)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, math.ceil(rows / FILE_ROWS)))
     df.write.option("compression", "snappy").parquet(path)
     return Table(spark, path, df.schema)
 
@@ -132,9 +140,9 @@ def write_bucketed(df: DataFrame, tag: str, key: str) -> BucketedTable:
     return BucketedTable(spark, path, df.schema, name)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back without its lineage."""
-    return write_table(df, tag).df
+    return write_table(df, tag, rows=rows).df
 
 
 def _scans_rows_once(df: DataFrame) -> bool:
@@ -179,14 +187,14 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], uses: str, total:
     return union(rows.join(hot, on), cold)
 
 
-def ranked(df: DataFrame, keys: list[str], tag: str, name: str = "name", sums: tuple[str, ...] = ()) -> tuple[Table, dict[str, int]]:
+def ranked(df: DataFrame, keys: list[str], tag: str, name: str = "name", sums: tuple[str, ...] = (), rows: int | None = None) -> tuple[Table, dict[str, int]]:
     """``df`` with its rows numbered from 0 in the order of ``keys`` over the whole table, and its count (``rows``) and ``sums``.
 
     The numbers depend on the rows only.  The driver gets one row a partition.
     """
     spark = df.sparkSession
     place, part = F.col("_place"), F.shiftright("_place", 33)
-    sorted_ = write_table(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), tag)
+    sorted_ = write_table(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), tag, rows=rows)
     parts = sorted_.df.groupBy(part.alias("_part")).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in sums]).collect()
     parts.sort(key=lambda r: r["_part"])
     starts = list(accumulate((p["rows"] for p in parts), initial=0))

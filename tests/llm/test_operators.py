@@ -257,6 +257,7 @@ def test_jaccard_join_of_crowded_paths(spark, tmp_path, monkeypatch):
     from quillstone.llm import chosen_path
 
     monkeypatch.setattr(chosen_path, "LEAF", 8)
+    monkeypatch.setattr(chosen_path, "CHUNK", 5)
     rng = np.random.default_rng(1)
     passage = " ".join(f"p{i}" for i in range(60))
     base = [f"b{i}" for i in range(80)]
@@ -273,9 +274,29 @@ def test_jaccard_join_of_crowded_paths(spark, tmp_path, monkeypatch):
 
 
 def test_runs_reach_the_recall():
-    from quillstone.llm.chosen_path import runs_for
+    from quillstone.llm.chosen_path import BRANCHES, DEEPER, DEPTH, positions_for, runs_for
 
-    assert runs_for(0.9, 0.8) < runs_for(0.999999, 0.8) and (1 - 0.8 * 0.96) ** (2 * runs_for(0.999999, 0.8)) <= 1e-6
+    for threshold in (0.2, 0.25, 0.5, 0.8, 0.95):
+        met = threshold * (1 - (1 - threshold) ** DEEPER) ** (DEPTH - 1)
+        runs = runs_for(0.999999, threshold)
+        assert runs_for(0.9, threshold) <= runs and (1 - met) ** (BRANCHES * runs) <= 1e-6 * (1 + 1e-9)
+        positions = positions_for(runs)
+        assert positions >= runs * BRANCHES and positions & (positions - 1) == 0
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_jaccard_join_at_other_thresholds(spark, tmp_path, threshold):
+    from quillstone.llm.chosen_path import jaccard_join
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(90):
+        base = [f"g{i // 6}_{k}" for k in range(40)]
+        a = int(rng.integers(0, 25))
+        base[a : a + int(rng.integers(0, 14))] = [f"n{i}"]
+        rows.append((i, " ".join(base), "en", "a", 1))
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_texts) for r in jaccard_join(stored(spark, tmp_path / "d", rows), threshold).collect())
+    assert got == brute_join(rows, threshold)
 
 
 def test_components(spark):

@@ -182,8 +182,8 @@ def test_rows_stay_apart_when_files_are_split_anew(spark, tmp_path, monkeypatch)
     want = results()
     splits, plain = [4, 12, 2, 7], workspace.write_table
 
-    def write_table(df, tag, lasting=False):
-        out = plain(df, tag, lasting)
+    def write_table(df, tag, lasting=False, rows=None):
+        out = plain(df, tag, lasting, rows)
         splits.append(splits.pop(0))
         spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(splits[0]))
         return out
