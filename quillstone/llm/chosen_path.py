@@ -4,7 +4,7 @@ A set of five-word shingles is embedded as MinHash values at a number of positio
 splits the sets on the values at a few sampled positions: sets that agree there share a
 path, as two sets do with their Jaccard similarity at each.  Paths with many sets are
 split again on positions sampled for the path; small ones are compared in full,
-and so are those that splitting hardly makes smaller.  Runs are repeated until a pair at the threshold is
+and so are those that splitting hardly takes apart.  Runs are repeated until a pair at the threshold is
 met with the target probability.  Pairs that meet are verified on their whole sets.
 """
 
@@ -29,9 +29,9 @@ from quillstone.llm.workspace import join_keys, small_batches, write_table
 POSITIONS = 128
 #: Sampled positions of a run at the root, and at every path that is split.
 BRANCHES, DEEPER = 2, 3
-#: A path with at most so many sets isn't split.  Paths that are compared are dealt in chunks of about CHUNK sets, pair by pair.
-LEAF, CHUNK = 1024, 512
-#: A path is not split further when it keeps more than this part of the sets of the path above, or lies this deep.
+#: A path with at most so many sets is compared in full.  Larger paths that are compared are dealt in chunks of this size, pair by pair.
+LEAF = 1024
+#: A path is compared as a whole when splitting it leaves more than this part of its sets together, or when it lies this deep.
 STUCK, DEPTH = 0.5, 6
 #: Standard deviations that the estimate of a pair at the threshold may fall below it.
 SLACK = 5.5
@@ -318,30 +318,38 @@ def jaccard_join(
     order = np.argsort(mix64(np.arange(positions, dtype=np.uint64) + np.uint64(1 << 32))).tolist()
     root = F.array(*[F.xxhash64(F.lit(p), F.get("sketch", F.lit(p))) for p in order[: runs * BRANCHES]])
     real = reps.df.filter("n > 0")
-    level = real.select("rid", F.explode(root).alias("path"), F.lit(0).cast("long").alias("above"))
+    level = real.select("rid", F.explode(root).alias("path"), F.lit(0).cast("long").alias("above"), F.lit(0).cast("long").alias("parent"))
     h = lambda seed: F.xxhash64("rid", F.lit(seed)).cast("decimal(38,0)")
     # Two sums of hashes tell the paths apart that hold different sets.
     stats_of = lambda df: df.groupBy("path").agg(
-        F.count("*").alias("m"), F.max("above").alias("above"), F.sum(h(1)).alias("s1"), F.sum(h(2)).alias("s2")
+        F.count("*").alias("m"), F.max("above").alias("above"), F.max("parent").alias("parent"), F.sum(h(1)).alias("s1"), F.sum(h(2)).alias("s2")
     ).filter("m > 1")
-    levels, leaves, depth = [], None, 1
+    levels, leaves, split, depth = [], [], None, 1
     while True:
-        stats = write_table(stats_of(level), f"paths-{depth}", rows=places)
-        spent.append(stats)
-        stuck = F.lit(depth >= DEPTH) | ((F.col("above") > 0) & (F.col("m") > STUCK * F.col("above")))
-        done = stats.df.filter((F.col("m") <= LEAF) | stuck).select("path", "m", "s1", "s2")
-        leaves = done if leaves is None else union(leaves, done)
+        found = write_table(stats_of(level), f"paths-{depth}", rows=places)
+        spent.append(found)
         levels.append(level.select("rid", "path"))
-        big = stats.df.filter((F.col("m") > LEAF) & ~stuck).select("path", F.col("m").alias("above"))
-        if not big.limit(1).count():
+        stats = found.df
+        if split is not None:
+            # Where a part holds most of the path above, that path is compared instead of its parts, which repeat its pairs.
+            stuck = stats.filter(F.col("m") > STUCK * F.col("above")).select("parent").distinct()
+            leaves.append(split.join(stuck.withColumnRenamed("parent", "path"), "path", "left_semi"))
+            stats = stats.join(stuck, "parent", "left_anti")
+        whole = (F.col("m") <= LEAF) | F.lit(depth >= DEPTH)
+        leaves.append(stats.filter(whole).select("path", "m", "s1", "s2"))
+        big = write_table(stats.filter(~whole).select("path", "m", "s1", "s2"), f"split-{depth}", rows=places // LEAF)
+        spent.append(big)
+        split = big.df
+        if not split.limit(1).count():
             break
-        here = level.select("rid", "path").join(big, "path").join(real.select("rid", "sketch"), "rid")
+        here = level.select("rid", "path").join(split.select("path", F.col("m").alias("above")), "path").join(real.select("rid", "sketch"), "rid")
         position = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(positions)).cast("int")
         below = F.array_distinct(F.array(*[F.xxhash64("path", position(k), F.get("sketch", position(k))) for k in range(DEEPER)]))
-        deeper = write_table(here.select("rid", "above", F.explode(below).alias("path")), f"level-{depth}", rows=places * DEEPER)
+        deeper = write_table(here.select("rid", "above", F.col("path").alias("parent"), F.explode(below).alias("path")), f"level-{depth}", rows=places * DEEPER)
         spent.append(deeper)
         level = deeper.df
         depth += 1
+    leaves = union(*leaves)
     kept = write_table(leaves.groupBy("m", "s1", "s2").agg(F.min("path").alias("path")).select("path", "m"), "join-leaves", rows=places)
     members = write_table(union(*levels).join(kept.df, "path"), "join-members", rows=places)
     lists = members.df.groupBy("rid").agg(F.collect_set(F.struct("path", "m")).alias("at"))
@@ -351,7 +359,7 @@ def jaccard_join(
     sets = write_table(reps.df.select("digest", "rid", "copies", "copy_id"), "join-distinct", rows=total)
     for t in [*spent, kept, members, reps]:
         t.drop()
-    chunks = F.ceil(F.col("one.m") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("one.m") / LEAF).cast("int")
     dealt = (
         lists.df.select("rid", "n", "low", "paths", F.explode("at").alias("one"))
         .withColumn("chunk", F.pmod(F.xxhash64("rid", "one.path"), chunks).cast("int"))
@@ -370,7 +378,7 @@ def jaccard_join(
     # Rows of one text are one after the partial aggregate, so copies don't travel.
     texts = source.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).join(ids, "sha").groupBy("rid").agg(F.first("text").alias("text"))
     whole = lists.df.select("rid", "copies", "paths", F.transform("at", lambda x: x.path).alias("p"), F.transform("at", lambda x: x.m).alias("m"))
-    chunks = F.ceil(F.element_at("m", F.array_position("p", F.col("path")).cast("int")) / CHUNK).cast("int")
+    chunks = F.ceil(F.element_at("m", F.array_position("p", F.col("path")).cast("int")) / LEAF).cast("int")
     to_verify = (
         met.df.join(whole, "rid")
         .withColumn("chunk", F.pmod(F.xxhash64("rid", "path"), chunks).cast("int"))

@@ -257,7 +257,6 @@ def test_jaccard_join_of_crowded_paths(spark, tmp_path, monkeypatch):
     from quillstone.llm import chosen_path
 
     monkeypatch.setattr(chosen_path, "LEAF", 8)
-    monkeypatch.setattr(chosen_path, "CHUNK", 5)
     rng = np.random.default_rng(1)
     passage = " ".join(f"p{i}" for i in range(60))
     base = [f"b{i}" for i in range(80)]
