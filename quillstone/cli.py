@@ -3,8 +3,9 @@
     python -m quillstone.cli scan BOOKS [--limit N] [--min-score X] [--min-chars N] [--json OUT]
     python -m quillstone.cli boundaries CHECKPOINTS [--limit N] [--min-score X] [--json OUT]
     python -m quillstone.cli verify BOOKS [--json OUT]            (exit code 1 when there are issues)
-    python -m quillstone.cli chapterize BOOKS OUT [--front-matter TITLE ...]
-    python -m quillstone.cli rebuild CHECKPOINTS OUT [--title T] [--toc FILE]
+    python -m quillstone.cli chapterize BOOKS OUT [--front-matter TITLE ...] [--verify-only]
+    python -m quillstone.cli repair BOOKS OUT [--strict]
+    python -m quillstone.cli rebuild CHECKPOINTS OUT [--title T] [--author A] [--language L] [--cover FILE] [--toc FILE] [--strict]
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.shared import stored
 from quillstone.functions.unions import union
-from quillstone.operators import boundaries, constraints, headings, lines, ngrams, noise, rewrite, toc
+from quillstone.operators import boundaries, constraints, headings, lines, ngrams, noise, repair, rewrite, toc
 from quillstone.sources import checkpoints, epub
 
 
@@ -63,11 +65,46 @@ def chapterize(spark: SparkSession, books: str, out: str, front_matter: tuple[st
     errors = toc.boundary_errors(children, marks)
     if bad := errors.limit(20).collect():  # a report of the first errors
         raise RuntimeError("; ".join(f"{r.book}: {r.issue} {r.detail}" for r in bad))
-    return epub.write_books(rewrite.chapterize(toc.reading_segments(children, marks, spine), marks), out)
+    return epub.write_books(rewrite.chapterize(toc.reading_segments(children, marks, spine), marks, entries), out)
 
 
-def rebuild(spark: SparkSession, folder: str, out: str, title: str = "", toc_path: str | None = None) -> DataFrame:
-    """Books from page checkpoints, with the headings of a TOC file or those found, written to ``out``."""
+def reading_report(spark: SparkSession, books: str) -> DataFrame:
+    """One report a book of the rules that books of one member a reading unit keep."""
+    entries = stored(epub.read_entries(spark, books), "entries")
+    good = entries.filter("path IS NOT NULL")
+    issues = constraints.reading_issues(epub.structure(good), epub.text_elements(good)).withColumn("severity", F.lit("error"))
+    return constraints.report(issues, entries)
+
+
+def publish(entries: DataFrame, out: str, strict: bool = False) -> DataFrame:
+    """Entries whose targets start pages, written to ``out``; with ``strict`` nothing is written while artefacts are left in texts.
+
+    A report of the first artefacts is printed, or raised.  Each book takes its name when its file is complete.
+    """
+    entries = stored(entries, "books")
+    entries = rewrite.start_pages(entries, epub.structure(entries))
+    left = noise.noise_tokens(epub.content_texts(entries), ["book", "path"], "xhtml").orderBy("book", "path", "token").limit(8).collect()
+    if left:
+        message = "artefacts are left: " + ", ".join(f"{r.book}!{r.path}: {r.token} x{r.n}" for r in left)
+        if strict:
+            raise RuntimeError(message)
+        print(message)
+    return epub.write_books(entries, out)
+
+
+def repair_books(spark: SparkSession, books: str, out: str, strict: bool = False) -> DataFrame:
+    """Books whose tables of contents point to their markers, written to ``out``."""
+    return publish(repair.repair_toc(stored(epub.read_entries(spark, books).filter("path IS NOT NULL"), "entries")), out, strict)
+
+
+def rebuild(
+    spark: SparkSession, folder: str, out: str, title: str = "", toc_path: str | None = None, author: str = "", language: str = "zh-Hant", cover: bytes | None = None,
+    strict: bool = False,
+) -> DataFrame:
+    """Books from page checkpoints, with the headings of a TOC file or those found, written to ``out``.
+
+    A paragraph that a page breaks goes on with the next page's first one, within a chapter.
+    """
     pages = checkpoints.read_checkpoints(spark, folder).withColumn("text", noise.clean_captions(noise.clean_ocr_noise(F.col("text"))))
     pages = pages.withColumn("page", F.col("seq_page"))
     if toc_path:
@@ -82,11 +119,16 @@ def rebuild(spark: SparkSession, folder: str, out: str, title: str = "", toc_pat
     clean = lines.strip_page_headers(kept.select("_k", "line_no", "line", "_own"), prints, "_k", "_own")
     clean = clean.join(kept.filter("_own").select("_k", "line_no", F.rtrim("line").alias("_own")), ["_k", "line_no"], "left")
     text = clean.groupBy("_k").agg(F.collect_set("_own").alias("own"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("text"))
-    paragraphs = text.select("_k.book", "_k.page", F.posexplode(lines.reflow(F.col("text"), confirmed=F.col("own"))).alias("line_no", "line"))
+    flowed = text.select("_k.book", "_k.page", "own", lines.reflow(F.col("text"), confirmed=F.col("own")).alias("p"))
+    paragraphs = lines.join_pages(flowed, "book", "page", "p", "own").select("book", "page", F.col("paragraph_no").alias("line_no"), F.col("paragraph").alias("line"), "continues")
     chapters = headings.split_chapters(paragraphs, marks)
     body = chapters.filter(~F.col("heading") & (headings.heading_key(F.col("line")) != headings.heading_key(F.col("chapter_title"))))
-    rows = body.select("book", "chapter_no", "chapter_title", F.struct("page", "line_no").alias("ord"), F.col("line").alias("paragraph"))
-    return epub.write_books(rewrite.rebuild(rows, title), out)
+    order = Window.partitionBy("book", "chapter_no").orderBy("page", "line_no")
+    first = F.col("continues") & (F.row_number().over(order) > 1)
+    joined = body.withColumn("_new", (~first).cast("int")).withColumn("_p", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: F.trim(x.line))
+    rows = joined.groupBy("book", "chapter_no", F.col("_p").alias("ord")).agg(F.first("chapter_title").alias("chapter_title"), F.array_join(pieces, " ").alias("paragraph"))
+    return publish(rewrite.rebuild(rows, title, author, language, cover), out, strict)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -100,9 +142,12 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("verify")
     v.add_argument("books"), v.add_argument("--json")
     c = sub.add_parser("chapterize")
-    c.add_argument("books"), c.add_argument("out"), c.add_argument("--front-matter", nargs="*", default=[])
+    c.add_argument("books"), c.add_argument("out", nargs="?"), c.add_argument("--front-matter", nargs="*", default=[]), c.add_argument("--verify-only", action="store_true")
+    t = sub.add_parser("repair")
+    t.add_argument("books"), t.add_argument("out"), t.add_argument("--strict", action="store_true")
     r = sub.add_parser("rebuild")
-    r.add_argument("folder"), r.add_argument("out"), r.add_argument("--title", default=""), r.add_argument("--toc")
+    r.add_argument("folder"), r.add_argument("out"), r.add_argument("--title", default=""), r.add_argument("--toc"), r.add_argument("--author", default="")
+    r.add_argument("--language", default="zh-Hant"), r.add_argument("--cover"), r.add_argument("--strict", action="store_true")
     return p
 
 
@@ -115,14 +160,23 @@ def main(argv: list[str] | None = None) -> int:
         found = scan_boundaries(spark, args.folder, args.limit, args.min_score)
     elif args.command == "verify":
         found = verify(spark, args.books)
+    elif args.command == "chapterize" and args.verify_only:
+        found = reading_report(spark, args.books)
     elif args.command == "chapterize":
         found = chapterize(spark, args.books, args.out, tuple(args.front_matter))
+    elif args.command == "repair":
+        found = repair_books(spark, args.books, args.out, args.strict)
     else:
-        found = rebuild(spark, args.folder, args.out, args.title, args.toc)
+        cover = None
+        if args.cover:
+            with open(args.cover, "rb") as f:
+                cover = f.read()
+        found = rebuild(spark, args.folder, args.out, args.title, args.toc, args.author, args.language, cover, args.strict)
     if getattr(args, "json", None):
         checkpoints.write_report(found, args.json)
     found.show(20, truncate=60)
-    return int(args.command == "verify" and found.filter("NOT ok").limit(1).count() > 0)
+    checks = args.command == "verify" or getattr(args, "verify_only", False)
+    return int(checks and found.filter("NOT ok").limit(1).count() > 0)
 
 
 if __name__ == "__main__":

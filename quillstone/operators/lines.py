@@ -145,16 +145,18 @@ def reflow(text: Column, char_class: str = CJK, confirmed: Column | None = None)
     )
 
 
-def join_pages(pages: DataFrame, book_col: str, order_col: str, paragraphs_col: str) -> DataFrame:
+def join_pages(pages: DataFrame, book_col: str, order_col: str, paragraphs_col: str, confirmed_col: str | None = None) -> DataFrame:
     """(book, order, paragraph_no, paragraph, continues): whether a page's first paragraph goes on from the page before.
 
-    It does when the text before doesn't end terminally and the page doesn't begin with a special line.  Pages
-    without paragraphs are passed over.
+    It does when the text before doesn't end terminally and the page doesn't begin with a special line, or with one of the array
+    ``confirmed_col``; nor does text go on from such a line.  Pages without paragraphs are passed over.
     """
     w = Window.partitionBy(book_col).orderBy(order_col)
     real = pages.filter(F.size(paragraphs_col) > 0)
     tail = F.lag(F.element_at(paragraphs_col, -1)).over(w)
-    goes_on = tail.isNotNull() & ~ends_with_any(F.rtrim(tail), TERMINAL) & ~is_special(F.element_at(paragraphs_col, 1))
+    alone = lambda i: F.array_contains(confirmed_col, F.element_at(paragraphs_col, i)) if confirmed_col else F.lit(False)
+    open_tail = tail.isNotNull() & ~ends_with_any(F.rtrim(tail), TERMINAL) & ~is_special(tail) & ~F.lag(alone(-1)).over(w)
+    goes_on = open_tail & ~is_special(F.element_at(paragraphs_col, 1)) & ~alone(1)
     return (
         real.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
         .select(book_col, order_col, "_on", F.posexplode(paragraphs_col).alias("paragraph_no", "paragraph"))

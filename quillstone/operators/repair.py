@@ -14,6 +14,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillstone.functions.html import relative_href, resolve_member
 from quillstone.functions.text import utf8
@@ -80,7 +81,7 @@ def free_ids(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.withColumn("new_id", F.element_at(free, F.col("_turn"))).drop("_turn", "_taken")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def with_fragment(href: pd.Series, fragment: pd.Series) -> pd.Series:
     return pd.Series([f"{h.partition('#')[0]}#{quote(f, safe=':')}" for h, f in zip(href, fragment, strict=True)])
 

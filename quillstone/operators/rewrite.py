@@ -3,17 +3,41 @@
 from __future__ import annotations
 
 import html
+import posixpath
 import re
+import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.html import resolve_member
+from quillstone.functions.unions import union
 from quillstone.sources import epub
 
+#: The class of elements that begin a page, and its style rules.
 PAGE_START = "toc-page-start"
-PAGE_START_CSS = f".{PAGE_START} {{ break-before: page; page-break-before: always; }}"
+PAGE_START_CSS = f"""
+.{PAGE_START} {{
+    break-before: page;
+    page-break-before: always;
+    margin-top: 0 !important;
+    padding-top: 0 !important;
+}}
+body > .{PAGE_START}:first-child {{
+    break-before: auto;
+    page-break-before: auto;
+}}
+p.{PAGE_START} + p + h1.{PAGE_START},
+p.{PAGE_START} + p + h2.{PAGE_START} {{
+    break-before: auto;
+    page-break-before: auto;
+}}
+"""
+TAG = re.compile(r"<[A-Za-z][^<>]*>")
+ATTRIBUTE = re.compile(r"\s+(?P<name>[\w:.-]+)\s*=\s*(?P<quote>[\"'])(?P<value>.*?)(?P=quote)", re.S)
 
 
 def unique_id(text: str, base: str, suffix: str) -> str:
@@ -41,40 +65,29 @@ def replace_fragment(href: str, fragment: str) -> str:
     return f"{href.partition('#')[0]}#{fragment}"
 
 
-def _with_class(tag: str, name: str) -> str:
-    m = re.search(r"\bclass\s*=\s*([\"'])(.*?)\1", tag, re.S)
-    if not m:
-        return re.sub(r"(\s*/?>)$", rf' class="{name}"\1', tag)
-    return tag if name in m[2].split() else tag[: m.start(2)] + " ".join([*m[2].split(), name]) + tag[m.end(2) :]
-
-
-def mark_page_starts(text: str, ids: list[str], name: str = PAGE_START) -> str:
-    """The class on the first element with each id or name."""
+def page_starts(text: str, ids: list[str]) -> str:
+    """The page-start class on the first element with each id or name and on no other; all else stays, other classes included."""
     left = set(ids)
 
-    def mark(m: re.Match) -> str:
-        found = [x for x in re.findall(r"\b(?:id|name)\s*=\s*[\"']([^\"']+)", m[0]) if x in left]
-        left.difference_update(found)
-        return _with_class(m[0], name) if found else m[0]
-
-    return re.sub(r"<[A-Za-z][^<>]*>", mark, text)
-
+    def settle(m: re.Match) -> str:
+        tag = m[0]
+        fields = {a["name"].lower(): a for a in ATTRIBUTE.finditer(tag)}
+        mine = {html.unescape(fields[n]["value"]) for n in ("id", "name") if n in fields} & left
+        left.difference_update(mine)
+        classes = fields["class"]["value"].split() if "class" in fields else []
+        if (PAGE_START in classes) == bool(mine):
+            return tag
+        now = [c for c in classes if c != PAGE_START] + [PAGE_START] * bool(mine)
+        written = f' class="{" ".join(now)}"' if now else ""
+        first, last = fields["class"].span() if "class" in fields else [len(tag) - len(re.search(r"\s*/?>$", tag)[0])] * 2
+        return tag[:first] + written + tag[last:]
 
-def unmark_page_starts(text: str, name: str = PAGE_START) -> str:
-    """Without the class; other classes keep their attributes as they are."""
+    return TAG.sub(settle, text)
 
-    def drop(m: re.Match) -> str:
-        classes = m[2].split()
-        if name not in classes:
-            return m[0]
-        rest = " ".join(c for c in classes if c != name)
-        return f" class={m[1]}{rest}{m[1]}" if rest else ""
-
-    return re.sub(r"\s+class\s*=\s*([\"'])(.*?)\1", drop, text, flags=re.S)
 
-
-def append_css(text: str) -> str:
-    return text if f".{PAGE_START}" in text else f"{text.rstrip()}\n\n{PAGE_START_CSS}\n"
+def styled(css: str) -> str:
+    """A style sheet with the rules of page starts, once."""
+    return css if PAGE_START in css else "\n".join([css.rstrip(), PAGE_START_CSS])
 
 
 def start_pages(entries: DataFrame, structure: DataFrame) -> DataFrame:
@@ -87,35 +100,68 @@ def start_pages(entries: DataFrame, structure: DataFrame) -> DataFrame:
             new = []
             for path, data, ids in zip(batch["path"], batch["payload"], batch["ids"], strict=True):
                 if isinstance(path, str) and path.endswith((".xhtml", ".html")) and data is not None:
-                    data = mark_page_starts(unmark_page_starts(data.decode("utf-8", "ignore")), list(ids) if ids is not None else []).encode()
+                    data = page_starts(data.decode("utf-8", "ignore"), list(ids) if ids is not None else []).encode()
                 elif isinstance(path, str) and path.endswith(".css") and data is not None:
-                    data = append_css(data.decode("utf-8", "ignore")).encode()
+                    data = styled(data.decode("utf-8", "ignore")).encode()
                 new.append(data)
             yield batch.assign(payload=new)[["book", "ord", "path", "compress_type", "payload", "crc_ok"]]
 
     return rows.select("book", "ord", "path", "compress_type", "payload", "crc_ok", "ids").mapInPandas(rewrite, epub.ENTRY)
 
 
-def chapterize(segments: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Entries of new books with one member a reading segment, a flat nav and ncx, from ``toc.reading_segments`` and ``reading_boundaries``.
+def _content(path) -> Column:
+    """Members that hold the text of a book; a cover page doesn't."""
+    base = F.lower(F.substring_index(path, "/", -1))
+    return F.lower(path).rlike("\\.x?html?$") & ~base.isin(*epub.STRUCTURAL, "cover.xhtml")
 
-    A member begins with its title as the only first-level heading; the boundary's own element and repeated titles are left out.
-    A task holds one book.
-    """
-    keep = segments.filter(~F.col("starts") & ~F.col("repeats"))
-    body = keep.groupBy("book", "boundary_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("spine_no", "child_no", "xml"))), lambda x: x.xml), "").alias("xml"))
-    rows = boundaries.join(body, ["book", "boundary_no"], "left").select("book", "boundary_no", "title", "xml")
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("boundary_no")
-        flat = lambda x: re.sub(r"<(/?)(?:\w+:)?h1\b", r"<\1h2", re.sub(r"\sxmlns(:\w+)?=\"[^\"]*\"", "", re.sub(r"(</?)\w+:", r"\1", x or "")))
-        made = epub.build_book(str(g["title"].iloc[0]), [(t, flat(x)) for t, x in zip(g["title"], g["xml"], strict=True)])
-        return pd.DataFrame([(g["book"].iloc[0], k, p, c, d, True) for k, p, c, d in made], columns=["book", "ord", "path", "compress_type", "payload", "crc_ok"])
+def relocate(xml: str, source: str, folder: str) -> str:
+    """Markup of member ``source`` for a member in ``folder``: relative links lead to the same files."""
+
+    def move(m: re.Match) -> str:
+        member, fragment = resolve_member(source, html.unescape(m["value"]))
+        if member is None or m["value"].startswith("#"):
+            return m[0]
+        target = posixpath.relpath(member, folder or ".") + (f"#{quote(fragment)}" if fragment else "")
+        return f"{m['name']}{html.escape(target)}{m['quote']}"
+
+    return re.sub(r"(?P<name>\b(?:src|href)\s*=\s*(?P<quote>[\"']))(?P<value>.*?)(?P=quote)", move, xml)
 
-    return rows.groupBy("book").applyInPandas(build, epub.ENTRY)
 
+def chapterize(segments: DataFrame, boundaries: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries of the books with one member a reading segment, from ``toc.reading_segments`` and ``reading_boundaries``.
 
-def rebuild(pages: DataFrame, title: str) -> DataFrame:
+    A member begins with its title as the only first-level heading; the boundary's own element and repeated titles are left out.  The
+    package keeps its metadata, pictures, style sheets and cover; manifest, spine, nav and ncx are those of the new members.
+    A task holds one book's text.
+    """
+    keep = segments.filter(~F.col("starts") & ~F.col("repeats"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("spine_no", "child_no", "path", "xml"))), lambda x: F.struct(x["path"].alias("path"), x["xml"].alias("xml")))
+    body = keep.groupBy("book", "boundary_no").agg(pieces.alias("pieces"))
+    rows = boundaries.join(body, ["book", "boundary_no"], "left").select("book", "boundary_no", "title", "pieces")
+    base = F.lower(F.substring_index("path", "/", -1))
+    package = base.endswith(".opf") | (base == "container.xml")
+    contents = base.isin(*epub.STRUCTURAL) & ~package
+    untouched = entries.filter(~_content(F.col("path")) & ~base.endswith(".opf") & ~contents)
+    plain = lambda x: re.sub(r"<(/?)(?:\w+:)?h1\b", r"<\1h2", re.sub(r"\sxmlns(:\w+)?=\"[^\"]*\"", "", re.sub(r"(</?)\w+:", r"\1", x or "")))
+
+    def build(own: pd.DataFrame, chapters: pd.DataFrame) -> pd.DataFrame:
+        files = {p: d for p, d in zip(own["path"], own["payload"], strict=True) if isinstance(p, str)}
+        if not len(chapters) or not files:
+            return pd.DataFrame([], columns=[x.split()[0] for x in epub.ENTRY.split(", ")])
+        opf = epub.package_file(files)
+        folder = posixpath.dirname(opf)
+        g = chapters.sort_values("boundary_no")
+        made = [(t, "".join(plain(relocate(x["xml"], x["path"], folder)) for x in (ps if ps is not None else []))) for t, ps in zip(g["title"], g["pieces"], strict=True)]
+        new = epub.repackage(files[opf], opf, made)
+        rows = [(g["book"].iloc[0], 1_000_000 + k, p, zipfile.ZIP_DEFLATED, d, True) for k, (p, d) in enumerate(new)]
+        return pd.DataFrame(rows, columns=["book", "ord", "path", "compress_type", "payload", "crc_ok"])
+
+    fresh = entries.filter(package).select("book", "path", "payload").groupBy("book").cogroup(rows.groupBy("book")).applyInPandas(build, epub.ENTRY)
+    return union(untouched.select(fresh.columns), fresh)
+
+
+def rebuild(pages: DataFrame, title: str, author: str = "", language: str = "zh-Hant", cover: bytes | None = None) -> DataFrame:
     """Entries of a book from page lines split into chapters (chapter_no, chapter_title, paragraph, ord); paragraphs become ``p`` elements."""
     chapters = pages.groupBy("book", "chapter_no").agg(
         F.first("chapter_title").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "paragraph"))), lambda x: x.paragraph).alias("paragraphs")
@@ -124,7 +170,7 @@ def rebuild(pages: DataFrame, title: str) -> DataFrame:
     def build(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("chapter_no")
         body = lambda ps: "".join(f"<p>{html.escape(p)}</p>" for p in ps)
-        made = epub.build_book(title, [(t, body(ps)) for t, ps in zip(g["title"], g["paragraphs"], strict=True)])
+        made = epub.build_book(title, [(t, body(ps)) for t, ps in zip(g["title"], g["paragraphs"], strict=True)], language=language, author=author, cover=cover)
         return pd.DataFrame([(g["book"].iloc[0], k, p, c, d, True) for k, p, c, d in made], columns=["book", "ord", "path", "compress_type", "payload", "crc_ok"])
 
     return chapters.groupBy("book").applyInPandas(build, epub.ENTRY)

@@ -72,7 +72,8 @@ def _parse(data: bytes | None):
         return None
 
 
-def _opf(files: dict[str, bytes]) -> str | None:
+def package_file(files: dict[str, bytes]) -> str | None:
+    """The member that is a book's package file."""
     root = _parse(files.get("META-INF/container.xml"))
     found = [x.get("full-path", "").strip() for x in root.iter() if _local(x.tag) == "rootfile"] if root is not None else []
     named = [p for p in files if os.path.basename(p).lower() == "content.opf"]
@@ -132,7 +133,7 @@ def structure(entries: DataFrame) -> DataFrame:
     def read(group: pd.DataFrame) -> pd.DataFrame:
         files = {p: d for p, d in zip(group["path"], group["payload"], strict=True) if isinstance(p, str)}
         book, rows, opf = group["book"].iloc[0], [], None
-        opf = _opf(files)
+        opf = package_file(files)
         root = _parse(files.get(opf)) if opf else None
         ids: dict[str, str] = {}
         navs, ncxs = [p for p in files if os.path.basename(p) in ("nav.xhtml", "nav.html")], [p for p in files if p.endswith(".ncx")]
@@ -233,25 +234,97 @@ def write_books(entries: DataFrame, folder: str) -> DataFrame:
     return entries.select("book", "ord", "path", "compress_type", "payload").groupBy("book").applyInPandas(write, "book string, path string, entries int")
 
 
-def build_book(title: str, chapters: list[tuple[str, str]], uid: str = "urn:uuid:0", language: str = "zh-Hant", author: str = "") -> list[tuple[int, str, int, bytes]]:
-    """Entries (ord, path, compress_type, payload) of a book of (title, XHTML body) chapters, with nav and ncx."""
+def _page(title: str, body: str, sheets: list[str] = []) -> str:  # noqa: B006 (read only)
     e = html.escape
-    files = [f"chapter_{k:03d}.xhtml" for k in range(1, len(chapters) + 1)]
-    page = lambda t, body: f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{e(t)}</title></head><body>{body}</body></html>'
-    nav = "".join(f'<li><a href="{f}#start">{e(t)}</a></li>' for f, (t, _) in zip(files, chapters, strict=True))
+    links = "".join(f'<link rel="stylesheet" type="text/css" href="{e(x)}"/>' for x in sheets)
+    return f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{e(title)}</title>{links}</head><body>{body}</body></html>'
+
+
+def _contents(title: str, uid: str, files: list[str], titles: list[str]) -> tuple[str, str]:
+    """nav and ncx of members that begin at ``#start``."""
+    e = html.escape
+    nav = "".join(f'<li><a href="{f}#start">{e(t)}</a></li>' for f, t in zip(files, titles, strict=True))
     points = "".join(
         f'<navPoint id="n{k}" playOrder="{k}"><navLabel><text>{e(t)}</text></navLabel><content src="{f}#start"/></navPoint>'
-        for k, (f, (t, _)) in enumerate(zip(files, chapters, strict=True), 1)
+        for k, (f, t) in enumerate(zip(files, titles, strict=True), 1)
     )
+    head = f'<head><meta name="dtb:uid" content="{e(uid)}"/></head><docTitle><text>{e(title)}</text></docTitle>'
+    ncx = f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">{head}<navMap>{points}</navMap></ncx>'
+    return _page(title, f"<nav><ol>{nav}</ol></nav>"), ncx
+
+
+#: Namespaces of package files.
+COVER = '<meta name="cover" content="cover-image"/>'
+OPF_SPACE, DC_SPACE = "http://www.idpf.org/2007/opf", "http://purl.org/dc/elements/1.1/"
+
+
+def repackage(opf: bytes, opf_path: str, chapters: list[tuple[str, str]]) -> list[tuple[str, bytes]]:
+    """(path, payload) of a package file, nav, ncx and members for new chapters (title, XHTML body).
+
+    Metadata and all items but the old text members stay; nav stays in the spine if it was there.  New members use the style sheets.
+    """
+    for prefix, space in (("", OPF_SPACE), ("dc", DC_SPACE), ("dcterms", "http://purl.org/dc/terms/")):
+        ElementTree.register_namespace(prefix, space)
+    root, folder = ElementTree.fromstring(opf), os.path.dirname(opf_path)
+    part = lambda name: next((x for x in root.iter() if _local(x.tag) == name), None)
+    manifest, spine = part("manifest"), part("spine")
+    if manifest is None or spine is None:
+        raise ValueError(f"{opf_path} has no manifest or no spine")
+    title = " ".join("".join(part("title").itertext()).split()) if part("title") is not None else ""
+    named = [x for x in root.iter() if _local(x.tag) == "identifier"]
+    uid = next(((x.text or "").strip() for x in [*(x for x in named if x.get("id") == root.get("unique-identifier")), *named]), title)
+    nav_id, ncx_id, sheets = None, None, []
+    nav, ncx = "nav.xhtml", "toc.ncx"
+    for item in list(manifest):
+        kind, href, base = item.get("media-type", ""), item.get("href", ""), os.path.basename(item.get("href", ""))
+        if "nav" in item.get("properties", "").split() or base in ("nav.xhtml", "nav.html"):
+            nav_id, nav = item.get("id"), href
+        elif kind == "application/x-dtbncx+xml":
+            ncx_id, ncx = item.get("id"), href
+        elif kind == "text/css":
+            sheets.append(href)
+        elif kind == "application/xhtml+xml" and base != "cover.xhtml":
+            manifest.remove(item)
+    space = root.tag[: root.tag.find("}") + 1]
+    for name, kind, found in (("nav", "application/xhtml+xml", nav_id), ("ncx", "application/x-dtbncx+xml", ncx_id)):
+        if found is None:
+            more = {"properties": "nav"} if name == "nav" else {}
+            ElementTree.SubElement(manifest, f"{space}item", {"id": name, "href": nav if name == "nav" else ncx, "media-type": kind, **more})
+    shown = nav_id is not None and any(x.get("idref") == nav_id for x in spine)
+    for x in list(spine):
+        spine.remove(x)
+    spine.set("toc", ncx_id or "ncx")
+    files = [f"reading_{k:03d}.xhtml" for k in range(1, len(chapters) + 1)]
+    if shown:
+        ElementTree.SubElement(spine, f"{space}itemref", {"idref": nav_id})
+    for k, f in enumerate(files, 1):
+        ElementTree.SubElement(manifest, f"{space}item", {"id": f"reading_{k:03d}", "href": f, "media-type": "application/xhtml+xml"})
+        ElementTree.SubElement(spine, f"{space}itemref", {"idref": f"reading_{k:03d}"})
+    nav_page, ncx_page = _contents(title, uid, files, [t for t, _ in chapters])
+    place = lambda href: os.path.normpath(os.path.join(folder, href))
+    out = [(opf_path, ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)), (place(nav), nav_page.encode()), (place(ncx), ncx_page.encode())]
+    return out + [(place(f), _page(t, f'<h1 id="start">{html.escape(t)}</h1>{body}', sheets).encode()) for f, (t, body) in zip(files, chapters, strict=True)]
+
+
+def build_book(
+    title: str, chapters: list[tuple[str, str]], uid: str = "urn:uuid:0", language: str = "zh-Hant", author: str = "", cover: bytes | None = None
+) -> list[tuple[int, str, int, bytes]]:
+    """Entries (ord, path, compress_type, payload) of a book of (title, XHTML body) chapters, with nav and ncx, and a cover picture if given."""
+    e, page = html.escape, _page
+    files = [f"chapter_{k:03d}.xhtml" for k in range(1, len(chapters) + 1)]
+    nav, ncx = _contents(title, uid, files, [t for t, _ in chapters])
+    picture, kind = ("cover.png", "image/png") if (cover or b"").startswith(b"\x89PNG") else ("cover.jpg", "image/jpeg")
     items = "".join(f'<item id="c{k}" href="{f}" media-type="application/xhtml+xml"/>' for k, f in enumerate(files, 1))
     refs = "".join(f'<itemref idref="c{k}"/>' for k in range(1, len(files) + 1))
+    items += f'<item id="cover-image" href="{picture}" media-type="{kind}" properties="cover-image"/>' if cover else ""
     container = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
     opf = (
-        f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
-        f"<dc:identifier id=\"id\">{e(uid)}</dc:identifier><dc:title>{e(title)}</dc:title><dc:creator>{e(author)}</dc:creator><dc:language>{e(language)}</dc:language></metadata><manifest>"
+        f'<?xml version="1.0" encoding="utf-8"?><package xmlns="{OPF_SPACE}" version="3.0" unique-identifier="id"><metadata xmlns:dc="{DC_SPACE}">'
+        f'<dc:identifier id="id">{e(uid)}</dc:identifier><dc:title>{e(title)}</dc:title><dc:creator>{e(author)}</dc:creator><dc:language>{e(language)}</dc:language>'
+        f"{COVER if cover else ''}</metadata><manifest>"
         f'<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine toc="ncx">{refs}</spine></package>'
     )
-    ncx = f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{e(uid)}"/></head><docTitle><text>{e(title)}</text></docTitle><navMap>{points}</navMap></ncx>'
-    members = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", container), ("EPUB/content.opf", opf), ("EPUB/nav.xhtml", page(title, f"<nav><ol>{nav}</ol></nav>")), ("EPUB/toc.ncx", ncx)]
+    members = [("mimetype", b"application/epub+zip"), ("META-INF/container.xml", container), ("EPUB/content.opf", opf), ("EPUB/nav.xhtml", nav), ("EPUB/toc.ncx", ncx)]
     members += [(f"EPUB/{f}", page(t, f'<h1 id="start">{e(t)}</h1>{body}')) for f, (t, body) in zip(files, chapters, strict=True)]
-    return [(k, p, zipfile.ZIP_STORED if p == "mimetype" else zipfile.ZIP_DEFLATED, d.encode()) for k, (p, d) in enumerate(members)]
+    members += [(f"EPUB/{picture}", cover)] if cover else []
+    return [(k, p, zipfile.ZIP_STORED if p == "mimetype" else zipfile.ZIP_DEFLATED, d if isinstance(d, bytes) else d.encode()) for k, (p, d) in enumerate(members)]

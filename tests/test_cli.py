@@ -43,6 +43,29 @@ def test_rebuild_verify_chapterize_scan(spark, folder):
     assert spark.read.json(str(folder / "report")).count() == 1
 
 
+def test_rebuild_joins_pages_and_keeps_metadata(spark, tmp_path):
+    page = lambda t: {"markdown": {"text": t, "images": {}}}
+    texts = ["# 第一章 甲\n他在這一年裡寫下了許多沒有寫完的", "故事，後來終於寫完。\n\n新段。", "# 第二章 乙\n末句沒有寫完", "# 第三章 丙\n完。"]
+    (tmp_path / "scan").mkdir()
+    checkpoints.write_checkpoint(str(tmp_path / "scan" / "chunk_0_4.pdf.json"), {"result": {"layoutParsingResults": [page(t) for t in texts]}})
+    cover = b"\x89PNG..."
+    cli.rebuild(spark, str(tmp_path / "scan"), str(tmp_path / "out"), "書", author="某", language="ja", cover=cover).collect()
+    entries = epub.read_entries(spark, str(tmp_path / "out"))
+    files = {r.path: bytes(r.payload) for r in entries.collect()}
+    assert files["EPUB/cover.png"] == cover and "<dc:creator>某</dc:creator><dc:language>ja</dc:language>".encode() in files["EPUB/content.opf"]
+    first, second, third = (files[f"EPUB/chapter_00{k}.xhtml"].decode() for k in (1, 2, 3))
+    assert "<p>他在這一年裡寫下了許多沒有寫完的 故事，後來終於寫完。</p><p>新段。</p>" in first
+    assert "<p>末句沒有寫完</p>" in second and "<p>完。</p>" in third and 'class="toc-page-start"' in first
+    bad = entries.withColumn("payload", F.when(F.col("path") == "EPUB/chapter_003.xhtml", F.concat("payload", F.lit("$ \\underset{\\cdot}{x} $").cast("binary"))).otherwise(F.col("payload")))
+    with pytest.raises(RuntimeError, match="underset"):
+        cli.publish(bad, str(tmp_path / "none"), strict=True)
+    assert not (tmp_path / "none").exists()
+    assert cli.main(["repair", str(tmp_path / "out"), str(tmp_path / "repaired")]) == 0 and cli.main(["verify", str(tmp_path / "repaired")]) == 0
+    cli.chapterize(spark, str(tmp_path / "repaired"), str(tmp_path / "units")).collect()
+    kept = {r.path: bytes(r.payload) for r in epub.read_entries(spark, str(tmp_path / "units")).collect()}
+    assert kept["EPUB/cover.png"] == cover and b"<dc:language>ja</dc:language>" in kept["EPUB/content.opf"] and cli.main(["chapterize", str(tmp_path / "units"), "--verify-only"]) == 0
+
+
 def test_verify_reports_issues(spark, folder):
     bad = folder / "bad"
     bad.mkdir()

@@ -360,10 +360,12 @@ def test_rewriting():
     text = '<p id="a-start">x</p><h2 class="t" name="b">y</h2>'
     assert rewrite.unique_id(text, "a", "start") == "a-start-2" and rewrite.unique_id(text, "c", "start") == "c-start"
     assert rewrite.add_id("<p>x</p>", 0, "n") == '<p id="n">x</p>'
-    marked = rewrite.mark_page_starts(text, ["b", "a-start"])
+    marked = rewrite.page_starts(text, ["b", "a-start"])
     assert marked == '<p id="a-start" class="toc-page-start">x</p><h2 class="t toc-page-start" name="b">y</h2>'
-    assert rewrite.unmark_page_starts(marked) == text and rewrite.mark_page_starts(marked, ["b"]) == marked
-    assert rewrite.append_css(rewrite.append_css("p {}")) == rewrite.append_css("p {}")
+    assert rewrite.page_starts(marked, []) == text and rewrite.page_starts(marked, ["b", "a-start"]) == marked
+    assert rewrite.page_starts(marked, ["b"]) == '<p id="a-start">x</p><h2 class="t toc-page-start" name="b">y</h2>'
+    assert rewrite.styled(rewrite.styled("p {}")) == rewrite.styled("p {}") and "p {}" in rewrite.styled("p {}")
+    assert rewrite.relocate('<img src="../i/a.png"/><a href="#x"/><a href="http://h/"/>', "E/t/c.xhtml", "E") == '<img src="i/a.png"/><a href="#x"/><a href="http://h/"/>'
     assert rewrite.insert_marker("<p>x</p>", 0, "h2", "n", "第一章") == '<h2 id="n">第一章</h2><p>x</p>'
     assert rewrite.replace_fragment("a.xhtml#x", "y") == "a.xhtml#y"
 
@@ -378,7 +380,12 @@ def test_chapterize_and_page_starts(spark):
     marks = toc.reading_boundaries(s.filter("kind = 'nav'"))
     children = epub.body_children(e)
     assert toc.boundary_errors(children, marks).count() == 0
-    new = rewrite.chapterize(toc.reading_segments(children, marks, spine), marks)
+    picture = spark.createDataFrame([("b", 90, "EPUB/i/a.png", 0, bytearray(b"png"), True), ("b", 91, "EPUB/style/x.css", 8, bytearray(b"p {}"), True)], epub.ENTRY)
+    e = e.union(picture)
+    new = rewrite.chapterize(toc.reading_segments(children, marks, spine), marks, e)
+    files = {r.path: bytes(r.payload) for r in new.collect()}
+    assert files["EPUB/i/a.png"] == b"png" and files["EPUB/style/x.css"] == b"p {}" and "EPUB/chapter_001.xhtml" not in files
+    assert "書".encode() in files["EPUB/content.opf"] and b"reading_002.xhtml" in files["EPUB/content.opf"] and "<title>書</title>".encode() in files["EPUB/nav.xhtml"]
     made = epub.structure(new)
     assert constraints.structure_issues(made, new, epub.text_elements(new)).count() == 0
     assert constraints.reading_issues(made, epub.text_elements(new)).count() == 0
