@@ -125,7 +125,8 @@ def _last(s: Column) -> Column:
     return F.right(s, F.lit(1))
 
 
-def _strip(s: Column) -> Column:
+def strip(s: Column) -> Column:
+    """Text without white space at its ends, that of other scripts included."""
     return F.regexp_replace(s, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
 
 
@@ -145,7 +146,7 @@ def _merge_pairs(lines: Column, joins, merged, leaves_first: bool) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         line, at = x.line, x.at
-        a, b = _strip(acc.held), _strip(line)
+        a, b = strip(acc.held), strip(line)
         whole = merged(a, b)
         pair = F.array(whole) if leaves_first else F.array(F.lit(""))
         rest = F.array(F.lit("")) if leaves_first else F.array(whole)

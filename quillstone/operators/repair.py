@@ -166,6 +166,20 @@ def preview_edits(entries: DataFrame) -> DataFrame:
     return spans.join(texts, ["book", "path"]).filter(after.rlike("(?s)^(\\s|</[^>]*>)*$")).select("book", "path", "start", "stop", F.lit("").alias("text"))
 
 
+def heading_edits(entries: DataFrame, known: tuple[str, ...] = (), note_class: str = "footnote") -> DataFrame:
+    """Edits that put a chapter's label in place of a ``known`` corrupted heading and delete chapter headings left over from the chapter before."""
+    elements = epub.text_elements(entries)
+    where = elements.select("book", "path", "elem_no", "start", "stop")
+    texts = entries.select("book", "path", utf8(F.col("payload")).alias("_text"))
+    stale = toc.stale_bibliography_titles(elements, note_class).join(where, ["book", "path", "elem_no"]).select("book", "path", "start", "stop", F.lit("").alias("text"))
+    if not known:
+        return stale
+    named = toc.known_headings(elements, known).join(where, ["book", "path", "elem_no"]).join(texts, ["book", "path"])
+    old = F.substring(F.col("_text"), F.col("start") + 1, F.col("stop") - F.col("start"))
+    new = F.concat(F.regexp_extract(old, "^(<[^>]*>)", 1), _escaped(F.col("label")), F.regexp_extract(old, "(</[^>]*>)$", 1))
+    return union(stale, named.select("book", "path", "start", "stop", new.alias("text")))
+
+
 def repair_toc(entries: DataFrame) -> DataFrame:
     """Entries whose tables of contents point to their markers and whose documents don't end in the next one's heading."""
     return apply_edits(entries, union(retarget_edits(entries), preview_edits(entries)))

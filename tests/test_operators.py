@@ -493,3 +493,28 @@ def test_toc_repairs(spark):
 
         assert re.findall('href="([^"]*)"', got[b, "EPUB/nav.xhtml"]) == hrefs == re.findall('src="([^"]*)"', got[b, "EPUB/toc.ncx"])
         assert got[b, "EPUB/content.opf"] == members["EPUB/content.opf"]
+
+
+def test_result_archives(spark, tmp_path):
+    from quillstone.sources import results
+
+    body = lambda x: (x + "正文的一行文字，" * 12)[:95]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("full.md", f"# 書名\n{body('甲')}\n# 書名\n12\n# 書名\n{body('乙')}\nphoto\n")
+        z.writestr("b.md", body("丙"))
+        z.writestr("c.md", "short")
+        z.writestr("images/x.PNG", b"png")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    got = results.pages(results.read_archives(spark, str(tmp_path))).orderBy("page_no").collect()
+    assert [r.text for r in got] == [body("丙"), body("甲"), body("乙")] and [r.page_no for r in got] == [0, 1, 2]
+    assert all(r.images == {"images/x.PNG": "data:image/png;base64,cG5n"} and r.book.endswith("a.zip") for r in got)
+
+
+def test_heading_edits(spark):
+    from quillstone.operators import repair
+
+    pages = {"a.xhtml": '<body><h2 class="x">壞字</h2><p>第三章</p><p>題 &amp; 目</p></body>', "b.xhtml": '<body><p id="fn-1">註</p><h2>第二章 舊</h2><p>第三章</p><p>文</p></body>'}
+    e = spark.createDataFrame([("k", i, p, 8, bytearray(d.encode()), True) for i, (p, d) in enumerate(pages.items())], epub.ENTRY)
+    got = {r.path: bytes(r.payload).decode() for r in repair.apply_edits(e, repair.heading_edits(e, ("壞字",))).collect()}
+    assert got["a.xhtml"] == '<body><h2 class="x">第三章 題 &amp; 目</h2><p>第三章</p><p>題 &amp; 目</p></body>'
+    assert got["b.xhtml"] == '<body><p id="fn-1">註</p><p>第三章</p><p>文</p></body>'
