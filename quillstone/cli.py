@@ -1,7 +1,7 @@
 """Command line: scan, boundaries, verify, chapterize and rebuild.
 
     python -m quillstone.cli scan BOOKS [--limit N] [--min-score X] [--min-chars N] [--json OUT]
-    python -m quillstone.cli boundaries CHECKPOINTS [--limit N] [--min-score X] [--json OUT]
+    python -m quillstone.cli boundaries CHECKPOINTS [--limit N] [--min-score X] [--books BOOKS] [--json OUT]
     python -m quillstone.cli verify BOOKS [--json OUT]            (exit code 1 when there are issues)
     python -m quillstone.cli chapterize BOOKS OUT [--front-matter TITLE ...] [--verify-only]
     python -m quillstone.cli repair BOOKS OUT [--strict]
@@ -39,12 +39,20 @@ def scan(spark: SparkSession, books: str, limit: int = 50, min_score: float = 0.
     return found.select("book", "file", "score", "n_chars", "excerpt")
 
 
-def scan_boundaries(spark: SparkSession, folder: str, limit: int = 80, min_score: float = 0.70) -> DataFrame:
-    """Page boundaries where text is probably missing."""
+def scan_boundaries(spark: SparkSession, folder: str, limit: int = 80, min_score: float = 0.70, books: str | None = None) -> DataFrame:
+    """Page boundaries where text is probably missing; with packaged ``books``, whether the seam's text goes on in the book of the folder's name."""
     pages = checkpoints.read_checkpoints(spark, folder)
     model = ngrams.bigram_model(pages, ["book"], order_col="seq_page")
     found = boundaries.score_boundaries(pages, "book", "pdf_page", "text", model)
-    return found.filter(F.col("score") >= min_score).orderBy(F.col("score").desc(), "book", "pdf_page").limit(limit)
+    found = found.filter(F.col("score") >= min_score).orderBy(F.col("score").desc(), "book", "pdf_page").limit(limit)
+    if not books:
+        return found
+    name = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), "\\.epub$", "")
+    text = lambda c: pages.select("book", F.col("pdf_page").alias(c), F.col("text").alias(f"_{c}"))
+    seams = found.join(text("pdf_page"), ["book", "pdf_page"]).join(text("next_order"), ["book", "next_order"]).withColumn("name", name(F.col("book")))
+    parts = epub.content_texts(epub.read_entries(spark, books)).withColumn("name", name(F.col("book")))
+    whole = parts.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book", "ord", "text"))), lambda x: x.text), "").alias("text"))
+    return boundaries.continuity_in_books(seams, whole, "name", "_pdf_page", "_next_order").select(*found.columns, "status").orderBy(F.col("score").desc(), "book", "pdf_page")
 
 
 def verify(spark: SparkSession, books: str) -> DataFrame:
@@ -138,7 +146,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("books"), a.add_argument("--limit", type=int, default=50), a.add_argument("--min-score", type=float, default=0.70)
     a.add_argument("--min-chars", type=int, default=10), a.add_argument("--json")
     b = sub.add_parser("boundaries")
-    b.add_argument("folder"), b.add_argument("--limit", type=int, default=80), b.add_argument("--min-score", type=float, default=0.70), b.add_argument("--json")
+    b.add_argument("folder"), b.add_argument("--limit", type=int, default=80), b.add_argument("--min-score", type=float, default=0.70), b.add_argument("--books"), b.add_argument("--json")
     v = sub.add_parser("verify")
     v.add_argument("books"), v.add_argument("--json")
     c = sub.add_parser("chapterize")
@@ -157,7 +165,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "scan":
         found = scan(spark, args.books, args.limit, args.min_score, args.min_chars)
     elif args.command == "boundaries":
-        found = scan_boundaries(spark, args.folder, args.limit, args.min_score)
+        found = scan_boundaries(spark, args.folder, args.limit, args.min_score, args.books)
     elif args.command == "verify":
         found = verify(spark, args.books)
     elif args.command == "chapterize" and args.verify_only:

@@ -41,6 +41,9 @@ def test_rebuild_verify_chapterize_scan(spark, folder):
     assert [(r.pdf_page, r.score) for r in found] == [(1, 0.9)]
     assert cli.main(["boundaries", str(folder / "scan"), "--json", str(folder / "report")]) == 0
     assert spark.read.json(str(folder / "report")).count() == 1
+    (folder / "named").mkdir()
+    (folder / "named" / "scan.epub").write_bytes(next((folder / "books").glob("*.epub")).read_bytes())
+    assert [r.status for r in cli.scan_boundaries(spark, str(folder / "scan"), books=str(folder / "named")).collect()] == ["joined"]
 
 
 def test_rebuild_joins_pages_and_keeps_metadata(spark, tmp_path):

@@ -220,6 +220,10 @@ def test_continuity(spark):
     c = spark.createDataFrame([("甲乙", "丙丁"), ("甲乙", "戊"), ("x", "y"), ("己", "庚")], "a string, b string")
     got = [r.status for r in boundaries.continuity(c, "a", "b", "甲乙丙丁").collect()]
     assert got == ["joined", "tail_only", "unknown", "absent"]
+    many = spark.createDataFrame([("x", "甲乙", "丙丁"), ("y", "甲乙", "丙丁"), ("z", "甲", "乙"), ("x", "己", "丙")], "book string, a string, b string")
+    books = spark.createDataFrame([("x", "甲乙，丙丁"), ("y", "甲乙")], "book string, text string")
+    got = {(r.book, r.a): r.status for r in boundaries.continuity_in_books(many, books, "book", "a", "b").collect()}
+    assert got == {("x", "甲乙"): "joined", ("y", "甲乙"): "tail_only", ("z", "甲"): "unknown", ("x", "己"): "head_only"}
 
 
 def test_mapping(spark):
