@@ -80,6 +80,13 @@ f AS (
   SELECT page, page % 7 = 0 OR (page % 7 > 1 AND (page % 3 = 0 OR (page % 3 = 1 AND (page % 4) / 100.0 >= 0.005))) AS need, page % 3 = 0 AND page % 4 >= 2 AS turned FROM p
 )
 SELECT page, CASE WHEN need THEN printf('imgs/page_fallback_%04d.png', page) END AS fallback_path, CASE WHEN turned THEN 90 ELSE 0 END AS rotation FROM f""",
+    "caption_cleanup": """
+SELECT k AS id, CASE k % 5
+  WHEN 0 THEN repeat(chr(10), (k % 3)::INTEGER) || '正文' || k
+  WHEN 1 THEN '![](imgs/' || k || '.png)'
+  WHEN 2 THEN CASE WHEN k % 3 = 0 THEN '話！' || chr(10) || '就在這時刻他說他要講幾句' ELSE repeat(chr(10), (1 + k % 3)::INTEGER) || '就在這時刻他說他要講幾句話！' END
+  WHEN 3 THEN 'Figure 1. is kept ' || k
+  ELSE '' END AS text FROM range(500) r(k)""",
     "toc_repairs": """
 WITH b AS (SELECT k, k::VARCHAR AS book FROM range(120) r(k)), n AS (
   SELECT *, CASE WHEN k % 2 = 0 THEN 't2-start' ELSE 'm' END AS two, CASE WHEN k % 3 = 0 THEN 't3-chapter-2' ELSE 't3-chapter' END AS three FROM b

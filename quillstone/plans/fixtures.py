@@ -99,6 +99,20 @@ def visual_fallbacks(spark, sf_dir) -> DataFrame:
     return images.fallback_images(p, "page", "text", "images", "assets", "ink", "width", "height").select("page", "fallback_path", "rotation")
 
 
+CAPTION = "Close-up of a man standing in front of a house (no visible text or symbols)"
+
+
+def caption_cleanup(spark, sf_dir) -> DataFrame:
+    """500 texts: a label before a text, a generated alt text, a misplaced end, a caption that stays and one that goes; gaps of one to three line ends."""
+    k, gap = F.col("id"), F.repeat(F.lit("\n"), (1 + F.col("id") % 3).cast("int"))
+    kinds = [
+        F.concat(F.lit("natural_image"), gap, F.lit("正文"), k), F.concat(F.lit("![photo](imgs/"), k, F.lit(".png)")), F.concat(F.lit("話！"), gap, F.lit("就在這時刻他說他要講幾句")),
+        F.concat(F.lit("Figure 1. is kept "), k), F.lit(CAPTION),
+    ]
+    text = F.element_at(F.array(*kinds), (k % 5 + 1).cast("int"))
+    return spark.range(500).select("id", noise.clean_captions(text).alias("text"))
+
+
 OPF = '<package><manifest><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>'
 CONTAINER = '<container><rootfiles><rootfile full-path="E/content.opf"/></rootfiles></container>'
 
@@ -123,5 +137,5 @@ def toc_repairs(spark, sf_dir) -> DataFrame:
 
 FIXTURES = {
     f.__name__: f
-    for f in (repaired_order, noise_tables, chinese_numerals, cjk_repeats, page_start_alignment, diff_patch, kth_occurrence_link, visual_fallbacks, toc_repairs)
+    for f in (repaired_order, noise_tables, chinese_numerals, cjk_repeats, page_start_alignment, diff_patch, kth_occurrence_link, visual_fallbacks, toc_repairs, caption_cleanup)
 }

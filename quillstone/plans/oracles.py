@@ -240,7 +240,6 @@ WITH {LINES}, marks AS (
   SELECT *, n >= 2 AND (num OR header) AS gone FROM h
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone OR line = '') AS n_blank FROM g WHERE gone OR s <> '' OR line = '' OR n < 2 GROUP BY 1""",
-    "caption_cleanup": "SELECT * FROM (VALUES (1, '正文'), (2, '![](imgs/a.png)'), (3, '就在這時刻他說他要講幾句話！'), (4, 'Figure 1. is kept'), (5, '')) t(id, text)",
     "epub_issues": """
 SELECT * FROM (VALUES ('b', 'mimetype is not the first entry', 'EPUB/chapter_001.xhtml'), ('b', 'nav target file missing', 'chapter_002.xhtml#start'),
 ('b', 'spine file missing', 'EPUB/chapter_002.xhtml'), ('b', 'not exactly one h1', 'EPUB/chapter_002.xhtml: 0')) t(book, issue, detail)""",

@@ -201,15 +201,6 @@ def cjk_scanner(spark, sf_dir):
     return model.select("bigram", "n")
 
 
-def caption_cleanup(spark, sf_dir):
-    rows = [
-        (1, "natural_image\n\n正文"), (2, "![photo](imgs/a.png)"), (3, "話！\n\n就在這時刻他說他要講幾句"),
-        (4, "Figure 1. is kept"), (5, "Close-up of a man standing in front of a house (no visible text or symbols)"),
-    ]
-    d = spark.createDataFrame(rows, "id int, text string")
-    return d.select("id", noise.clean_captions(F.col("text")).alias("text"))
-
-
 def _book(spark, broken: bool = False) -> DataFrame:
     rows = epub.build_book("書", [("第一章 甲", '<p>甲文</p>'), ("第二章 乙", "<p>乙</p><p>乙文</p>")])
     if broken:
@@ -254,6 +245,6 @@ QUERIES = {
         lines_explode, clean_text, visible_text, heading_candidates, toc_links, running_headers, page_segments, stripped_headers, bigram_model, book_bigram_model,
         singleton_windows, repeat_runs, fragment_scores, top_suspicious, hopping_windows, sentence_round_robin, adjacent_boundaries, span_to_doc, source_lookup, source_lookup_whole,
         inversion_swaps, asof_boundary, range_sections, range_sections_all, paragraph_reflow, constraint_violations,
-        cjk_scanner, caption_cleanup, epub_issues, epub_segments, toc_targets, chapters,
+        cjk_scanner, epub_issues, epub_segments, toc_targets, chapters,
     )
 } | FIXTURES
