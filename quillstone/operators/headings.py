@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import NUMERALS, chapter_number, no_space, visible_text
+from quillstone.functions.text import ENTITIES, NUMERALS, chapter_number, no_space, visible_text
 from quillstone.functions.unions import union
 
 PLAIN_CHAPTER = f"^(第[{NUMERALS}]+[章編编篇部卷])(\\s+(.+))?$"
@@ -23,12 +23,15 @@ STRUCTURAL = (
 )
 
 
-def html_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, heading_no, level, title) of h1 to h6 elements in order."""
-    whole = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit("(?is)(<h([1-6])\\b[^>]*>.*?</h\\2>)"), F.lit(1))
+def html_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", entities: tuple[tuple[str, str], ...] = ENTITIES) -> DataFrame:
+    """(id, heading_no, level, title) of h1 to h6 elements in order, with ``entities`` decoded in titles.
+
+    The end of a tag's name is spelled out: by the version of Java ``\\b`` knows ASCII letters only or all letters.
+    """
+    whole = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit("(?is)(<h([1-6])(?![0-9A-Za-z_])[^>]*>.*?</h\\2>)"), F.lit(1))
     rows = pages.select(id_col, F.posexplode(whole).alias("heading_no", "_h"))
     return rows.select(
-        id_col, "heading_no", F.regexp_extract("_h", "(?i)^<h([1-6])", 1).cast("int").alias("level"), visible_text(F.col("_h"), "").alias("title")
+        id_col, "heading_no", F.regexp_extract("_h", "(?i)^<h([1-6])", 1).cast("int").alias("level"), visible_text(F.col("_h"), "", entities).alias("title")
     )
 
 
